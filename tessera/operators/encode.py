@@ -60,27 +60,51 @@ def lookup_join(df: DataFrame, model: DataFrame, key: str | Column, model_key: s
 
 
 # ---------------------------------------------------------------- E1, E2
-def fit_impact(df: DataFrame, col: str, label_col: str = "target") -> tuple[DataFrame, float]:
-    """Smoothed target rate per level, fitted on labelled rows:
-    (n1 + p) / (n + 1), p = global positive rate.
-
-    Returns (model(level, value), na_value). The value shared by null and
-    unseen levels counts every labelled row once more plus the real null rows:
-    (n1_all + n1_null + p) / (n_all + n_null + 1).
+def fit_impact_many(df: DataFrame, cols: Sequence[str], label_col: str = "target"
+                    ) -> tuple[DataFrame, dict[str, float], dict[str, int]]:
+    """E1 for several columns in one pass: the labelled rows are unpivoted to
+    (column, level, y) inside the map stage and counted per (column, level)
+    with a map-side combine.
+
+    Returns (model(column, level, value) staged as a small Parquet table,
+    {column: na_value}, {column: number of levels}). Per level:
+    (n1 + p) / (n + 1), p = global positive rate. The value shared by null
+    and unseen levels counts every labelled row once more plus the real null
+    rows: (n1_all + n1_null + p) / (n_all + n_null + 1).
     """
+    from tessera.sources.staging import stage
     lab = df.where(F.col(label_col).isNotNull())
-    per = lab.groupBy(F.col(col).cast("string").alias("level")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label_col).cast("double")).alias("n1"))
-    tot = per.agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"),
-                  F.sum(F.when(F.col("level").isNull(), F.col("n"))).alias("nn"),
-                  F.sum(F.when(F.col("level").isNull(), F.col("n1"))).alias("nn1")).first()
-    n, n1 = float(tot["n"] or 0), float(tot["n1"] or 0.0)
-    p = n1 / n if n else 0.0
-    nn, nn1 = float(tot["nn"] or 0), float(tot["nn1"] or 0.0)
-    na_value = (n1 + nn1 + p) / (n + nn + 1.0)
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
+                      for c in cols])
+    per = (lab.select(F.col(label_col).cast("double").alias("_y"), F.inline(items))
+           .groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("n1")))
+    per = stage(per, "impact-counts")  # bounded by the number of distinct levels
+    tot = {r["column"]: r for r in per.groupBy("column").agg(
+        F.sum("n").alias("n"), F.sum("n1").alias("n1"),
+        F.sum(F.when(F.col("level").isNull(), F.col("n"))).alias("nn"),
+        F.sum(F.when(F.col("level").isNull(), F.col("n1"))).alias("nn1"),
+        F.count("level").alias("levels")).collect()}  # one row per column
+    na, nlev, pvals = {}, {}, {}
+    for c in cols:
+        t = tot.get(c)
+        n = float(t["n"] or 0) if t else 0.0
+        n1 = float(t["n1"] or 0) if t else 0.0
+        p = n1 / n if n else 0.0
+        nn = float(t["nn"] or 0) if t else 0.0
+        nn1 = float(t["nn1"] or 0) if t else 0.0
+        na[c] = (n1 + nn1 + p) / (n + nn + 1.0)
+        nlev[c] = int(t["levels"]) if t else 0
+        pvals[c] = p
+    pmap = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pvals[c]))])
     model = per.where(F.col("level").isNotNull()).select(
-        "level", ((F.col("n1") + F.lit(p)) / (F.col("n") + F.lit(1.0))).alias("value"))
-    return model, na_value
+        "column", "level", ((F.col("n1") + pmap[F.col("column")]) / (F.col("n") + F.lit(1.0))).alias("value"))
+    return model, na, nlev
+
+
+def fit_impact(df: DataFrame, col: str, label_col: str = "target") -> tuple[DataFrame, float]:
+    """E1 for one column: (model(level, value), na_value)."""
+    model, na, _ = fit_impact_many(df, [col], label_col)
+    return model.select("level", "value"), na[col]
 
 
 def apply_impact(df: DataFrame, model: DataFrame, na_value: float, col: str,
@@ -95,11 +119,17 @@ def apply_impact(df: DataFrame, model: DataFrame, na_value: float, col: str,
 def impact_encode(df: DataFrame, cols: Sequence[str], label_col: str = "target",
                   prefix: str = "Imp_", drop_source: bool = False, row_key: str | None = None,
                   **kw) -> DataFrame:
-    """``Imp_<c>`` for every listed column (fit + apply, in sample)."""
+    """``Imp_<c>`` for every listed column (one fit pass for all columns,
+    then one size-checked lookup join per column; in-sample as in the
+    reference, see ``impact_encode_out_of_fold`` for the leak-free form)."""
+    cols = list(cols)
+    if not cols:
+        return df
+    model, na, nlev = fit_impact_many(df, cols, label_col)
     out = df
     for c in cols:
-        model, na = fit_impact(df, c, label_col)
-        out = apply_impact(out, model, na, c, f"{prefix}{c}", row_key=row_key, **kw)
+        m = model.where(F.col("column") == c).select("level", "value")
+        out = apply_impact(out, m, na[c], c, f"{prefix}{c}", row_key=row_key, model_rows=nlev[c], **kw)
     return out.drop(*cols) if drop_source else out
 
 
@@ -229,31 +259,43 @@ def frequency_encode(df: DataFrame, cols: Sequence[str], buckets: Sequence[int |
     """``Rfreq_<c>`` = level count / all rows (null rows get the null share).
     E7: ``Ffreq_<c>`` = that share cut into B equal-width right-closed bins
     over its range, labelled ``F_<c>_<k>``; B defaults to the number of
-    distinct shares (the null share counts, even when it is zero)."""
+    distinct shares (the null share counts, even when it is zero). Bins are
+    computed on the integer counts, so edges are exact.
+
+    One pass counts (column, level) for all columns with a map-side combine;
+    the small count table is staged and each column is joined back with a
+    size-checked lookup join."""
+    from tessera.sources.staging import stage
+    cols = list(cols)
+    if not cols:
+        return df
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
+                      for c in cols])
+    cnt = df.select(F.inline(items)).groupBy("column", "level").agg(F.count(F.lit(1)).alias("cnt"))
+    cnt = stage(cnt, "level-counts")
+    stats = {r["column"]: r for r in cnt.groupBy("column").agg(
+        F.sum("cnt").alias("N"), F.min("cnt").alias("cmin"), F.max("cnt").alias("cmax"),
+        F.countDistinct("cnt").alias("nd"), F.count(F.lit(1)).alias("rows"),
+        F.max(F.when(F.col("level").isNull(), 1).otherwise(0)).alias("has_null")).collect()}
     out = df
     for i, c in enumerate(cols):
-        lvl = F.col(c).cast("string")
-        cnt = df.groupBy(lvl.alias("level")).agg(F.count(F.lit(1)).alias("cnt"))
-        st = cnt.agg(F.sum("cnt").alias("N"), F.min("cnt").alias("cmin"), F.max("cnt").alias("cmax"),
-                     F.countDistinct("cnt").alias("nd"),
-                     F.max(F.when(F.col("level").isNull(), 1).otherwise(0)).alias("has_null")).first()
+        st = stats[c]
         N, cmin, cmax = int(st["N"]), int(st["cmin"]), int(st["cmax"])
         b = buckets[i] if buckets is not None and i < len(buckets) and buckets[i] else None
         if b is None:
-            # distinct shares among the levels plus the null share (0 if no nulls)
-            zero_extra = 0 if st["has_null"] else 1
-            b = int(st["nd"]) + zero_extra
+            b = int(st["nd"]) + (0 if st["has_null"] else 1)
         b = max(int(b), 1)
         if cmax == cmin:
             k = F.lit((b + 1) // 2)
         else:
             num = (F.col("cnt") - F.lit(cmin)) * F.lit(b)
-            den = F.lit(cmax - cmin)
-            k = F.greatest(F.lit(1), F.least(F.lit(b), F.ceil(num / den))).cast("int")
-        model = cnt.select("level", (F.col("cnt") / F.lit(float(N))).alias(f"{rfreq_prefix}{c}"),
-                           F.concat(F.lit(f"F_{c}_"), k.cast("string")).alias(f"{ffreq_prefix}{c}"))
-        out = lookup_join(out, model, lvl, "level", [f"{rfreq_prefix}{c}", f"{ffreq_prefix}{c}"],
-                          null_safe=True, **kw)
+            k = F.greatest(F.lit(1), F.least(F.lit(b), F.ceil(num / F.lit(cmax - cmin)))).cast("int")
+        model = cnt.where(F.col("column") == c).select(
+            "level", (F.col("cnt") / F.lit(float(N))).alias(f"{rfreq_prefix}{c}"),
+            F.concat(F.lit(f"F_{c}_"), k.cast("string")).alias(f"{ffreq_prefix}{c}"))
+        out = lookup_join(out, model, F.col(c).cast("string"), "level",
+                          [f"{rfreq_prefix}{c}", f"{ffreq_prefix}{c}"], null_safe=True,
+                          model_rows=int(st["rows"]), **kw)
     return out.drop(*cols) if drop_source else out
 
 

@@ -7,7 +7,7 @@ independent DuckDB statements over the same tables.
 
 from __future__ import annotations
 
-from tessera.plans import q_basic, q_encode, q_eval, q_models, q_numeric, q_profile  # noqa: F401
+from tessera.plans import q_basic, q_encode, q_eval, q_models, q_numeric, q_profile, q_stream  # noqa: F401
 from tessera.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "v1_logloss_by_fold"
