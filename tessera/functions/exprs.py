@@ -42,9 +42,15 @@ def log1p_guarded(c: Column | str) -> Column:
 
 
 # ---------------------------------------------------------------- T3
-def yeo_johnson(c: Column | str, lam: float) -> Column:
-    """Yeo-Johnson power transform with a fixed lambda (4 branches)."""
+def yeo_johnson(c: Column | str, lam: float | Column) -> Column:
+    """Yeo-Johnson power transform (4 branches); ``lam`` is a number or a
+    Column (the latter lets one pass evaluate a whole lambda grid)."""
     x = _c(c).cast("double")
+    if isinstance(lam, Column):
+        pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+        neg = F.when(F.abs(lam - 2.0) < 1e-12, -F.log1p(-x)).otherwise(
+            -(F.pow(1.0 - x, 2.0 - lam) - 1.0) / (2.0 - lam))
+        return F.when(x.isNull(), F.lit(None).cast("double")).when(x >= 0, pos).otherwise(neg)
     lam = float(lam)
     if abs(lam) < 1e-12:
         pos = F.log1p(x)

@@ -134,56 +134,67 @@ def impact_encode(df: DataFrame, cols: Sequence[str], label_col: str = "target",
 
 
 def impact_encode_out_of_fold(df: DataFrame, col: str, fold_col: str, label_col: str = "target",
-                              out_col: str | None = None) -> DataFrame:
-    """Q11 option: impact coding whose counts for a labelled row exclude the
-    row's own fold (per-fold counts subtracted from the totals); unlabelled
-    rows use the full-data model."""
+                              out_col: str | None = None, rep_col: str | None = None,
+                              row_key: str | None = None, **kw) -> DataFrame:
+    """Q11 option: impact coding where a labelled row's value comes from the
+    model fitted on the other folds (its own fold's counts subtracted from
+    the totals); unlabelled rows get the full-data model. With ``rep_col``
+    every repeat (or bag member) is handled in the same pass.
+
+    One grouped count per (rep, fold, level) feeds everything; the per-fold
+    priors and NA values form a table of reps x folds rows; the per-level
+    model is applied with the size-checked lookup join.
+    """
+    from tessera.sources.staging import stage
     out_col = out_col or f"Imp_{col}"
+    src_cols = df.columns
+    if rep_col is None:  # one repeat: a constant key keeps every join an equi-join
+        rep_col = "_rep0"
+        df = df.withColumn(rep_col, F.lit(0))
+    reps = [rep_col]
+    y = F.col(label_col).cast("double")
     lab = df.where(F.col(label_col).isNotNull())
-    lvl = F.col(col).cast("string")
-    per = lab.groupBy(F.col(fold_col).alias("fold"), lvl.alias("level")).agg(
-        F.count(F.lit(1)).alias("nf"), F.sum(F.col(label_col).cast("double")).alias("n1f"))
-    lev = per.groupBy("level").agg(F.sum("nf").alias("n"), F.sum("n1f").alias("n1"))
-    fold_tot = per.groupBy("fold").agg(
+    per = lab.groupBy(*reps, F.col(fold_col).alias("_f"), F.col(col).cast("string").alias("_lv")).agg(
+        F.count(F.lit(1)).alias("nf"), F.sum(y).alias("n1f"))
+    per = stage(per, "oof-counts")  # bounded by reps x folds x levels
+    isnull = F.col("_lv").isNull()
+    lev = per.groupBy(*reps, "_lv").agg(F.sum("nf").alias("n"), F.sum("n1f").alias("n1"))
+    ft = per.groupBy(*reps, "_f").agg(
         F.sum("nf").alias("Nf"), F.sum("n1f").alias("N1f"),
-        F.sum(F.when(F.col("level").isNull(), F.col("nf"))).alias("NNf"),
-        F.sum(F.when(F.col("level").isNull(), F.col("n1f"))).alias("NN1f"))
-    tot = lev.agg(F.sum("n").alias("N"), F.sum("n1").alias("N1"),
-                  F.sum(F.when(F.col("level").isNull(), F.col("n"))).alias("NN"),
-                  F.sum(F.when(F.col("level").isNull(), F.col("n1"))).alias("NN1"))
-    # per fold: the model trained on the other folds (fold x level table);
-    # the scalars are one row per fold
-    t = tot.first()
-    N, N1 = float(t["N"] or 0), float(t["N1"] or 0)
-    NN, NN1 = float(t["NN"] or 0), float(t["NN1"] or 0)
-    fold_rows = fold_tot.collect()  # one row per fold
-    p_full = N1 / N if N else 0.0
-    na_full = (N1 + NN1 + p_full) / (N + NN + 1.0)
-    fold_p = {}
-    for r in fold_rows:
-        n_o = N - float(r["Nf"])
-        n1_o = N1 - float(r["N1f"])
-        p_o = n1_o / n_o if n_o else 0.0
-        nn_o = NN - float(r["NNf"] or 0)
-        nn1_o = NN1 - float(r["NN1f"] or 0)
-        fold_p[r["fold"]] = (p_o, (n1_o + nn1_o + p_o) / (n_o + nn_o + 1.0))
-    p_map = F.create_map(*[x for f, (p, _) in fold_p.items() for x in (F.lit(f), F.lit(p))])
-    na_map = F.create_map(*[x for f, (_, na) in fold_p.items() for x in (F.lit(f), F.lit(na))])
-    oof = (per.join(lev, "level").where(F.col("level").isNotNull())
-           .select(F.col("fold").alias("_oof_fold"), F.col("level").alias("_oof_level"),
-                   (F.col("n") - F.col("nf")).alias("_n_o"), (F.col("n1") - F.col("n1f")).alias("_n1_o")))
-    full = lev.where(F.col("level").isNotNull()).select(
-        F.col("level").alias("_full_level"),
-        ((F.col("n1") + F.lit(p_full)) / (F.col("n") + F.lit(1.0))).alias("_full_v"))
-    x = df.withColumn("_lvl", lvl)
-    x = x.join(oof, (F.col("_lvl") == F.col("_oof_level")) & (F.col(fold_col) == F.col("_oof_fold"))
-               & F.col(label_col).isNotNull(), "left")
-    x = x.join(full, F.col("_lvl") == F.col("_full_level"), "left")
-    p_o = p_map[F.col(fold_col)]
-    na_o = na_map[F.col(fold_col)]
-    v_lab = F.when(F.col("_n_o") > 0, (F.col("_n1_o") + p_o) / (F.col("_n_o") + 1.0)).otherwise(na_o)
-    v = F.when(F.col(label_col).isNotNull(), v_lab).otherwise(F.coalesce("_full_v", F.lit(na_full)))
-    return x.select(*[F.col(c) for c in df.columns], v.alias(out_col))
+        F.coalesce(F.sum(F.when(isnull, F.col("nf"))), F.lit(0)).alias("NNf"),
+        F.coalesce(F.sum(F.when(isnull, F.col("n1f"))), F.lit(0.0)).alias("NN1f"))
+    tot = per.groupBy(*reps).agg(
+        F.sum("nf").alias("N"), F.sum("n1f").alias("N1"),
+        F.coalesce(F.sum(F.when(isnull, F.col("nf"))), F.lit(0)).alias("NN"),
+        F.coalesce(F.sum(F.when(isnull, F.col("n1f"))), F.lit(0.0)).alias("NN1"))
+    n_o, n1_o = F.col("N") - F.col("Nf"), F.col("N1") - F.col("N1f")
+    p_o = n1_o / n_o
+    po = ft.join(tot, reps)  # reps x folds rows
+    po = po.select(*reps, "_f", p_o.alias("_p_o"),
+                   ((n1_o + (F.col("NN1") - F.col("NN1f")) + p_o)
+                    / (n_o + (F.col("NN") - F.col("NNf")) + 1.0)).alias("_na_o"))
+    full = tot.select(*reps, (F.col("N1") / F.col("N")).alias("_p"),
+                      ((F.col("N1") + F.col("NN1") + F.col("N1") / F.col("N"))
+                       / (F.col("N") + F.col("NN") + 1.0)).alias("_na"))
+    oofv = (per.where(~isnull).join(lev, [*reps, "_lv"]).join(po, [*reps, "_f"])
+            .select(F.struct(*[F.col(r) for r in reps], F.col("_f"), F.col("_lv")).alias("_k"),
+                    F.when(F.col("n") - F.col("nf") > 0,
+                           (F.col("n1") - F.col("n1f") + F.col("_p_o")) / (F.col("n") - F.col("nf") + 1.0))
+                    .otherwise(F.col("_na_o")).alias("_v_oof")))
+    fullv = lev.where(F.col("_lv").isNotNull()).join(full, reps).select(
+        F.struct(*[F.col(r) for r in reps], F.col("_lv")).alias("_k"),
+        ((F.col("n1") + F.col("_p")) / (F.col("n") + 1.0)).alias("_v_full"))
+    # small per-(rep, fold) and per-rep tables: bounded by reps x folds
+    x = df.join(F.broadcast(po.withColumnRenamed("_f", fold_col)), [*reps, fold_col], "left")
+    x = x.join(F.broadcast(full), reps, "left")
+    lvl = F.col(col).cast("string")
+    x = lookup_join(x, oofv, F.struct(*[F.col(r) for r in reps], F.col(fold_col), lvl), "_k", ["_v_oof"],
+                    row_key=row_key, **kw)
+    x = lookup_join(x, fullv, F.struct(*[F.col(r) for r in reps], lvl), "_k", ["_v_full"],
+                    row_key=row_key, **kw)
+    v = F.when(F.col(label_col).isNotNull(), F.coalesce("_v_oof", "_na_o")) \
+        .otherwise(F.coalesce("_v_full", "_na"))
+    return x.select(*[F.col(c) for c in src_cols], v.alias(out_col))
 
 
 # ---------------------------------------------------------------- E4
@@ -208,47 +219,71 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str] | None = None,
 
 
 # ---------------------------------------------------------------- E5
-def fit_nb_impact(train: DataFrame, col: str, label_col: str = "target",
-                  alpha: float = 1.0) -> tuple[DataFrame, float]:
-    """E5: Bernoulli naive Bayes on the one-hot levels of ``col`` in closed
-    form. Returns (model(level, value), unseen_value) where value is the
-    posterior of class 1; null is the level 'nan'.
+def fit_nb_impact_many(train: DataFrame, cols: Sequence[str], label_col: str = "target",
+                       alpha: float = 1.0) -> tuple[DataFrame, dict[str, float], dict[str, int]]:
+    """E5 for several columns in one pass: Bernoulli naive Bayes on the
+    one-hot levels of each column in closed form (null is the level 'nan').
 
     theta_jy = (N_jy + a) / (N_y + 2a); score_y = log prior_y
-    + sum_j log(1 - theta_jy) + [log theta_ly - log(1 - theta_ly)].
-    """
+    + sum_j log(1 - theta_jy) + [log theta_ly - log(1 - theta_ly)];
+    value = posterior of class 1. An unseen level keeps only the first two
+    terms. Returns (model(column, level, value), {column: unseen value},
+    {column: number of levels})."""
+    import math
+
+    from tessera.sources.staging import stage
     lab = train.where(F.col(label_col).isNotNull())
-    lvl = F.coalesce(F.col(col).cast("string"), F.lit("nan"))
     y = F.col(label_col).cast("int")
-    per = lab.groupBy(lvl.alias("level")).agg(
-        F.sum(F.when(y == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(y == 1, 1).otherwise(0)).alias("n1"))
-    cls = lab.agg(F.sum(F.when(y == 0, 1).otherwise(0)).alias("c0"),
-                  F.sum(F.when(y == 1, 1).otherwise(0)).alias("c1")).first()
-    c0, c1 = float(cls["c0"]), float(cls["c1"])
+    items = F.array(*[F.struct(F.lit(c).alias("column"),
+                               F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("level")) for c in cols])
+    per = (lab.select(y.alias("_y"), F.inline(items)).groupBy("column", "level")
+           .agg(F.sum(F.when(F.col("_y") == 0, 1).otherwise(0)).alias("n0"),
+                F.sum(F.when(F.col("_y") == 1, 1).otherwise(0)).alias("n1")))
+    per = stage(per, "nb-counts")  # bounded by the number of distinct levels
+    cls = {r["column"]: r for r in per.groupBy("column").agg(
+        F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count(F.lit(1)).alias("levels")).collect()}
     a = float(alpha)
-    t0 = (F.col("n0") + a) / F.lit(c0 + 2 * a)
-    t1 = (F.col("n1") + a) / F.lit(c1 + 2 * a)
-    th = per.select("level", t0.alias("t0"), t1.alias("t1"))
-    s = th.agg(F.sum(F.log1p(-F.col("t0"))).alias("s0"), F.sum(F.log1p(-F.col("t1"))).alias("s1")).first()
-    import math
-    base0 = math.log(c0 / (c0 + c1)) + s["s0"]
-    base1 = math.log(c1 / (c0 + c1)) + s["s1"]
-    d = (F.lit(base0) + F.ln("t0") - F.log1p(-F.col("t0"))) - (F.lit(base1) + F.ln("t1") - F.log1p(-F.col("t1")))
-    model = th.select("level", (F.lit(1.0) / (F.lit(1.0) + F.exp(d))).alias("value"))
-    unseen = 1.0 / (1.0 + math.exp(base0 - base1))
-    return model, unseen
+    c0 = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(float(cls[c]["c0"])))])
+    c1 = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(float(cls[c]["c1"])))])
+    th = per.select("column", "level",
+                    ((F.col("n0") + a) / (c0[F.col("column")] + 2 * a)).alias("t0"),
+                    ((F.col("n1") + a) / (c1[F.col("column")] + 2 * a)).alias("t1"))
+    sums = {r["column"]: r for r in th.groupBy("column").agg(
+        F.sum(F.log1p(-F.col("t0"))).alias("s0"), F.sum(F.log1p(-F.col("t1"))).alias("s1")).collect()}
+    base0, base1, unseen = {}, {}, {}
+    for c in cols:
+        k0, k1 = float(cls[c]["c0"]), float(cls[c]["c1"])
+        base0[c] = math.log(k0 / (k0 + k1)) + sums[c]["s0"]
+        base1[c] = math.log(k1 / (k0 + k1)) + sums[c]["s1"]
+        unseen[c] = 1.0 / (1.0 + math.exp(base0[c] - base1[c]))
+    b0 = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(base0[c]))])
+    b1 = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(base1[c]))])
+    d = ((b0[F.col("column")] + F.ln("t0") - F.log1p(-F.col("t0")))
+         - (b1[F.col("column")] + F.ln("t1") - F.log1p(-F.col("t1"))))
+    model = th.select("column", "level", (F.lit(1.0) / (F.lit(1.0) + F.exp(d))).alias("value"))
+    return model, unseen, {c: int(cls[c]["levels"]) for c in cols}
+
+
+def fit_nb_impact(train: DataFrame, col: str, label_col: str = "target",
+                  alpha: float = 1.0) -> tuple[DataFrame, float]:
+    """E5 for one column: (model(level, value), unseen value)."""
+    model, unseen, _ = fit_nb_impact_many(train, [col], label_col, alpha)
+    return model.select("level", "value"), unseen[col]
 
 
 def nb_impact_encode(train: DataFrame, cols: Sequence[str], label_col: str = "target",
                      apply_to: DataFrame | None = None, prefix: str = "Imp_", **kw) -> DataFrame:
-    """E5 over several columns: fitted on ``train``'s labelled rows, applied
-    to ``apply_to`` (default ``train``)."""
+    """E5 over several columns: fitted on ``train``'s labelled rows in one
+    pass, applied to ``apply_to`` (default ``train``)."""
+    cols = list(cols)
     out = apply_to if apply_to is not None else train
+    if not cols:
+        return out
+    model, unseen, sizes = fit_nb_impact_many(train, cols, label_col)
     for c in cols:
-        model, unseen = fit_nb_impact(train, c, label_col)
-        m = model.select("level", F.col("value").alias(f"{prefix}{c}"))
+        m = model.where(F.col("column") == c).select("level", F.col("value").alias(f"{prefix}{c}"))
         out = lookup_join(out, m, F.coalesce(F.col(c).cast("string"), F.lit("nan")), "level",
-                          [f"{prefix}{c}"], defaults={f"{prefix}{c}": unseen}, **kw)
+                          [f"{prefix}{c}"], defaults={f"{prefix}{c}": unseen[c]}, model_rows=sizes[c], **kw)
     return out
 
 
@@ -334,36 +369,54 @@ def letter_counts(df: DataFrame, cols: Sequence[str] | None = None, prefix: str
 
 
 # ---------------------------------------------------------------- E11-E13
-def fit_label_codes(df: DataFrame, col: str, order: str = "first", id_col: str = "ID",
-                    start: int = 0) -> DataFrame:
-    """Level table (level, code) for E11 (``order='first'``: codes by first
-    appearance in ``id_col`` order) or E13 (``order='alpha'``: sorted level
-    order). Ranking runs distributed (see ranking.cumulative_rank)."""
-    lvl = F.col(col).cast("string")
-    base = df.where(lvl.isNotNull())
+def fit_label_codes_many(df: DataFrame, cols: Sequence[str], order: str = "first", id_col: str = "ID",
+                         start: int = 0) -> tuple[DataFrame, dict[str, int]]:
+    """Level tables of several columns in one pass: (column, level, code)
+    with codes by first appearance in ``id_col`` order (E11, ``order='first'``)
+    or sorted level order (E13, ``order='alpha'``), numbered per column by the
+    distributed ranking helper. Also returns the number of levels per column."""
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
+                      for c in cols])
+    long = df.select(id_col, F.inline(items)).where(F.col("level").isNotNull())
     if order == "first":
-        lv = base.groupBy(lvl.alias("level")).agg(F.min(id_col).alias("_first"))
-        ranked = cumulative_rank(lv, [], ["_first", "level"])
+        lv = long.groupBy("column", "level").agg(F.min(id_col).alias("_first"))
+        ranked = cumulative_rank(lv, ["column"], ["_first", "level"], group_bound=len(cols))
     elif order == "alpha":
-        lv = base.select(lvl.alias("level")).distinct()
-        ranked = cumulative_rank(lv, [], ["level"])
+        lv = long.select("column", "level").distinct()
+        ranked = cumulative_rank(lv, ["column"], ["level"], group_bound=len(cols))
     else:
         raise ValueError(order)
-    return ranked.select("level", (F.col("rank_lo") + F.lit(start)).cast("long").alias("code"))
+    codes = ranked.select("column", "level", (F.col("rank_lo") + F.lit(start)).cast("long").alias("code"))
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n")).collect()}  # one row per column
+    return codes, sizes
+
+
+def fit_label_codes(df: DataFrame, col: str, order: str = "first", id_col: str = "ID",
+                    start: int = 0) -> DataFrame:
+    """Level table (level, code) of one column (see fit_label_codes_many)."""
+    codes, _ = fit_label_codes_many(df, [col], order, id_col, start)
+    return codes.select("level", "code")
 
 
 def label_encode(df: DataFrame, cols: Sequence[str], order: str = "first", id_col: str = "ID",
                  fit_on: DataFrame | None = None, missing: int | None = -1, start: int = 0,
                  **kw) -> DataFrame:
     """Replace each listed column by its integer code. Codes are
-    fitted on ``fit_on`` (default ``df``); null and unseen levels get
-    ``missing`` (-1 for E11/E12; ``None`` keeps null for E13)."""
+    fitted on ``fit_on`` (default ``df``) for all columns in one pass; null
+    and unseen levels get ``missing`` (-1 for E11/E12; ``None`` keeps null
+    for E13)."""
+    cols = list(cols)
+    if not cols:
+        return df
     src = fit_on if fit_on is not None else df
+    codes, sizes = fit_label_codes_many(src, cols, order, id_col, start)
     out = df
     for c in cols:
-        codes = fit_label_codes(src, c, order, id_col, start).withColumnRenamed("code", "_code")
-        out = lookup_join(out, codes, F.col(c).cast("string"), "level", ["_code"],
-                          defaults={"_code": missing} if missing is not None else None, **kw)
+        m = codes.where(F.col("column") == c).select("level", F.col("code").alias("_code"))
+        out = lookup_join(out, m, F.col(c).cast("string"), "level", ["_code"],
+                          defaults={"_code": missing} if missing is not None else None,
+                          model_rows=sizes.get(c, 0), **kw)
         out = out.withColumn(c, F.col("_code")).drop("_code")
     return out
 

@@ -94,7 +94,7 @@ def random_draws(df: DataFrame, cols: Sequence[str], id_col: str = "ID", seed: i
                                F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)])
     long = df.select(id_col, F.inline(items))
     donors = cumulative_rank(long.where(F.col("value").isNotNull()), ["column"], [id_col],
-                             lo_col="didx", hi_col="_dh").drop("_dh")
+                             lo_col="didx", hi_col="_dh", group_bound=len(cols)).drop("_dh")
     sizes = {r["column"]: r["m"] for r in donors.groupBy("column").agg(
         F.count(F.lit(1)).alias("m")).collect()}  # one row per column
     usable = [(i, c) for i, c in enumerate(cols) if sizes.get(c)]

@@ -35,13 +35,16 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 def cumulative_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                     weight_col: str | None = None, lo_col: str = "rank_lo",
                     hi_col: str = "rank_hi", num_partitions: int | None = None,
-                    materialize: bool = True) -> DataFrame:
+                    materialize: bool = True, group_bound: int | None = None) -> DataFrame:
     """Add ``lo_col`` = total weight of the rows before this one in its group
     (order given by ``order_cols``) and ``hi_col`` = lo + own weight.
 
     With no ``weight_col`` every row weighs 1, so ``lo_col`` is the 0-based
     row number within the group. ``order_cols`` must order each group totally
     (append a unique key) for the numbering to be deterministic.
+    ``group_bound`` (an upper bound on the number of groups known to the
+    caller, e.g. the number of columns) proves the offsets table small
+    without counting it; with no groups the bound is 1.
     """
     spark = df.sparkSession
     group_cols = list(group_cols)
@@ -64,7 +67,10 @@ def cumulative_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         F.col("_rk_pid").alias("_rk_opid"),
         *[F.col(g).alias(f"_rk_g{i}") for i, g in enumerate(group_cols)],
         F.coalesce(F.sum("_rk_tot").over(before), F.lit(0)).cast("long").alias("_rk_off"))
-    if offs.count() <= OFFSET_BROADCAST_ROWS:
+    bound = 1 if not group_cols else group_bound
+    if bound is not None and n * bound <= OFFSET_BROADCAST_ROWS:
+        offs = F.broadcast(offs)  # at most partitions x groups rows
+    elif offs.count() <= OFFSET_BROADCAST_ROWS:
         offs = F.broadcast(offs)
     cond = F.col("_rk_pid") == F.col("_rk_opid")
     for i, g in enumerate(group_cols):
@@ -106,7 +112,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     spark = df.sparkSession
     long = long_numeric(df, cols)
     dist = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = cumulative_rank(dist, ["column"], ["value"], weight_col="cnt")
+    ranked = cumulative_rank(dist, ["column"], ["value"], weight_col="cnt", group_bound=len(cols))
     totals = ranked.groupBy("column").agg(F.max("rank_hi").alias("n"))
     targets = (totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("h", (F.col("n") - 1).cast("double") * F.col("prob"))

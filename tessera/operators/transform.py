@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
+from tessera.operators.ranking import long_numeric
 
 # Fixed grid of Yeo-Johnson lambdas searched by maximum likelihood: -2..2 by 0.1.
 YJ_GRID = [round(-2.0 + 0.1 * i, 1) for i in range(41)]
@@ -35,32 +36,34 @@ def _yj_sign_log(c) -> F.Column:
 
 def yeo_johnson_profile(df: DataFrame, cols: Sequence[str], grid: Sequence[float] = YJ_GRID,
                         shift_min: bool = False) -> dict[str, list[tuple[float, float]]]:
-    """Profile log-likelihood of the Yeo-Johnson lambda on a fixed grid, one
-    aggregate for all columns and lambdas:
+    """Profile log-likelihood of the Yeo-Johnson lambda on a fixed grid:
     ll(l) = -n/2 log(var_pop(yj(x, l))) + (l - 1) sum(sign(x) log(1 + |x|)).
+
+    One pass for all columns and lambdas: values are unpivoted to (column,
+    value), crossed with the grid inside the map stage and reduced per
+    (column, lambda) with partial aggregation (columns x grid groups).
     ``shift_min`` first shifts each column by its minimum (x - min)."""
+    import math
     src = df
     if shift_min:
         mins = df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in cols]).first()
         src = df.select(*[(F.col(c).cast("double") - F.lit(mins[c] or 0.0)).alias(c) for c in cols])
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs.append(F.count(F.col(c)).alias(f"n{i}"))
-        aggs.append(F.sum(_yj_sign_log(c)).alias(f"s{i}"))
-        for j, lam in enumerate(grid):
-            aggs.append(F.var_pop(X.yeo_johnson(c, lam)).alias(f"v{i}_{j}"))
-    r = src.agg(*aggs).first()
-    import math
+    long = long_numeric(src, cols)
+    g = long.select("column", "value", F.explode(F.array(*[F.lit(float(v)) for v in grid])).alias("lam"))
+    r = g.groupBy("column", "lam").agg(
+        F.count("value").alias("n"), F.var_pop(X.yeo_johnson(F.col("value"), F.col("lam"))).alias("v"),
+        F.sum(_yj_sign_log(F.col("value"))).alias("s")).collect()  # columns x grid rows
+    got = {(x["column"], round(x["lam"], 10)): x for x in r}
     out = {}
-    for i, c in enumerate(cols):
-        n, s = r[f"n{i}"], r[f"s{i}"]
+    for c in cols:
         prof = []
-        for j, lam in enumerate(grid):
-            v = r[f"v{i}_{j}"]
-            if not n or v is None or v <= 0 or math.isnan(v) or math.isinf(v):
+        for lam in grid:
+            x = got.get((c, round(float(lam), 10)))
+            v = x["v"] if x else None
+            if not x or not x["n"] or v is None or v <= 0 or math.isnan(v) or math.isinf(v):
                 prof.append((lam, float("-inf")))
             else:
-                prof.append((lam, -0.5 * n * math.log(v) + (lam - 1.0) * s))
+                prof.append((lam, -0.5 * x["n"] * math.log(v) + (lam - 1.0) * x["s"]))
         out[c] = prof
     return out
 

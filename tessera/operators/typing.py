@@ -49,7 +49,7 @@ def level_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level"))
                       for c in cols])
     lv = df.select(F.inline(items)).where(F.col("level").isNotNull()).distinct()
-    r = cumulative_rank(lv, ["column"], ["level"], lo_col="_lo", hi_col="code")
+    r = cumulative_rank(lv, ["column"], ["level"], lo_col="_lo", hi_col="code", group_bound=len(cols))
     return r.select("column", "level", F.col("code").cast("long").alias("code"))
 
 

@@ -143,20 +143,15 @@ oof AS (SELECT lab.ID, lab.rep, (round(CASE WHEN lab.level IS NOT NULL AND lev.n
         LEFT JOIN levf ON levf.rep = lab.rep AND levf.fold = lab.fold AND levf.level = lab.level)"""
 
 
-def _oof(spark, d, fold_frames):
+def _oof(spark, d, folds_with_rep):
+    """Out-of-fold impact coding of v22 for every (rep, labelled row) in one pass."""
     c = claims_view(spark, d).select("ID", "target", "v22")
-    parts = []
-    for member, f in fold_frames:
-        x = c.join(f.select("ID", "fold"), "ID")
-        o = encode.impact_encode_out_of_fold(x, "v22", "fold", out_col="prob")
-        # members are rounded to 6 decimals: their average then never sits on
-        # a rounding boundary, whatever order an engine sums in
-        parts.append(o.select("ID", F.lit(member).alias("member"),
-                              (F.round("prob", 6) + F.lit(0.0)).alias("prob")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u
+    x = c.join(folds_with_rep.select("ID", "rep", "fold"), "ID")
+    o = encode.impact_encode_out_of_fold(x, "v22", "fold", out_col="prob", rep_col="rep", row_key="ID")
+    # members are rounded to 6 decimals: an average of three such values has
+    # a repeating or short decimal expansion, so it never sits on a rounding
+    # boundary, whatever order an engine sums in
+    return o.select("ID", "rep", (F.round("prob", 6) + F.lit(0.0)).alias("prob"))
 
 
 _OOF_SELECT = f"SELECT ID, count(*) AS n_models, {R('avg(prob)')} AS prob FROM oof GROUP BY ID"
@@ -167,8 +162,7 @@ def v9_oof_average(spark, d):
     """V9 with Q11: out-of-fold impact coding of v22 (per-fold counts
     subtracted from the totals) over 3 folds x 3 repeats, averaged per ID."""
     f = folds.stratified_folds(claims_view(spark, d), k=3, repeats=3, seed=15)
-    frames = [(r, f.where(F.col("rep") == r)) for r in (1, 2, 3)]
-    return rounded(metrics.average_predictions(_oof(spark, d, frames)))
+    return rounded(metrics.average_predictions(_oof(spark, d, f)))
 
 
 _BAG_SEEDS = [2018, 2019, 2020]
@@ -180,11 +174,12 @@ _BAG_SEEDS = [2018, 2019, 2020]
 def v10_seed_bagging(spark, d):
     """Bag of out-of-fold impact models whose folds use different seeds
     (2018-2020), averaged per ID."""
-    members = []
-    for i, s in enumerate(_BAG_SEEDS):
-        f = folds.stratified_folds(claims_view(spark, d), k=3, repeats=1, seed=s)
-        members.append(_oof(spark, d, [(i, f)]).select("ID", "prob"))
-    return rounded(metrics.bag(members))
+    parts = [folds.stratified_folds(claims_view(spark, d), k=3, repeats=1, seed=s)
+             .withColumn("rep", F.lit(i + 1)) for i, s in enumerate(_BAG_SEEDS)]
+    members = parts[0]
+    for p in parts[1:]:
+        members = members.unionByName(p)
+    return rounded(metrics.average_predictions(_oof(spark, d, members)))
 
 
 # ---------------------------------------------------------------- masks

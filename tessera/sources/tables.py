@@ -23,6 +23,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-partition on ``key`` when the scan yields fewer partitions than
+    the cluster can run at once (a few large files, or one small file);
+    a no-op on large inputs, which already arrive in many splits. Hashing on
+    the row key also lets later joins on that key reuse the partitioning."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def _letter(code) -> F.Column:
     return F.chr((F.lit(65) + code).cast("long"))
 
@@ -37,7 +49,7 @@ def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     ck = F.col("o_custkey")
     null = F.lit(None)
-    return j.select(
+    out = j.select(
         k.alias("ID"),
         F.when(F.pmod(k, F.lit(5)) == 4, null.cast("int"))
          .when(F.col("o_orderstatus") == "F", F.lit(1)).otherwise(F.lit(0)).alias("target"),
@@ -59,6 +71,7 @@ def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(_letter(F.pmod(ck * 7, F.lit(26)).cast("int"))))).alias("v22"),
         _letter(F.pmod(k * 3, F.lit(7)).cast("int")).alias("v66"),
     )
+    return spread(out, "ID")
 
 
 # The same view as SQL text (runs unchanged in Spark SQL and DuckDB).
@@ -96,11 +109,11 @@ def lineitem_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second, larger mixed-type table for the scale runs of profiling and
     association: every lineitem row, numeric measures and string flags."""
     li = read_table(spark, sf_dir, "lineitem")
-    return li.select(
+    return spread(li.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
-    )
+    ), "l_orderkey")
 
 
 LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
