@@ -85,6 +85,20 @@ def model_table(pre: DataFrame, num: DataFrame | None = None, fac: DataFrame | N
     return select.join_on_id(num, fac, ID, LABEL)
 
 
+def retransform(df: DataFrame, special_log: Sequence[str] = (), log1p: Sequence[str] = (),
+                yeo_johnson: Sequence[str] = (), scale: bool = True) -> DataFrame:
+    """After imputation, re-derive ``Ts_/Tl_/Tyj_`` from the (now
+    complete) source columns and min-max scale only the re-derived columns."""
+    new = ([f"Ts_{c}" for c in special_log] + [f"Tl_{c}" for c in log1p]
+           + [f"Tyj_{c}" for c in yeo_johnson])
+    x = df.drop(*[c for c in new if c in df.columns])
+    x = transform.add_special_log(x, special_log)
+    x = transform.add_log1p(x, log1p)
+    if yeo_johnson:
+        x = transform.add_yeo_johnson(x, list(yeo_johnson))
+    return transform.range_scale(x, new) if scale else x
+
+
 def imputed(table: DataFrame, method: str, seed: int = 321) -> DataFrame:
     """Dataset variants: 'mode' (A1: numeric mode, strings ''), 'median'
     (B1), 'random' (B2), 'sentinel' (C: first-appearance codes, -999)."""

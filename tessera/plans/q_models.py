@@ -168,3 +168,16 @@ def i8_stepwise_predictors(spark, d):
     one distributed Gram aggregate."""
     c = claims_view(spark, d).select("ID", "v1", "v23", "v50", F.col("v38").cast("double").alias("v38"))
     return rounded(chained.stepwise_predictors(c, ["v1", "v23", "v38"], ["v1", "v23", "v50", "v38"]))
+
+
+@query("m3_feature_pruning")
+def m3_feature_pruning(spark, d):
+    """M3 + J6: drop fixed names, then the columns of the low-ranked
+    importance slice (ranks 6-20) whose names match the derived-feature
+    pattern; the pruned modelling table."""
+    t = features.imputed(_table(spark, d), "median")
+    res = models.cross_validate(t, _gbt, k=3, repeats=1)
+    avg = select.average_importance(res["importances"])
+    low = select.rank_slice(avg, "average", 6, 20, pattern=r"^(Nr|Imp|T\w+|Num|Rfreq|Ffreq|It|Len)_")
+    names = [r["feature"] for r in low.collect()]  # at most 15 names
+    return rounded(select.prune_features(t, drop=["v3", "v66"] + names))

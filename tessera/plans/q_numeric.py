@@ -177,3 +177,30 @@ def i10_random_partition(spark, d):
 
 
 _ = X  # re-exported helpers used by callers
+
+
+def _retransform_sql() -> str:
+    body = _random_sql()
+    inner = body[len("WITH "):]
+    ctes, _, select = inner.rpartition("\nSELECT ")
+    sel = "SELECT " + select
+    t = (f"imp AS ({sel}), tr AS (SELECT ID, target, v1, v23, v38, v50, "
+         f"{special_log_sql('v23')} AS Ts_v23, CASE WHEN v1 > -1 THEN ln(1 + v1) END AS Tl_v1 FROM imp), "
+         "rg AS (SELECT min(Ts_v23) AS a1, max(Ts_v23) AS b1, min(Tl_v1) AS a2, max(Tl_v1) AS b2 FROM tr)")
+    out = (f"SELECT ID, target, v1, v23, v38, v50, "
+           f"{R('CASE WHEN rg.b1 > rg.a1 THEN (Ts_v23 - rg.a1) / (rg.b1 - rg.a1) END')} AS Ts_v23, "
+           f"{R('CASE WHEN rg.b2 > rg.a2 THEN (Tl_v1 - rg.a2) / (rg.b2 - rg.a2) END')} AS Tl_v1 "
+           "FROM tr, rg")
+    return f"WITH {ctes}, {t}\n{out}"
+
+
+@query("i9_retransform_after_impute", _retransform_sql())
+def i9_retransform_after_impute(spark, d):
+    """I9 after I4: random-draw imputation of v1, v23, v38, then the special
+    log of v23 and log(1 + v1) re-derived from the completed columns and only
+    those re-derived columns min-max scaled."""
+    from tessera.plans.features import retransform
+    df = claims_view(spark, d).select("ID", "target", "v1", "v23",
+                                      F.col("v38").cast("double").alias("v38"), "v50")
+    filled = impute.random_impute(df, _RI_COLS, seed=_RI_SEED)
+    return rounded(retransform(filled, special_log=["v23"], log1p=["v1"]))
