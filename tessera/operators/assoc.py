@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.profile import level_counts
+from tessera.sources.staging import stage
 
 SCHEMA = "col_a string, col_b string, kind string, n long, stat double"
 
@@ -73,7 +74,9 @@ def cramers_v_pairs(df: DataFrame, cols: Sequence[str], level_cap: int = 100,
         cells = (df.select(F.inline(items))
                  .where(F.col("la").isNotNull() & F.col("lb").isNotNull())
                  .groupBy("col_a", "col_b", "la", "lb").agg(F.count(F.lit(1)).alias("nij")))
-        # everything below is bounded by pairs x cap^2 rows
+        # staged (bounded by pairs x cap^2 rows): the three uses below read it,
+        # not the source
+        cells = stage(cells, "assoc-cells")
         ni = cells.groupBy("col_a", "col_b", "la").agg(F.sum("nij").alias("ni"))
         nj = cells.groupBy("col_a", "col_b", "lb").agg(F.sum("nij").alias("nj"))
         terms = (cells.join(ni, ["col_a", "col_b", "la"]).join(nj, ["col_a", "col_b", "lb"])
@@ -119,6 +122,7 @@ def anova_r2_pairs(df: DataFrame, num_cols: Sequence[str], fac_cols: Sequence[st
                .groupBy("col_a", "col_b", "lvl")
                .agg(F.count(F.lit(1)).alias("nl"), F.avg("y").alias("ml"),
                     F.var_pop("y").alias("vl")))
+        per = stage(per, "assoc-levels")  # bounded by pairs x cap rows; read twice
         tot = per.groupBy("col_a", "col_b").agg(
             F.sum("nl").alias("n"), (F.sum(F.col("nl") * F.col("ml")) / F.sum("nl")).alias("m"),
             F.count(F.lit(1)).alias("k"))

@@ -11,8 +11,12 @@ compute the same numbers at scale:
 3. the offsets are joined back and added to the in-partition running sums.
 
 The tagged frame is materialised with a reliable ``checkpoint`` before it is
-used twice, so the partition ids seen by (2) and (3) are the same even when a
-lost task is recomputed.
+used twice. This is required, not a precaution: (2) and (3) read different
+column sets, so they are planned as two separate range exchanges, and the
+range bounds are drawn from a sample whose seed depends on the RDD, so two
+exchanges over large input may cut the key range differently. Reading both
+branches from one checkpoint makes the partition ids agree, also when a lost
+task is recomputed.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ def _cols(xs: Sequence[str | Column]) -> list[Column]:
 def cumulative_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
                     weight_col: str | None = None, lo_col: str = "rank_lo",
                     hi_col: str = "rank_hi", num_partitions: int | None = None,
-                    materialize: bool = True, group_bound: int | None = None) -> DataFrame:
+                    group_bound: int | None = None) -> DataFrame:
     """Add ``lo_col`` = total weight of the rows before this one in its group
     (order given by ``order_cols``) and ``hi_col`` = lo + own weight.
 
@@ -57,9 +61,8 @@ def cumulative_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     win = (Window.partitionBy("_rk_pid", *group_cols).orderBy(*order)
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("_rk_cum", F.sum("_rk_w").over(win))
-    if materialize:
-        ensure_checkpoint_dir(spark)
-        local = local.checkpoint(eager=True)
+    ensure_checkpoint_dir(spark)
+    local = local.checkpoint(eager=True)
     stats = local.groupBy("_rk_pid", *group_cols).agg(F.sum("_rk_w").alias("_rk_tot"))
     before = (Window.partitionBy(*group_cols).orderBy("_rk_pid")
               .rowsBetween(Window.unboundedPreceding, -1))

@@ -101,3 +101,14 @@ def test_histogram(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,), (None,)], "x double")
     h = {r["bin"]: r["n"] for r in profile.histogram(df, "x", width=0.5).collect()}
     assert h == {0: 1, 1: 1, 2: 1}
+
+
+def test_cumulative_rank_large_sampled_input(spark):
+    # enough rows per input partition that range bounds come from a sample
+    df = spark.range(0, 60000, numPartitions=12).selectExpr(
+        "id", "CAST(id % 5 AS INT) AS g", "(id * 7919) % 60013 AS v", "CAST(id % 3 + 1 AS LONG) AS w")
+    r = cumulative_rank(df, ["g"], ["v", "id"], weight_col="w", num_partitions=16)
+    got = r.select("id", "g", "v", "w", "rank_lo", "rank_hi").toPandas().sort_values(["g", "v", "id"])
+    got["expect_hi"] = got.groupby("g")["w"].cumsum()
+    assert (got["rank_hi"] == got["expect_hi"]).all()
+    assert (got["rank_lo"] == got["expect_hi"] - got["w"]).all()
