@@ -24,9 +24,12 @@ SCHEMA = "col_a string, col_b string, kind string, n long, stat double"
 
 
 def _mirror(df: DataFrame) -> DataFrame:
-    flipped = df.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"),
-                        "kind", "n", "stat")
-    return df.unionByName(flipped)
+    """Both orientations from each row in one pass (a union with a flipped
+    copy would plan, and scan, the input twice)."""
+    both = F.array(
+        F.struct(F.col("col_a").alias("col_a"), F.col("col_b").alias("col_b"), "kind", "n", "stat"),
+        F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "kind", "n", "stat"))
+    return df.select(F.inline(both))
 
 
 def _empty(spark) -> DataFrame:

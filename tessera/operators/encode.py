@@ -184,9 +184,13 @@ def impact_encode_out_of_fold(df: DataFrame, col: str, fold_col: str, label_col:
     fullv = lev.where(F.col("_lv").isNotNull()).join(full, reps).select(
         F.struct(*[F.col(r) for r in reps], F.col("_lv")).alias("_k"),
         ((F.col("n1") + F.col("_p")) / (F.col("n") + 1.0)).alias("_v_full"))
-    # small per-(rep, fold) and per-rep tables: bounded by reps x folds
-    x = df.join(F.broadcast(po.withColumnRenamed("_f", fold_col)), [*reps, fold_col], "left")
-    x = x.join(F.broadcast(full), reps, "left")
+    # per-(rep, fold) and per-rep tables: broadcast after checking their size
+    # (reps x folds rows for a fold column; a fold column with many values
+    # falls back to a shuffle join)
+    po = po.withColumnRenamed("_f", fold_col)
+    small = po.count() <= BROADCAST_MAX_ROWS
+    x = df.join(F.broadcast(po) if small else po, [*reps, fold_col], "left")
+    x = x.join(F.broadcast(full) if small else full, reps, "left")
     lvl = F.col(col).cast("string")
     x = lookup_join(x, oofv, F.struct(*[F.col(r) for r in reps], F.col(fold_col), lvl), "_k", ["_v_oof"],
                     row_key=row_key, **kw)

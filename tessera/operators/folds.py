@@ -18,8 +18,9 @@ def contiguous_kfold(df: DataFrame, k: int = 3, id_col: str = "ID", out_col: str
                      ) -> DataFrame:
     """V4: unshuffled K-fold in ``id_col`` order; the first n mod k folds hold
     one row more. Folds are 1..k."""
-    idx = cumulative_rank(df, [], [id_col], lo_col="_pos", hi_col="_ph").drop("_ph")
-    n = df.count()
+    idx = cumulative_rank(df, [], [id_col], lo_col="_pos", hi_col="_ph")
+    n = int(idx.agg(F.max("_ph")).first()[0] or 0)  # read from the ranked checkpoint
+    idx = idx.drop("_ph")
     q, r = divmod(n, k)
     big = r * (q + 1)
     pos = F.col("_pos")
@@ -61,7 +62,8 @@ def stratified_sample(df: DataFrame, fraction: float, label_col: str = "target",
     lab = df.where(F.col(label_col).isNotNull())
     keyed = lab.withColumn("_h", mix(F.col(id_col), seed))
     ranked = cumulative_rank(keyed, [label_col], ["_h", id_col], lo_col="_pos", hi_col="_ph")
-    sizes = lab.groupBy(label_col).agg(F.count(F.lit(1)).alias("_ns"))  # one row per class
-    j = ranked.join(F.broadcast(sizes), label_col)
+    # class sizes from the ranked checkpoint (partial aggregation; one row per class)
+    sizes = ranked.groupBy(label_col).agg(F.max("_ph").alias("_ns"))
+    j = ranked.join(sizes, label_col)  # AQE broadcasts it from runtime size
     keep = F.col("_pos") < F.ceil(F.col("_ns") * F.lit(float(fraction)))
     return j.where(keep).drop("_h", "_pos", "_ph", "_ns")
