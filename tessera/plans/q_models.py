@@ -76,11 +76,13 @@ def _gbt():
 @query("m4_gbt_cv_scores")
 def m4_gbt_cv_scores(spark, d):
     """M4 + M10 + V8: boosted trees with validation-based early stopping,
-    5 stratified folds, per-fold log-loss plus their mean and sd."""
+    5 stratified folds; per-fold log-loss rows plus 'cv_mean' and 'cv_sd' rows."""
     res = models.cross_validate(features.imputed(_table(spark, d), "median"), _gbt, k=5, repeats=1)
     s = res["scores"]
-    summ = metrics.cv_summary(s, "logloss").select(
-        F.lit("mean").alias("fold_name"), F.col("folds").alias("n"), F.col("cv_mean").alias("logloss"))
+    cv = metrics.cv_summary(s, "logloss")
+    summ = cv.select(F.inline(F.array(
+        F.struct(F.lit("cv_mean").alias("fold_name"), F.col("folds").alias("n"), F.col("cv_mean").alias("logloss")),
+        F.struct(F.lit("cv_sd").alias("fold_name"), F.col("folds").alias("n"), F.col("cv_sd").alias("logloss")))))
     return rounded(s.unionByName(summ))
 
 
@@ -94,8 +96,8 @@ def m11_importance_average(spark, d):
 
 @query("m8_forest_cv_scores")
 def m8_forest_cv_scores(spark, d):
-    """M8 + V4 style: Extra-Trees-like forest (entropy, no bootstrap,
-    leaf >= 2), stratified 3-fold log-loss."""
+    """M8: Extra-Trees-like forest (entropy, no bootstrap, leaf >= 2),
+    log-loss on 3 stratified folds."""
     res = models.cross_validate(features.imputed(_table(spark, d), "sentinel"),
                                 lambda: models.forest(num_trees=60, max_features=8, max_depth=12),
                                 k=3, repeats=1, early_stop=False)
@@ -112,8 +114,8 @@ def m5_best_rounds(spark, d):
 
 @query("m6_bagged_submission")
 def m6_bagged_submission(spark, d):
-    """M6 + V10 + S4: fit on all labelled rows with 3 seeds, average the
-    unlabelled rows' probabilities (ID, n_models, prob)."""
+    """M6 + V10: fit on all labelled rows with 3 seeds and average the
+    unlabelled rows' class-1 probabilities: (ID, n_models, prob)."""
     return rounded(models.train_and_score(features.imputed(_table(spark, d), "median"), "simple",
                                           rounds=30, seeds=(2018, 2019, 2020)))
 

@@ -81,3 +81,30 @@ def test_streaming_rowwise_matches_batch(spark, sf):
     direct = rowwise.rowwise_features(batch, model, rows)
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(direct).count() == 0
+
+
+def test_cross_validate_forest_small(spark, sf):
+    from tessera.operators import models, select
+    from tessera.plans import features
+    from tessera.sources.tables import claims_view
+    pre = features.preprocess(claims_view(spark, sf), coded=["v38"])
+    t = features.imputed(features.model_table(pre, features.numeric_features(pre),
+                                              features.factor_features(pre)), "median")
+    res = models.cross_validate(t, lambda: models.forest(num_trees=5, max_features=4, max_depth=4),
+                                k=3, early_stop=False)
+    scores = res["scores"].collect()
+    assert len(scores) == 3 and all(0 < r["logloss"] < 5 for r in scores)
+    oof = res["oof"].collect()
+    labelled = t.where("target is not null").count()
+    assert len(oof) == labelled and all(r["n_models"] == 1 for r in oof)
+    avg = select.average_importance(res["importances"]).collect()
+    assert abs(sum(r["average"] for r in avg) - 1.0) < 1e-6  # importances sum to 1 per fold
+
+
+def test_shadow_selection_shape(spark, sf):
+    from tessera.operators import models
+    from tessera.sources.tables import claims_view
+    df = claims_view(spark, sf).select("ID", "target", "v1", "v23", "v50").fillna(0.0)
+    out = models.shadow_selection(df, runs=3, num_trees=5).collect()
+    assert {r["feature"] for r in out} == {"v1", "v23", "v50"}
+    assert all(r["decision"] in ("Confirmed", "Rejected", "Tentative") and 0 <= r["hits"] <= 3 for r in out)
