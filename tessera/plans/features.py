@@ -25,9 +25,10 @@ ID, LABEL = "ID", "target"
 def preprocess(df: DataFrame, coded: Sequence[str] = typing.CODED_AS_CATEGORY) -> DataFrame:
     """Integers to double (ID kept), '' to null, integer codes to
     categories, then NAfreq / NAfacfreq / Below0freq."""
-    x = typing.cast_integers_to_double(df, exclude=[ID, LABEL])
+    # codes become categories first, so their levels read '12', not '12.0'
+    x = typing.codes_to_categorical(df, [c for c in coded if c in df.columns])
+    x = typing.cast_integers_to_double(x, exclude=[ID, LABEL])
     x = typing.blanks_to_null(x)
-    x = typing.codes_to_categorical(x, [c for c in coded if c in x.columns])
     x = x.withColumn(LABEL, F.col(LABEL).cast("int"))
     return profile.add_row_shares(x, ID, LABEL)
 

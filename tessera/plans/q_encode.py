@@ -89,9 +89,9 @@ def e5_nb_impact(spark, d):
     return rounded(encode.nb_impact_encode(df, _NB_COLS).select("ID", *[f"Imp_{c}" for c in _NB_COLS]))
 
 
-def freq_sql(col: str, buckets: int | None) -> tuple[str, str, str]:
+def freq_sql(col: str, buckets: int | None, src: str = "claims") -> tuple[str, str, str]:
     cte = (
-        f"fq_{col}_c AS (SELECT CAST({col} AS VARCHAR) AS level, count(*) AS cnt FROM claims GROUP BY 1), "
+        f"fq_{col}_c AS (SELECT CAST({col} AS VARCHAR) AS level, count(*) AS cnt FROM {src} GROUP BY 1), "
         f"fq_{col}_s AS (SELECT sum(cnt) AS n, min(cnt) AS cmin, max(cnt) AS cmax, "
         f"count(DISTINCT cnt) + CASE WHEN count(*) FILTER (WHERE level IS NULL) > 0 THEN 0 ELSE 1 END AS nd "
         f"FROM fq_{col}_c)")
@@ -99,9 +99,9 @@ def freq_sql(col: str, buckets: int | None) -> tuple[str, str, str]:
     k = (f"CASE WHEN s.cmax = s.cmin THEN CAST(({b} + 1) // 2 AS BIGINT) ELSE "
          f"greatest(1, least({b}, CAST(ceil((c.cnt - s.cmin) * {b} * 1.0 / (s.cmax - s.cmin)) AS BIGINT))) END")
     rf = (f"(SELECT c.cnt * 1.0 / s.n FROM fq_{col}_c c, fq_{col}_s s "
-          f"WHERE c.level IS NOT DISTINCT FROM CAST(claims.{col} AS VARCHAR))")
+          f"WHERE c.level IS NOT DISTINCT FROM CAST({src}.{col} AS VARCHAR))")
     ff = (f"(SELECT 'F_{col}_' || CAST({k} AS VARCHAR) FROM fq_{col}_c c, fq_{col}_s s "
-          f"WHERE c.level IS NOT DISTINCT FROM CAST(claims.{col} AS VARCHAR))")
+          f"WHERE c.level IS NOT DISTINCT FROM CAST({src}.{col} AS VARCHAR))")
     return cte, rf, ff
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chained, metrics, models, select
 from tessera.plans import features
-from tessera.plans.registry import query, rounded
+from tessera.plans.registry import R, query, rounded, with_claims
 from tessera.sources.staging import stage
 from tessera.sources.tables import claims_view
 
@@ -24,21 +24,71 @@ def _table(spark, d):
     return stage(features.model_table(pre, num, fac), "model-table")
 
 
-@query("f_numeric_features")
+def _numeric_features_sql() -> str:
+    """SQL twin of the numeric feature pipeline on the claims view."""
+    from tessera.plans.q_numeric import special_log_sql, yj_lambda_cte, yj_sql
+    v71 = "nullif(v71, '')"
+    na = (f"(CAST(v1 IS NULL AS INT) + CAST(v23 IS NULL AS INT) + CAST(v38 IS NULL AS INT) "
+          f"+ CAST(v50 IS NULL AS INT) + CAST(v3 IS NULL AS INT) + CAST({v71} IS NULL AS INT) "
+          f"+ CAST(v22 IS NULL AS INT) + CAST(v66 IS NULL AS INT))")
+    nafac = (f"(CAST(v3 IS NULL AS INT) + CAST({v71} IS NULL AS INT) + CAST(v22 IS NULL AS INT) "
+             f"+ CAST(v66 IS NULL AS INT) + CAST(v38 IS NULL AS INT))")
+    below = ("(coalesce(CAST(v1 < 0 AS INT), 0) + coalesce(CAST(v23 < 0 AS INT), 0) "
+             "+ coalesce(CAST(v50 < 0 AS INT), 0))")
+    pre = (f"pre AS (SELECT ID, target, v1, v23, v50, {na} / 8.0 AS NAfreq, {nafac} / 5.0 AS NAfacfreq, "
+           f"{below} / 8.0 AS Below0freq FROM claims)")
+    tr = (f"tr AS (SELECT *, {special_log_sql('v23')} AS Ts_v23, CASE WHEN v1 > -1 THEN ln(1 + v1) END AS Tl_v1, "
+          f"{yj_sql('v50', '(SELECT lam FROM yjn)')} AS Tyj_v50 FROM pre)")
+    scaled = ["v1", "v23", "v50", "Ts_v23", "Tl_v1", "Tyj_v50"]
+    rg = "rg AS (SELECT " + ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in scaled) + " FROM tr)"
+    cols = ", ".join(
+        f"{R(f'CASE WHEN rg.b_{c} > rg.a_{c} THEN ({c} - rg.a_{c}) / (rg.b_{c} - rg.a_{c}) END')} AS {c}"
+        for c in scaled)
+    body = (f"SELECT ID, target, {cols}, {R('NAfreq')} AS NAfreq, {R('NAfacfreq')} AS NAfacfreq, "
+            f"{R('Below0freq')} AS Below0freq FROM tr, rg")
+    return with_claims(body, ", ".join([pre, yj_lambda_cte("yjn", "v50", src="pre"), tr, rg]))
+
+
+@query("f_numeric_features", _numeric_features_sql())
 def f_numeric_features(spark, d):
     """T5 pipeline: typed, shares, Ts_/Tl_/Tyj_ transforms, range scaled."""
     pre = _pre(spark, d)
     return rounded(features.numeric_features(pre, special_log=["v23"], log1p=["v1"], yeo_johnson=["v50"]))
 
 
-@query("f_factor_features_v1")
+def _factor_features_sql(version: int) -> str:
+    """SQL twin of the categorical feature pipeline on the claims view. The
+    level gate's outcome on this data is stated: v22 and v38 have more than
+    10 levels, v22 has at least 25."""
+    from tessera.plans.q_encode import LETTERS, freq_sql, impact_sql
+    pre = ("pre AS (SELECT ID, target, CAST(v38 AS VARCHAR) AS v38, v3, nullif(v71, '') AS v71, v22, v66, "
+           "CAST(coalesce(length(v22), 0) AS INTEGER) AS Len_v22, "
+           + ", ".join(f"coalesce(substring(v22, {i}, 1), '') AS It_v22_{i}" for i in (1, 2, 3))
+           + " FROM claims)")
+    cat = ["v38", "v3", "v71", "v22", "v66", "It_v22_1", "It_v22_2", "It_v22_3"]
+    nr = ", ".join("(" + " + ".join(f"coalesce(CAST({c} = '{L}' AS INTEGER), 0)" for c in cat)
+                   + f") AS Nr_{L}" for L in LETTERS)
+    items = "Len_v22, It_v22_1, It_v22_2, It_v22_3"
+    if version == 1:
+        imps = [impact_sql(c, src="pre") for c in ("v22", "v38")]
+        body = (f"SELECT ID, target, v3, v71, v66, {items}, {nr}, "
+                f"{R(imps[0][1])} AS Imp_v22, {R(imps[1][1])} AS Imp_v38 FROM pre")
+        return with_claims(body, ", ".join([pre] + [c for c, _ in imps]))
+    imp_cte, imp_val = impact_sql("v38", src="pre")
+    fq_cte, rf, ff = freq_sql("v22", 25, src="pre")
+    body = (f"SELECT ID, target, v38, v3, v71, v66, {items}, {nr}, {R(imp_val)} AS Imp_v38, "
+            f"CAST(v38 AS DOUBLE) AS Num_v38, {R(rf)} AS Rfreq_v22, {ff} AS Ffreq_v22 FROM pre")
+    return with_claims(body, ", ".join([pre, imp_cte, fq_cte]))
+
+
+@query("f_factor_features_v1", _factor_features_sql(1))
 def f_factor_features_v1(spark, d):
     """Categorical features v1: items, letter counts, impact coding of
     columns with more than 10 levels."""
     return rounded(features.factor_features(_pre(spark, d), long_strings=["v22"], version=1))
 
 
-@query("f_factor_features_v2")
+@query("f_factor_features_v2", _factor_features_sql(2))
 def f_factor_features_v2(spark, d):
     """Categorical features v2: v1 without impact coding v22, plus numeric
     code copies and 25-bucket frequency coding of columns with >= 25 levels."""
