@@ -24,8 +24,12 @@ def _table(spark, d):
     return stage(features.model_table(pre, num, fac), "model-table")
 
 
-def _numeric_features_sql() -> str:
-    """SQL twin of the numeric feature pipeline on the claims view."""
+_NUM_SCALED = ["v1", "v23", "v50", "Ts_v23", "Tl_v1", "Tyj_v50"]
+_SHARES = ["NAfreq", "NAfacfreq", "Below0freq"]
+
+
+def _numeric_ctes() -> list[str]:
+    """CTEs ending in ``numf`` (unrounded numeric feature table)."""
     from tessera.plans.q_numeric import special_log_sql, yj_lambda_cte, yj_sql
     v71 = "nullif(v71, '')"
     na = (f"(CAST(v1 IS NULL AS INT) + CAST(v23 IS NULL AS INT) + CAST(v38 IS NULL AS INT) "
@@ -35,18 +39,21 @@ def _numeric_features_sql() -> str:
              f"+ CAST(v66 IS NULL AS INT) + CAST(v38 IS NULL AS INT))")
     below = ("(coalesce(CAST(v1 < 0 AS INT), 0) + coalesce(CAST(v23 < 0 AS INT), 0) "
              "+ coalesce(CAST(v50 < 0 AS INT), 0))")
-    pre = (f"pre AS (SELECT ID, target, v1, v23, v50, {na} / 8.0 AS NAfreq, {nafac} / 5.0 AS NAfacfreq, "
+    pre = (f"npre AS (SELECT ID, target, v1, v23, v50, {na} / 8.0 AS NAfreq, {nafac} / 5.0 AS NAfacfreq, "
            f"{below} / 8.0 AS Below0freq FROM claims)")
-    tr = (f"tr AS (SELECT *, {special_log_sql('v23')} AS Ts_v23, CASE WHEN v1 > -1 THEN ln(1 + v1) END AS Tl_v1, "
-          f"{yj_sql('v50', '(SELECT lam FROM yjn)')} AS Tyj_v50 FROM pre)")
-    scaled = ["v1", "v23", "v50", "Ts_v23", "Tl_v1", "Tyj_v50"]
-    rg = "rg AS (SELECT " + ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in scaled) + " FROM tr)"
-    cols = ", ".join(
-        f"{R(f'CASE WHEN rg.b_{c} > rg.a_{c} THEN ({c} - rg.a_{c}) / (rg.b_{c} - rg.a_{c}) END')} AS {c}"
-        for c in scaled)
-    body = (f"SELECT ID, target, {cols}, {R('NAfreq')} AS NAfreq, {R('NAfacfreq')} AS NAfacfreq, "
-            f"{R('Below0freq')} AS Below0freq FROM tr, rg")
-    return with_claims(body, ", ".join([pre, yj_lambda_cte("yjn", "v50", src="pre"), tr, rg]))
+    tr = (f"ntr AS (SELECT *, {special_log_sql('v23')} AS Ts_v23, CASE WHEN v1 > -1 THEN ln(1 + v1) END AS Tl_v1, "
+          f"{yj_sql('v50', '(SELECT lam FROM yjn)')} AS Tyj_v50 FROM npre)")
+    rg = "nrg AS (SELECT " + ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in _NUM_SCALED) + " FROM ntr)"
+    cols = ", ".join(f"CASE WHEN nrg.b_{c} > nrg.a_{c} THEN ({c} - nrg.a_{c}) / (nrg.b_{c} - nrg.a_{c}) END AS {c}"
+                     for c in _NUM_SCALED)
+    numf = f"numf AS (SELECT ID, target, {cols}, NAfreq, NAfacfreq, Below0freq FROM ntr, nrg)"
+    return [pre, yj_lambda_cte("yjn", "v50", src="npre"), tr, rg, numf]
+
+
+def _numeric_features_sql() -> str:
+    """SQL twin of the numeric feature pipeline on the claims view."""
+    body = "SELECT ID, target, " + ", ".join(f"{R(c)} AS {c}" for c in _NUM_SCALED + _SHARES) + " FROM numf"
+    return with_claims(body, ", ".join(_numeric_ctes()))
 
 
 @query("f_numeric_features", _numeric_features_sql())
@@ -56,29 +63,66 @@ def f_numeric_features(spark, d):
     return rounded(features.numeric_features(pre, special_log=["v23"], log1p=["v1"], yeo_johnson=["v50"]))
 
 
-def _factor_features_sql(version: int) -> str:
-    """SQL twin of the categorical feature pipeline on the claims view. The
-    level gate's outcome on this data is stated: v22 and v38 have more than
-    10 levels, v22 has at least 25."""
+_ITEMS = ["Len_v22", "It_v22_1", "It_v22_2", "It_v22_3"]
+
+
+def _factor_ctes(version: int) -> tuple[list[str], list[tuple[str, str, str]]]:
+    """CTEs of the categorical pipeline and its output columns as
+    (name, unrounded SQL expression, kind) with kind 'd' (double), 'i' (int)
+    or 's' (string), evaluated over the ``pre`` CTE. The level gate's
+    outcome on this data is stated: v22 and v38 have more than 10 levels,
+    v22 has at least 25."""
     from tessera.plans.q_encode import LETTERS, freq_sql, impact_sql
     pre = ("pre AS (SELECT ID, target, CAST(v38 AS VARCHAR) AS v38, v3, nullif(v71, '') AS v71, v22, v66, "
            "CAST(coalesce(length(v22), 0) AS INTEGER) AS Len_v22, "
            + ", ".join(f"coalesce(substring(v22, {i}, 1), '') AS It_v22_{i}" for i in (1, 2, 3))
            + " FROM claims)")
     cat = ["v38", "v3", "v71", "v22", "v66", "It_v22_1", "It_v22_2", "It_v22_3"]
-    nr = ", ".join("(" + " + ".join(f"coalesce(CAST({c} = '{L}' AS INTEGER), 0)" for c in cat)
-                   + f") AS Nr_{L}" for L in LETTERS)
-    items = "Len_v22, It_v22_1, It_v22_2, It_v22_3"
+    cols = [(c, c, "s") for c in ["v3", "v71", "v66", "It_v22_1", "It_v22_2", "It_v22_3"]]
+    cols.append(("Len_v22", "Len_v22", "i"))
+    cols += [(f"Nr_{L}", "(" + " + ".join(f"coalesce(CAST({c} = '{L}' AS INTEGER), 0)" for c in cat) + ")", "i")
+             for L in LETTERS]
     if version == 1:
         imps = [impact_sql(c, src="pre") for c in ("v22", "v38")]
-        body = (f"SELECT ID, target, v3, v71, v66, {items}, {nr}, "
-                f"{R(imps[0][1])} AS Imp_v22, {R(imps[1][1])} AS Imp_v38 FROM pre")
-        return with_claims(body, ", ".join([pre] + [c for c, _ in imps]))
+        cols += [("Imp_v22", imps[0][1], "d"), ("Imp_v38", imps[1][1], "d")]
+        return [pre] + [c for c, _ in imps], cols
     imp_cte, imp_val = impact_sql("v38", src="pre")
     fq_cte, rf, ff = freq_sql("v22", 25, src="pre")
-    body = (f"SELECT ID, target, v38, v3, v71, v66, {items}, {nr}, {R(imp_val)} AS Imp_v38, "
-            f"CAST(v38 AS DOUBLE) AS Num_v38, {R(rf)} AS Rfreq_v22, {ff} AS Ffreq_v22 FROM pre")
-    return with_claims(body, ", ".join([pre, imp_cte, fq_cte]))
+    cols += [("v38", "v38", "s"), ("Imp_v38", imp_val, "d"), ("Num_v38", "CAST(v38 AS DOUBLE)", "d"),
+             ("Rfreq_v22", rf, "d"), ("Ffreq_v22", ff, "s")]
+    return [pre, imp_cte, fq_cte], cols
+
+
+def _factor_features_sql(version: int) -> str:
+    """SQL twin of the categorical feature pipeline on the claims view."""
+    ctes, cols = _factor_ctes(version)
+    body = "SELECT ID, target, " + ", ".join(
+        f"{R(e)} AS {n}" if k == "d" else f"{e} AS {n}" for n, e, k in cols) + " FROM pre"
+    return with_claims(body, ", ".join(ctes))
+
+
+def _dataset_sql(method: str) -> str:
+    """SQL twin of the joined modelling table (numeric + categorical v2)
+    with 'median' (B1) or 'mode' (A1) imputation of the double columns and ''
+    for strings; integer columns have no nulls and pass through."""
+    num_ctes = _numeric_ctes()
+    fac_ctes, fac_cols = _factor_ctes(2)
+    facf = "facf AS (SELECT ID, " + ", ".join(f"{e} AS {n}" for n, e, _ in fac_cols) + " FROM pre)"
+    tab = ("tab AS (SELECT n.*, " + ", ".join(f"f.{n}" for n, _, _ in fac_cols)
+           + " FROM numf n JOIN facf f ON n.ID = f.ID)")
+    doubles = _NUM_SCALED + _SHARES + [n for n, _, k in fac_cols if k == "d"]
+    extra = []
+    if method == "median":
+        fill = {c: f"(SELECT quantile_cont({c}, 0.5) FROM tab)" for c in doubles}
+    else:
+        fill = {c: f"(SELECT v FROM m_{c})" for c in doubles}
+        extra = [f"m_{c} AS (SELECT {c} AS v FROM tab WHERE {c} IS NOT NULL GROUP BY {c} "
+                 f"ORDER BY count(*) DESC, {c} ASC LIMIT 1)" for c in doubles]
+    sel = [f"{R(f'coalesce({c}, {fill[c]})')} AS {c}" for c in doubles]
+    sel += [f"coalesce({n}, '') AS {n}" for n, _, k in fac_cols if k == "s"]
+    sel += [n for n, _, k in fac_cols if k == "i"]
+    body = "SELECT ID, target, " + ", ".join(sel) + " FROM tab"
+    return with_claims(body, ", ".join(num_ctes + fac_ctes + [facf, tab] + extra))
 
 
 @query("f_factor_features_v1", _factor_features_sql(1))
@@ -95,13 +139,13 @@ def f_factor_features_v2(spark, d):
     return rounded(features.factor_features(_pre(spark, d), long_strings=["v22"], version=2))
 
 
-@query("d_mode_imputed")
+@query("d_mode_imputed", _dataset_sql("mode"))
 def d_mode_imputed(spark, d):
     """Dataset A1: joined features, numeric mode / string '' imputation."""
     return rounded(features.imputed(_table(spark, d), "mode"))
 
 
-@query("d_median_imputed")
+@query("d_median_imputed", _dataset_sql("median"))
 def d_median_imputed(spark, d):
     """Dataset B1: joined features, exact-median imputation."""
     return rounded(features.imputed(_table(spark, d), "median"))
