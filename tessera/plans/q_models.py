@@ -56,6 +56,53 @@ def _numeric_features_sql() -> str:
     return with_claims(body, ", ".join(_numeric_ctes()))
 
 
+def _dataset_random_sql(seed: int = 321) -> str:
+    """SQL twin of dataset B2: random-draw imputation of every numeric column
+    of the joined table (salts follow the table's numeric column order; the
+    output columns are double), '' for strings."""
+    from tessera.functions.hashing import draw_index_sql
+    from tessera.operators.impute import column_salt
+    num_ctes = _numeric_ctes()
+    fac_ctes, fac_cols = _factor_ctes(2)
+    facf = "facf AS (SELECT ID, " + ", ".join(f"{e} AS {n}" for n, e, _ in fac_cols) + " FROM pre)"
+    tab = ("tab AS (SELECT n.*, " + ", ".join(f"f.{n}" for n, _, _ in fac_cols)
+           + " FROM numf n JOIN facf f ON n.ID = f.ID)")
+    nums = (["v1", "v23", "v50"] + _SHARES + ["Ts_v23", "Tl_v1", "Tyj_v50"]
+            + [n for n, _, k in fac_cols if k in ("i", "d")])
+    ctes, sel = [], []
+    for i, c in enumerate(nums):
+        salt = column_salt(seed, i)
+        ctes.append(
+            f"d_{c} AS (SELECT CAST({c} AS DOUBLE) AS value, row_number() OVER (ORDER BY ID) - 1 AS idx "
+            f"FROM tab WHERE {c} IS NOT NULL), n_{c} AS (SELECT count(*) AS m FROM d_{c}), "
+            f"r_{c} AS (SELECT tab.ID, d.value FROM tab CROSS JOIN n_{c} JOIN d_{c} d ON "
+            f"d.idx = {draw_index_sql('tab.ID', salt, 'n_' + c + '.m')} WHERE tab.{c} IS NULL)")
+        sel.append(f"{R(f'coalesce(CAST(tab.{c} AS DOUBLE), (SELECT value FROM r_{c} WHERE r_{c}.ID = tab.ID))')} AS {c}")
+    sel += [f"coalesce({n}, '') AS {n}" for n, _, k in fac_cols if k == "s"]
+    body = "SELECT ID, target, " + ", ".join(sel) + " FROM tab"
+    return with_claims(body, ", ".join(num_ctes + fac_ctes + [facf, tab] + ctes))
+
+
+def _dataset_sentinel_sql() -> str:
+    """SQL twin of dataset C: first-appearance codes (from 0, null -> -1) of
+    the string columns and -999 for missing doubles."""
+    num_ctes = _numeric_ctes()
+    fac_ctes, fac_cols = _factor_ctes(2)
+    facf = "facf AS (SELECT ID, " + ", ".join(f"{e} AS {n}" for n, e, _ in fac_cols) + " FROM pre)"
+    tab = ("tab AS (SELECT n.*, " + ", ".join(f"f.{n}" for n, _, _ in fac_cols)
+           + " FROM numf n JOIN facf f ON n.ID = f.ID)")
+    strs = [n for n, _, k in fac_cols if k == "s"]
+    codes = [f"fc_{c} AS (SELECT level, CAST(row_number() OVER (ORDER BY f, level) - 1 AS BIGINT) AS code "
+             f"FROM (SELECT {c} AS level, min(ID) AS f FROM tab WHERE {c} IS NOT NULL GROUP BY 1) t)" for c in strs]
+    doubles = _NUM_SCALED + _SHARES + [n for n, _, k in fac_cols if k == "d"]
+    sel = [f"{R(f'coalesce({c}, -999.0)')} AS {c}" for c in doubles]
+    sel += [f"CAST(coalesce((SELECT code FROM fc_{c} x WHERE x.level = tab.{c}), -1) AS BIGINT) AS {c}"
+            for c in strs]
+    sel += [n for n, _, k in fac_cols if k == "i"]
+    body = "SELECT ID, target, " + ", ".join(sel) + " FROM tab"
+    return with_claims(body, ", ".join(num_ctes + fac_ctes + [facf, tab] + codes))
+
+
 @query("f_numeric_features", _numeric_features_sql())
 def f_numeric_features(spark, d):
     """T5 pipeline: typed, shares, Ts_/Tl_/Tyj_ transforms, range scaled."""
@@ -151,13 +198,13 @@ def d_median_imputed(spark, d):
     return rounded(features.imputed(_table(spark, d), "median"))
 
 
-@query("d_random_imputed")
+@query("d_random_imputed", _dataset_random_sql())
 def d_random_imputed(spark, d):
     """Dataset B2: joined features, random-draw imputation."""
     return rounded(features.imputed(_table(spark, d), "random"))
 
 
-@query("d_sentinel_coded")
+@query("d_sentinel_coded", _dataset_sentinel_sql())
 def d_sentinel_coded(spark, d):
     """Dataset C: first-appearance codes (-1 for null) and -999 numerics."""
     return rounded(features.imputed(_table(spark, d), "sentinel"))
