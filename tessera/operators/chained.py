@@ -7,11 +7,9 @@ where that column was observed, using the current values of its predictors.
 
 * ``method='pmm'`` (predictive mean matching): a missing cell takes the
   observed value of one of its ``k`` nearest donors in predicted value. The
-  search is exact and bounded: observed rows are cut into equi-depth buckets
-  of ``depth >= k`` rows along the prediction (distributed ranking), a
-  missing row only meets the observed rows of its own and the two
-  neighbouring buckets, and any row further away is beaten by the >= k rows
-  of the neighbouring bucket.
+  search is exact and bounded: rows are ranked by prediction (distributed
+  ranking) and a missing row meets only the k observed rows before and the
+  k after it, which provably contain its k nearest donors.
 * ``method='norm'``: prediction plus Gaussian noise with the fit's residual
   standard deviation (hash-seeded Box-Muller, reproducible).
 
@@ -45,24 +43,37 @@ def _fit_predict(cur: DataFrame, target: str, preds: Sequence[str], miss: str):
     return out, float(model.summary.rootMeanSquaredError)
 
 
-def pmm_donors(cur: DataFrame, target: str, id_col: str, miss: str, k: int = 5, depth: int = 64,
-               salt: int = 0) -> DataFrame:
+def pmm_donors(cur: DataFrame, target: str, id_col: str, miss: str, k: int = 5, salt: int = 0
+               ) -> DataFrame:
     """(id, value) drawn for every missing row of ``target`` from its k
-    nearest observed rows in ``_pred`` (ties by id)."""
-    depth = max(depth, k)
+    nearest observed rows in ``_pred``.
+
+    Observed and missing rows are ranked together by (prediction, id) with
+    the distributed ranking helper; a missing row with b observed rows before
+    it only needs the observed ranks b-k .. b+k-1: in one dimension the k
+    nearest points (distance ties broken by closeness in that order, then id)
+    are always among the k predecessors and k successors, since every row
+    further out is beaten by the k rows in between. So each missing row
+    meets exactly 2k candidates through an equi-join on the donor rank (no
+    data-dependent candidate lists)."""
     obs = cur.where(~F.col(miss)).select(id_col, "_pred", F.col(target).alias("_val"),
                                           F.lit(1).alias("_is_obs"))
     mis = cur.where(F.col(miss)).select(id_col, "_pred", F.lit(None).cast("double").alias("_val"),
                                          F.lit(0).alias("_is_obs"))
     r = cumulative_rank(obs.unionByName(mis), [], ["_pred", id_col], weight_col="_is_obs",
                         lo_col="_before", hi_col="_upto")
-    bucket = F.floor(F.col("_before") / F.lit(depth)).cast("long")
+    m_obs = r.where(F.col("_is_obs") == 1).agg(F.count(F.lit(1))).first()[0]
     o = r.where(F.col("_is_obs") == 1).select(
-        F.col(id_col).alias("_oid"), F.col("_pred").alias("_opred"), "_val", bucket.alias("_b"))
+        F.col(id_col).alias("_oid"), F.col("_pred").alias("_opred"), "_val", F.col("_before").alias("_r"))
     m = (r.where(F.col("_is_obs") == 0)
-         .select(id_col, "_pred", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b")))
-    cand = m.join(o, "_b")
-    w = Window.partitionBy(id_col).orderBy(F.abs(F.col("_pred") - F.col("_opred")), F.col("_oid"))
+         .select(id_col, "_pred", "_before",
+                 F.explode(F.sequence(F.greatest(F.col("_before") - k, F.lit(0)),
+                                      F.least(F.col("_before") + k - 1, F.lit(max(m_obs - 1, 0))))).alias("_r"))
+         .where(F.lit(m_obs) > 0))
+    cand = m.join(o, "_r")
+    closeness = F.when(F.col("_r") < F.col("_before"), F.col("_before") - F.col("_r")) \
+        .otherwise(F.col("_r") - F.col("_before") + 1)
+    w = Window.partitionBy(id_col).orderBy(F.abs(F.col("_pred") - F.col("_opred")), closeness, F.col("_oid"))
     near = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     near = near.withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
     pick = F.pmod(mix(F.col(id_col), salt), F.col("_cnt")) + 1
@@ -72,7 +83,7 @@ def pmm_donors(cur: DataFrame, target: str, id_col: str, miss: str, k: int = 5,
 def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence[str],
                    id_col: str = "ID", m: int = 3, maxit: int = 3, seed: int = 37,
                    method: str = "pmm", predictors: dict[str, Sequence[str]] | None = None,
-                   k: int = 5, depth: int = 64) -> tuple[DataFrame, DataFrame]:
+                   k: int = 5) -> tuple[DataFrame, DataFrame]:
     """I5/I6 + I7. Returns (df with ``impute_cols`` filled by the mean over
     ``m`` imputations, trace(imputation, sweep, column, mean_abs_change))."""
     spark = df.sparkSession
@@ -92,7 +103,7 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
                 fitted, sigma = _fit_predict(cur, c, preds, miss)
                 salt = column_salt(seed * 1000 + i * 10 + sweep, j)
                 if method == "pmm":
-                    draws = pmm_donors(fitted, c, id_col, miss, k, depth, salt)
+                    draws = pmm_donors(fitted, c, id_col, miss, k, salt)
                     nxt = fitted.join(draws, id_col, "left")
                     newv = F.when(F.col(miss), F.col("_new")).otherwise(F.col(c))
                 elif method == "norm":

@@ -30,14 +30,18 @@ def test_pmm_donors_exact_k_nearest(spark):
         rows.append((i, None if miss else float(i * 10), pred, miss))
     df = spark.createDataFrame(rows, "ID long, y double, _pred double, _m_y boolean")
     k, salt = 5, 77
-    got = {r["ID"]: r["_new"] for r in chained.pmm_donors(df, "y", "ID", "_m_y", k=k, depth=5, salt=salt).collect()}
-    obs = [(i, y, p) for i, y, p, m in rows if not m]
+    got = {r["ID"]: r["_new"] for r in chained.pmm_donors(df, "y", "ID", "_m_y", k=k, salt=salt).collect()}
+    obs = sorted([(p, i, y) for i, y, p, m in rows if not m])  # (pred, id) order
     for i, _, p, m in rows:
         if not m:
             continue
-        near = sorted(obs, key=lambda o: (abs(o[2] - p), o[0]))[:k]
+        b = sum(1 for (op, oi, _) in obs if (op, oi) < (p, i))  # observed rows before
+        def closeness(r):
+            return b - r if r < b else r - b + 1
+        ranked = sorted(range(len(obs)), key=lambda r: (abs(obs[r][0] - p), closeness(r), obs[r][1]))
+        near = ranked[:k]
         pick = py_mix(i, salt) % len(near)
-        assert got[i] == near[pick][1], i
+        assert got[i] == obs[near[pick]][2], i
     assert len(got) == sum(1 for r in rows if r[3])
 
 
@@ -49,7 +53,7 @@ def test_chained_imputation_properties(spark):
         b = 2 * a + rnd.gauss(0, 0.1)
         rows.append((i, None if rnd.random() < 0.2 else a, None if rnd.random() < 0.2 else b, rnd.gauss(0, 1)))
     df = spark.createDataFrame(rows, "ID long, a double, b double, c double")
-    filled, trace = chained.chained_impute(df, ["a", "b"], ["a", "b", "c"], m=1, maxit=2, seed=5, depth=8)
+    filled, trace = chained.chained_impute(df, ["a", "b"], ["a", "b", "c"], m=1, maxit=2, seed=5)
     out = {r["ID"]: r for r in filled.collect()}
     obs_b = {r[2] for r in rows if r[2] is not None}
     for i, a, b, _ in rows:
