@@ -34,6 +34,7 @@ HEADLINE = [
     "v2_auc_by_fold",
     "v5_stratified_folds",
     "v9_oof_average",
+    "d_median_imputed",          # end to end: pipeline, join, exact-median imputation
 ]
 
 

@@ -44,3 +44,15 @@ def test_hot_level_frequency_and_folds(spark):
     assert len(fr) == 3000 and math.isclose(fr[0], 1000 / 3000)
     f = folds.stratified_folds(df, k=5, repeats=1).collect()
     assert sorted(r["ID"] for r in f) == list(range(3000))
+
+
+def test_encoders_invariant_under_repartition(spark):
+    df = skewed(spark, 1200)
+    a = encode.frequency_encode(encode.impact_encode(df, ["c"], row_key="ID"), ["c"], row_key="ID")
+    b = encode.frequency_encode(encode.impact_encode(df.repartition(5, "x"), ["c"], row_key="ID"), ["c"],
+                                row_key="ID")
+    key = ["ID", "Imp_c", "Rfreq_c", "Ffreq_c"]
+    assert sorted(map(tuple, a.select(*key).collect())) == sorted(map(tuple, b.select(*key).collect()))
+    la = {r["ID"]: r["c"] for r in encode.label_encode(df, ["c"]).collect()}
+    lb = {r["ID"]: r["c"] for r in encode.label_encode(df.repartition(3), ["c"]).collect()}
+    assert la == lb
