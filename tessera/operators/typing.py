@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import exprs as X
-from tessera.operators.profile import NUMERIC_TYPES, numeric_columns, string_columns
+from tessera.operators.profile import NUMERIC_TYPES, string_columns
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -144,7 +144,3 @@ def keep_rows(df: DataFrame, condition: Column | str) -> DataFrame:
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows where every listed column is non-null."""
     return df.dropna(how="any", subset=list(cols))
-
-
-def numeric_feature_columns(df: DataFrame, id_col: str = "ID", label_col: str = "target") -> list[str]:
-    return numeric_columns(df, [id_col, label_col])

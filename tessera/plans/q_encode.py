@@ -42,9 +42,6 @@ def e3_impact_encode(spark, d):
     return rounded(encode.impact_encode(df, _IMP_COLS, row_key="ID").drop(*_IMP_COLS))
 
 
-_V3_LEVELS_SQL = "(SELECT DISTINCT coalesce(v3, 'nan') AS l FROM claims)"
-
-
 @query("e4_one_hot", with_claims(
     "SELECT ID, " + ", ".join(
         f"CASE WHEN coalesce(v3, 'nan') = '{lv}' THEN 1 ELSE 0 END AS \"v3_{lv}\""

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from tessera.operators import assoc, profile
 from tessera.plans.registry import R, query, rounded, with_claims
 from tessera.sources.tables import (LINEITEM_NUMERIC, LINEITEM_STRING, claims_view,
