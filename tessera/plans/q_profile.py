@@ -102,6 +102,23 @@ def a12_histogram(spark, d):
     return profile.histogram(claims_view(spark, d), "v1", width=10000.0, origin=0.0)
 
 
+@query("a2_target_summary", with_claims(_summary_sql("claims", ["target"])))
+def a2_target_summary(spark, d):
+    """A2: the label treated as continuous gets the numeric summary."""
+    return rounded(profile.target_summary(claims_view(spark, d), "target"))
+
+
+@query("a12_freq_polygon", with_claims(
+    "SELECT CAST(floor((v23 - s.a) / s.w) AS BIGINT) AS bin, s.a + floor((v23 - s.a) / s.w) * s.w AS lo, "
+    "s.a + (floor((v23 - s.a) / s.w) + 1) * s.w AS hi, count(*) AS n FROM claims, "
+    "(SELECT min(v23) AS a, (max(v23) - min(v23)) / 15.0 AS w FROM claims) s "
+    "WHERE v23 IS NOT NULL GROUP BY 1, 2, 3"))
+def a12_freq_polygon(spark, d):
+    """Frequency polygon data of v23 - 15 equal bins over its range
+    (bin edges from one min/max aggregate)."""
+    return profile.histogram(claims_view(spark, d), "v23", bins=15)
+
+
 @query("a14_null_positions", with_claims(
     " UNION ALL ".join(f"SELECT ID, '{c}' AS \"column\" FROM claims WHERE {c} IS NULL"
                        for c in ["v1", "v23", "v38", "v71", "v22"])))
