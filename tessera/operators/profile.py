@@ -57,21 +57,25 @@ def label_counts(df: DataFrame, label_col: str = "target") -> DataFrame:
 
 
 # ---------------------------------------------------------------- A3, A13
-def column_nulls(df: DataFrame, cols: Sequence[str] | None = None, batch: int = 200) -> DataFrame:
-    """A3: (column, col_class, n_null, null_share) for every listed column."""
+def column_nulls(df: DataFrame, cols: Sequence[str] | None = None, wide_max: int = 200) -> DataFrame:
+    """A3: (column, col_class, n_null, null_share) for every listed column.
+
+    Up to ``wide_max`` columns: one aggregate with a null count per column.
+    Wider tables: the null flags are unpivoted inside the map stage and
+    counted per column with partial aggregation, still in one scan."""
     cols = list(cols) if cols is not None else df.columns
     classes = {f.name: column_class(f.dataType) for f in df.schema.fields}
-    parts = []
-    for i in range(0, len(cols), batch):
-        chunk = cols[i:i + batch]
+    if len(cols) <= wide_max:
         agg = df.agg(F.count(F.lit(1)).alias("_n"),
-                     *[F.count_if(F.col(c).isNull()).alias(f"_z{j}") for j, c in enumerate(chunk)])
+                     *[F.count_if(F.col(c).isNull()).alias(f"_z{j}") for j, c in enumerate(cols)])
+        items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(classes[c]).alias("col_class"),
+                                   F.col(f"_z{j}").alias("n_null")) for j, c in enumerate(cols)])
+        out = agg.select("_n", F.inline(items))
+    else:
         items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(classes[c]).alias("col_class"),
-                                   F.col(f"_z{j}").alias("n_null")) for j, c in enumerate(chunk)])
-        parts.append(agg.select("_n", F.inline(items)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                                   F.col(c).isNull().cast("long").alias("z")) for c in cols])
+        out = (df.select(F.inline(items)).groupBy("column", "col_class")
+               .agg(F.count(F.lit(1)).alias("_n"), F.sum("z").alias("n_null")))
     return out.select("column", "col_class", "n_null",
                       (F.col("n_null") / F.col("_n")).alias("null_share"))
 

@@ -112,3 +112,10 @@ def test_cumulative_rank_large_sampled_input(spark):
     got["expect_hi"] = got.groupby("g")["w"].cumsum()
     assert (got["rank_hi"] == got["expect_hi"]).all()
     assert (got["rank_lo"] == got["expect_hi"] - got["w"]).all()
+
+
+def test_column_nulls_wide_and_long_forms_agree(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, 2.0, None), (3, None, None)], "ID long, x double, s string")
+    a = sorted(map(tuple, profile.column_nulls(df).collect()))
+    b = sorted(map(tuple, profile.column_nulls(df, wide_max=1).collect()))
+    assert a == b and ("x", "numeric", 2, 2 / 3) in a
