@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +49,15 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 # ---------------------------------------------------------------- A1
 def label_counts(df: DataFrame, label_col: str = "target") -> DataFrame:
-    """A1: (level, n, share); the null label is a level; share is over all rows."""
-    g = df.groupBy(F.col(label_col).cast("string").alias("level")).agg(
-        F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())  # over the tiny grouped table
-    return g.select("level", "n", (F.col("n") / total).alias("share"))
+    """A1: (level, n, share); the null label is a level; share is over all rows.
+
+    The grouped counts are staged once; the total is one scalar read from
+    them, so no window or group ever holds all levels in one task."""
+    from tessera.sources.staging import stage
+    g = stage(df.groupBy(F.col(label_col).cast("string").alias("level")).agg(
+        F.count(F.lit(1)).alias("n")), "label-counts")
+    total = g.agg(F.sum("n")).first()[0] or 0
+    return g.select("level", "n", (F.col("n") / F.lit(float(total))).alias("share"))
 
 
 # ---------------------------------------------------------------- A3, A13
