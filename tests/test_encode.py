@@ -108,3 +108,12 @@ def test_chars_letters(spark):
     assert out[1]["Len_c"] == 0 and out[1]["It_c_1"] == ""
     assert out[4]["Len_c"] == 3 and out[4]["It_c_2"] == "É" and out[4]["It_c_3"] == "B"
     assert out[3]["Nr_A"] == 2  # c and It_c_1 both equal 'A'
+
+
+def test_data_dependent_widths_fail_loudly(spark):
+    import pytest
+    df = spark.createDataFrame([(i, str(i), "x" * (i + 1)) for i in range(20)], "ID long, c string, s string")
+    with pytest.raises(ValueError):
+        encode.one_hot(df, "c", levels=encode.one_hot_levels(df, "c", max_levels=5))
+    with pytest.raises(ValueError):
+        encode.explode_chars(df, ["s"], max_width=10)
