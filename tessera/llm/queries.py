@@ -10,8 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import url_filter
+from tessera.llm import packing, url_filter
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,11 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page url judged by the five fixed rules, ``allow`` by default."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in length-bucketed batches: at most 4096 words a
+    sequence, 16 buckets, 65,536 padded words a batch."""
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack(docs, packing.word_count(F.col("text")))
