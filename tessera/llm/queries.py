@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, url_filter
+from tessera.llm import langid, packing, url_filter
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,22 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Fitted on rows that aren't held out."""
+    return langid.fit(docs, ~langid.held_out(F.col("doc_id")))
+
+
+@query("op9_language")
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model that never sees the held-out
+    quarter; also the number of one-language spans."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", langid.identify(docs, language_model(docs)).alias("found"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"),
+                        F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"),
+                        F.size("found.spans").alias("n_spans"))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in length-bucketed batches: at most 4096 words a
