@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, packing, url_filter
+from tessera.llm import langid, packing, pii, url_filter
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,25 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base spans,
+    all spans (also those found by deobfuscation) as text."""
+    docs = read_table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pii.find_spans(F.col("text")).alias("spans"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of_kind(kind):
+        return F.filter(base, lambda s: s["kind"] == kind)
+
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id", *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     """Fitted on rows that aren't held out."""
     return langid.fit(docs, ~langid.held_out(F.col("doc_id")))
