@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, packing, pii, url_filter
+from tessera.llm import langid, near_dup, packing, pii, url_filter
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,26 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+NEAR_DUP_SQL = r"""
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS sh FROM s),
+e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+    GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id, doc_id AS z FROM s UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.z = e.u),
+c AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY 1)"""
+
+
+@query("op8_near_duplicates", "WITH RECURSIVE" + NEAR_DUP_SQL.format(docs="documents") + """
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN c USING (doc_id)""")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of five-word shingles are linked at 85%."""
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     """Fitted on rows that aren't held out."""
     return langid.fit(docs, ~langid.held_out(F.col("doc_id")))
