@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import imatch, kmeans_tree, langid, near_dup, packing, pii, url_filter
+from tessera.llm import imatch, kmeans_tree, langid, near_dup, packing, pii, url_filter, warc
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,22 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@query("op7_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest FROM p),
+m AS (SELECT page_id, n, digest, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+    CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to FROM m
+""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their merged
+    index. The pages have no capture time: one second a page id stands in."""
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    index = warc.archive_and_index(read_table(spark, sf_dir, "pages"), time)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 NEAR_DUP_SQL = r"""
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
