@@ -78,8 +78,13 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     whatever the size of the corpus; the number of languages is taken to be a
     few hundred at most."""
     known = docs.where(learn).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")) \
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    # a hash share of each language that holds some four samples, so that no
+    # task ranks a whole language; one row a language is broadcast
+    sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    ids = ids.join(F.broadcast(sizes), "lang") \
+        .where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < F.lit(float(4 * docs_per_lang << 30))) \
         .withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang).select("id")
     # at most docs_per_lang ids a language
     sample = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) \

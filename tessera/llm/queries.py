@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import imatch, kmeans_tree, langid, near_dup, packing, pii, url_filter, warc
+from tessera.llm import imatch, kmeans_tree, langid, nbest, near_dup, packing, pieces, pii, url_filter, warc
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,28 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+#: A SentencePiece vocabulary file; any other can be given to the operators.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op4_nbest")
+def op4_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of every document: score, number of pieces,
+    digest of the ids, and whether decoding them gives the text back."""
+    docs = read_table(spark, sf_dir, "documents")
+    paths = nbest.encoded(spark, F.col("text"), pieces.read_model(PIECES), n=4, with_ids=False)
+    return docs.select("doc_id", F.posexplode(paths).alias("rank", "path")).select(
+        "doc_id", (F.col("rank") + 1).alias("rank"), "path.score", "path.n_pieces", "path.ids_sha256", "path.decoded")
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of pieces and score of the best segmentation of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pieces.token_counts(spark, F.col("text"), pieces.read_model(PIECES)).alias("c")) \
+        .select("doc_id", F.col("c.n").alias("n_tokens"), F.col("c.score").alias("score"))
+
+
 @query("op6_neighbours")
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of each vector whose id is divisible by 50."""
