@@ -24,11 +24,10 @@ HIGH_FOLD = 16807
 
 
 def _seed(key: Column, salt: int) -> Column:
-    # keys are non-negative row ids below 2^53, so the quotient of the exact
-    # multiple (k - low) by the modulus is exact in double arithmetic
+    # whole-number division: keys may use all 64 bits
     k = key.cast("long")
     low = F.pmod(k, F.lit(MODULUS))
-    high = F.pmod(((k - low) / F.lit(MODULUS)).cast("long"), F.lit(MODULUS))
+    high = F.pmod(F.call_function("div", k - low, F.lit(MODULUS).cast("long")), F.lit(MODULUS))
     return F.pmod(low + high * F.lit(HIGH_FOLD) + F.lit(int(salt) % MODULUS), F.lit(MODULUS))
 
 

@@ -1,19 +1,25 @@
 """Pairwise association of mixed-type columns as a long table
 (col_a, col_b, kind, n, stat).
 
-Column pairs are unpivoted inside the map stage and reduced with partial
-aggregation, so one scan serves all pairs and a hot level never lands in one
-task (each map task emits at most one row per (pair, level) combination).
-Categorical pairs are gated by a level cap *before* any pair is expanded.
-The matrix is returned in both orientations (a, b) and (b, a), without the
-diagonal.
+Each task reduces its rows to partial sums over Arrow batches (masked Gram
+matrices for numeric pairs, contingency counts for categorical pairs, counts
+and sums per level for mixed pairs) and emits them once, so rows are never
+multiplied by pairs and what is shuffled depends on columns and levels only.
+Numeric values are shifted by the column mean first, so that the sums keep
+their digits. Categorical pairs are gated by a level cap beforehand. The
+matrix is returned in both orientations (a, b) and (b, a), without the
+diagonal; a pair of columns that are never present together has n = 0 and a
+null statistic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +42,76 @@ def _empty(spark) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)
 
 
+def _means(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{j}") for j, c in enumerate(cols)]).first()
+    return np.array([m if m is not None else 0.0 for m in row])
+
+
+def _shifted(batch: pa.RecordBatch, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Presence (0/1) and shifted values (0 where null) of the first columns."""
+    cols = [batch.column(j) for j in range(len(means))]
+    there = np.column_stack([~c.is_null().to_numpy(zero_copy_only=False) for c in cols])
+    values = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in cols])
+    return there.astype(np.float64), np.where(there, values - means, 0.0)
+
+
+class _Codes:
+    """Level codes of string columns, the same for all batches of a task."""
+
+    def __init__(self, columns: int):
+        self.levels: list[dict[str, int]] = [{} for _ in range(columns)]
+
+    def of(self, j: int, column: pa.Array) -> np.ndarray:
+        """Codes of a column, -1 for null."""
+        own = column.dictionary_encode()
+        known = self.levels[j]
+        table = np.array([known.setdefault(x, len(known)) for x in own.dictionary.to_pylist()] + [-1], dtype=np.int64)
+        return table[own.indices.fill_null(len(table) - 1).to_numpy(zero_copy_only=False)]
+
+    def names(self, j: int) -> list[str]:
+        return list(self.levels[j])
+
+
+def _on_grid(found: DataFrame, pairs: Sequence[tuple[str, str]], kind: str) -> DataFrame:
+    """Every pair, those without common rows with n = 0 and a null stat."""
+    grid = found.sparkSession.createDataFrame(list(pairs), "col_a string, col_b string")
+    return grid.join(found, ["col_a", "col_b"], "left").select(
+        "col_a", "col_b", F.lit(kind).alias("kind"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "stat")
+
+
 # ---------------------------------------------------------------- C1
 def pearson_pairs(df: DataFrame, cols: Sequence[str], mirror: bool = True) -> DataFrame:
-    """Pearson correlation of every numeric pair over pairwise-complete rows."""
+    """Pearson correlation of every numeric pair over pairwise-complete
+    rows; null for fewer than two rows or a constant side."""
+    cols = list(cols)
     pairs = list(combinations(cols, 2))
     if not pairs:
         return _empty(df.sparkSession)
-    items = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                               F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                      for a, b in pairs])
-    long = df.select(F.inline(items)).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    g = long.groupBy("col_a", "col_b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
-    out = g.select("col_a", "col_b", F.lit("num-num").alias("kind"), "n",
-                   F.when(F.col("n") >= 2, F.col("r")).alias("stat"))
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = _means(x, cols)
+    a, b = np.triu_indices(len(cols), 1)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q, xy = (np.zeros((len(cols), len(cols))) for _ in range(4))
+        for batch in batches:
+            there, value = _shifted(batch, means)
+            n += there.T @ there
+            s += value.T @ there          # sum of i where j is present
+            q += (value * value).T @ there
+            xy += value.T @ value
+        sums = [n[a, b].astype(np.int64), s[a, b], s[b, a], q[a, b], q[b, a], xy[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a.astype(np.int32), b.astype(np.int32), *sums)],
+                                         names=["a", "b", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = x.mapInArrow(gram, "a int, b int, n long, sx double, sy double, sxx double, syy double, sxy double")
+    g = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
+    names = F.array(*map(F.lit, cols))
+    found = g.where("n > 0").select(names[F.col("a")].alias("col_a"), names[F.col("b")].alias("col_b"), "n", F.when(
+        (F.col("n") >= 2) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("stat"))
+    out = _on_grid(found, pairs, "num-num")
     return _mirror(out) if mirror else out
 
 
@@ -71,12 +134,28 @@ def cramers_v_pairs(df: DataFrame, cols: Sequence[str], level_cap: int = 100,
     skipped = [(a, b) for a, b in pairs if (a, b) not in set(ok)]
     parts = []
     if ok:
-        items = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                   F.col(a).cast("string").alias("la"),
-                                   F.col(b).cast("string").alias("lb")) for a, b in ok])
-        cells = (df.select(F.inline(items))
-                 .where(F.col("la").isNotNull() & F.col("lb").isNotNull())
-                 .groupBy("col_a", "col_b", "la", "lb").agg(F.count(F.lit(1)).alias("nij")))
+        used = sorted({c for pair in ok for c in pair})
+        at = {c: j for j, c in enumerate(used)}
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, cells = _Codes(len(used)), [Counter() for _ in ok]
+            for batch in batches:
+                own = [codes.of(j, batch.column(j)) for j in range(len(used))]
+                for cell, (a, b) in zip(cells, ok):
+                    x, y = own[at[a]], own[at[b]]
+                    both = (x >= 0) & (y >= 0)
+                    both, n = np.unique(np.stack([x[both], y[both]]), axis=1, return_counts=True)
+                    cell.update(dict(zip(zip(*both.tolist()), n.tolist())))
+            names = [codes.names(j) for j in range(len(used))]
+            rows = [(a, b, names[at[a]][i], names[at[b]][j], n)
+                    for cell, (a, b) in zip(cells, ok) for (i, j), n in cell.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)],
+                                                 names=["col_a", "col_b", "la", "lb", "nij"])
+
+        cells = df.select(*[F.col(c).cast("string").alias(c) for c in used]).mapInArrow(
+            count, "col_a string, col_b string, la string, lb string, nij long") \
+            .groupBy("col_a", "col_b", "la", "lb").agg(F.sum("nij").alias("nij"))
         # staged (bounded by pairs x cap^2 rows): the three uses below read it,
         # not the source
         cells = stage(cells, "assoc-cells")
@@ -89,8 +168,7 @@ def cramers_v_pairs(df: DataFrame, cols: Sequence[str], level_cap: int = 100,
                      F.countDistinct("la").alias("r"), F.countDistinct("lb").alias("c")))
         k = F.least("r", "c")
         v = F.when(k >= 2, F.sqrt(F.greatest(F.col("s") - 1.0, F.lit(0.0)) / (k - 1)))
-        parts.append(terms.select("col_a", "col_b", F.lit("fac-fac").alias("kind"),
-                                  F.col("n").cast("long").alias("n"), v.alias("stat")))
+        parts.append(_on_grid(terms.select("col_a", "col_b", "n", v.alias("stat")), ok, "fac-fac"))
     if skipped:
         parts.append(spark.createDataFrame([(a, b, "fac-fac", None, None) for a, b in skipped], SCHEMA))
     out = parts[0]
@@ -106,8 +184,8 @@ def anova_r2_pairs(df: DataFrame, num_cols: Sequence[str], fac_cols: Sequence[st
     """C4: adjusted R^2 of the one-way linear fit num ~ factor over complete
     cases: 1 - (1 - SSB/SST) (n - 1) / (n - k), k = levels present.
 
-    Per level only (n, mean, population variance) are aggregated (numerically
-    stable), so a pair costs one small table of at most ``level_cap`` rows.
+    Per level only (n, sum, sum of squares) of the shifted values are
+    aggregated, so a pair costs one small table of at most ``level_cap`` rows.
     """
     spark = df.sparkSession
     if not num_cols or not fac_cols:
@@ -117,28 +195,43 @@ def anova_r2_pairs(df: DataFrame, num_cols: Sequence[str], fac_cols: Sequence[st
     ok_fac = [f for f in fac_cols if nlev.get(f, 0) <= level_cap]
     parts = []
     if ok_fac:
-        items = F.array(*[F.struct(F.lit(y).alias("col_a"), F.lit(f).alias("col_b"),
-                                   F.col(y).cast("double").alias("y"),
-                                   F.col(f).cast("string").alias("lvl"))
-                          for y in num_cols for f in ok_fac])
-        per = (df.select(F.inline(items)).where(F.col("y").isNotNull() & F.col("lvl").isNotNull())
-               .groupBy("col_a", "col_b", "lvl")
-               .agg(F.count(F.lit(1)).alias("nl"), F.avg("y").alias("ml"),
-                    F.var_pop("y").alias("vl")))
-        per = stage(per, "assoc-levels")  # bounded by pairs x cap rows; read twice
-        tot = per.groupBy("col_a", "col_b").agg(
-            F.sum("nl").alias("n"), (F.sum(F.col("nl") * F.col("ml")) / F.sum("nl")).alias("m"),
-            F.count(F.lit(1)).alias("k"))
-        ss = per.join(tot, ["col_a", "col_b"]).groupBy("col_a", "col_b", "n", "k").agg(
-            F.sum(F.col("nl") * F.pow(F.col("ml") - F.col("m"), 2)).alias("ssb"),
-            F.sum(F.col("nl") * F.col("vl")).alias("ssw"))
+        nums = list(num_cols)
+        x = df.select(*[F.col(y).cast("double").alias(y) for y in nums],
+                      *[F.col(f).cast("string").alias(f"lv_{f}") for f in ok_fac])
+        means = _means(x, nums)
+
+        def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes = _Codes(len(ok_fac))
+            sums = [np.zeros((3, len(nums), 0)) for _ in ok_fac]  # count, sum and square sum by level
+            for batch in batches:
+                there, value = _shifted(batch, means)
+                for j in range(len(ok_fac)):
+                    own = codes.of(j, batch.column(len(nums) + j))
+                    width, seen = len(codes.levels[j]), own >= 0
+                    sums[j] = np.pad(sums[j], ((0, 0), (0, 0), (0, width - sums[j].shape[2])))
+                    for k in range(len(nums)):
+                        for t, w in enumerate((there[:, k], value[:, k], value[:, k] ** 2)):
+                            sums[j][t, k] += np.bincount(own[seen], weights=w[seen], minlength=width)
+            rows = [(y, f, level, int(sums[j][0, k, i]), *sums[j][1:, k, i].tolist())
+                    for j, f in enumerate(ok_fac) for k, y in enumerate(nums) for i, level in enumerate(codes.names(j))
+                    if sums[j][0, k, i]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)],
+                                                 names=["col_a", "col_b", "lvl", "nl", "sl", "ql"])
+
+        ss = x.mapInArrow(moments, "col_a string, col_b string, lvl string, nl long, sl double, ql double") \
+            .groupBy("col_a", "col_b", "lvl").agg(*[F.sum(c).alias(c) for c in ("nl", "sl", "ql")]) \
+            .groupBy("col_a", "col_b").agg(
+                F.sum("nl").alias("n"), F.count(F.lit(1)).alias("k"),
+                (F.sum(F.col("sl") * F.col("sl") / F.col("nl")) - F.sum("sl") * F.sum("sl") / F.sum("nl")).alias("ssb"),
+                F.sum(F.col("ql") - F.col("sl") * F.col("sl") / F.col("nl")).alias("ssw"))
         sst = F.col("ssb") + F.col("ssw")
         r2 = F.col("ssb") / sst
         adj = (F.when(F.col("k") == 1, F.lit(0.0))
                .when((F.col("n") > F.col("k")) & (sst > 0),
                      F.lit(1.0) - (F.lit(1.0) - r2) * (F.col("n") - 1) / (F.col("n") - F.col("k"))))
-        parts.append(ss.select("col_a", "col_b", F.lit("num-fac").alias("kind"),
-                               F.col("n").cast("long").alias("n"), adj.alias("stat")))
+        parts.append(_on_grid(ss.select("col_a", "col_b", "n", adj.alias("stat")),
+                              [(y, f) for y in nums for f in ok_fac], "num-fac"))
     skipped = [(y, f, "num-fac", None, None) for y in num_cols for f in fac_cols if f not in ok_fac]
     if skipped:
         parts.append(spark.createDataFrame(skipped, SCHEMA))

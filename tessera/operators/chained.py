@@ -96,12 +96,12 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
     for i in range(1, m + 1):
         cur = random_impute(base, impute_cols, id_col, seed=seed * 100 + i).checkpoint(eager=True)
         for sweep in range(1, maxit + 1):
-            for j, c in enumerate(impute_cols):
+            for c in impute_cols:
                 preds = list(predictors[c]) if predictors and c in predictors else \
                     [x for x in all_cols if x != c]
                 miss = f"_m_{c}"
                 fitted, sigma = _fit_predict(cur, c, preds, miss)
-                salt = column_salt(seed * 1000 + i * 10 + sweep, j)
+                salt = column_salt(seed * 1000 + i * 10 + sweep, c)
                 if method == "pmm":
                     draws = pmm_donors(fitted, c, id_col, miss, k, salt)
                     nxt = fitted.join(draws, id_col, "left")

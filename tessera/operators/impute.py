@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -18,13 +19,21 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
 from tessera.functions.hashing import draw_index, mix
-from tessera.operators.profile import numeric_columns, string_columns
+from tessera.operators.profile import columns_with_nulls, numeric_columns, string_columns
 from tessera.operators.ranking import cumulative_rank, exact_quantiles, long_numeric
 
 
-def column_salt(seed: int, index: int) -> int:
-    """Per-column salt of the hash draws (shared with the SQL oracle)."""
-    return (int(seed) * 7919 + int(index) * 104729) % 2147483647
+def column_salt(seed: int, column: str) -> int:
+    """Per-column salt of the hash draws (shared with the SQL oracle). It
+    depends on the name only, so other columns don't move a column's draws."""
+    return (int(seed) * 7919 + zlib.crc32(column.encode())) % 2147483647
+
+
+def with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Those of ``cols`` that hold a null (A13, one scan); only these are
+    fitted and filled."""
+    found = {r["column"] for r in columns_with_nulls(df, cols).collect()} if cols else set()
+    return [c for c in cols if c in found]
 
 
 # ---------------------------------------------------------------- I1
@@ -47,6 +56,8 @@ def fill_constant(df: DataFrame, num_cols: Sequence[str] | None = None,
 def fit_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Most frequent value per column; ties go to the smallest value. One
     grouped count plus a min-by-struct aggregate (partial aggregation)."""
+    if not cols:
+        return {}
     long = long_numeric(df, cols)
     cnt = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     best = cnt.groupBy("column").agg(
@@ -59,6 +70,7 @@ def fill_mode(df: DataFrame, cols: Sequence[str] | None = None, fit_on: DataFram
               exclude: Sequence[str] = ("ID", "target")) -> DataFrame:
     """Numeric nulls -> the column mode (fitted on ``fit_on``, default all rows)."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude)
+    cols = with_nulls(df, cols)
     modes = fit_modes(fit_on if fit_on is not None else df, cols)
     vals = {c: float(v) for c, v in modes.items() if v is not None}
     return df.fillna(vals) if vals else df
@@ -66,6 +78,8 @@ def fill_mode(df: DataFrame, cols: Sequence[str] | None = None, fit_on: DataFram
 
 # ---------------------------------------------------------------- I3
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    if not cols:
+        return {}
     q = exact_quantiles(df, cols, [0.5]).collect()  # one row per column
     got = {r["column"]: r["value"] for r in q}
     return {c: got.get(c) for c in cols}
@@ -75,6 +89,7 @@ def fill_median(df: DataFrame, cols: Sequence[str] | None = None, fit_on: DataFr
                 exclude: Sequence[str] = ("ID", "target")) -> DataFrame:
     """Numeric nulls -> exact median."""
     cols = list(cols) if cols is not None else numeric_columns(df, exclude)
+    cols = with_nulls(df, cols)
     meds = fit_medians(fit_on if fit_on is not None else df, cols)
     vals = {c: float(v) for c, v in meds.items() if v is not None}
     return df.fillna(vals) if vals else df
@@ -90,20 +105,19 @@ def random_draws(df: DataFrame, cols: Sequence[str], id_col: str = "ID", seed: i
     replacement). Donor numbering is distributed (range partition + offsets)
     and the draw is an equi-join on (column, donor index).
     """
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("cidx"),
-                               F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)])
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
     long = df.select(id_col, F.inline(items))
     donors = cumulative_rank(long.where(F.col("value").isNotNull()), ["column"], [id_col],
                              lo_col="didx", hi_col="_dh", group_bound=len(cols)).drop("_dh")
     sizes = {r["column"]: r["m"] for r in donors.groupBy("column").agg(
         F.count(F.lit(1)).alias("m")).collect()}  # one row per column
-    usable = [(i, c) for i, c in enumerate(cols) if sizes.get(c)]
+    usable = [c for c in cols if sizes.get(c)]
     if not usable:
         return df.sparkSession.createDataFrame([], f"{id_col} long, column string, value double")
-    size_map = F.create_map(*[x for _, c in usable for x in (F.lit(c), F.lit(int(sizes[c])))])
+    size_map = F.create_map(*[x for c in usable for x in (F.lit(c), F.lit(int(sizes[c])))])
     draw = None
-    for i, c in usable:
-        e = draw_index(F.col(id_col), column_salt(seed, i), F.lit(int(sizes[c])))
+    for c in usable:
+        e = draw_index(F.col(id_col), column_salt(seed, c), F.lit(int(sizes[c])))
         draw = F.when(F.col("column") == c, e) if draw is None else draw.when(F.col("column") == c, e)
     nulls = (long.where(F.col("value").isNull() & size_map[F.col("column")].isNotNull())
              .select(id_col, "column", draw.alias("didx")))
@@ -115,8 +129,11 @@ def random_draws(df: DataFrame, cols: Sequence[str], id_col: str = "ID", seed: i
 def random_impute(df: DataFrame, cols: Sequence[str] | None = None, id_col: str = "ID",
                   seed: int = 321, exclude: Sequence[str] = ("ID", "target")) -> DataFrame:
     """I4: every null numeric cell gets an observed value of its column drawn
-    with replacement; observed cells are untouched."""
-    cols = list(cols) if cols is not None else numeric_columns(df, exclude)
+    with replacement; observed cells are untouched, and columns without nulls
+    keep their type (filled columns are double)."""
+    cols = with_nulls(df, list(cols) if cols is not None else numeric_columns(df, exclude))
+    if not cols:
+        return df
     draws = random_draws(df, cols, id_col, seed)
     wide = draws.groupBy(id_col).pivot("column", list(cols)).agg(F.first("value"))
     wide = wide.select(id_col, *[F.col(c).alias(f"_ri_{c}") for c in cols])

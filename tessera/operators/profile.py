@@ -106,14 +106,18 @@ def level_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def unseen_level_report(df: DataFrame, cols: Sequence[str], label_col: str = "target") -> DataFrame:
-    """Levels seen in labelled rows against all levels, per column."""
+    """Levels seen in labelled rows against all levels, per column (zeros
+    for a column without any level)."""
     lv = (_long_levels(df, cols, keep=[label_col]).where(F.col("level").isNotNull())
           .groupBy("column", "level")
           .agg(F.max(F.col(label_col).isNotNull().cast("int")).alias("in_train")))
-    return lv.groupBy("column").agg(
-        F.sum("in_train").cast("long").alias("levels_train"),
-        F.count(F.lit(1)).alias("levels_total"),
-    ).withColumn("levels_unseen", F.col("levels_total") - F.col("levels_train"))
+    got = lv.groupBy("column").agg(F.sum("in_train").alias("tr"), F.count(F.lit(1)).alias("tot"))
+    grid = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    zero = F.lit(0)
+    return grid.join(got, "column", "left").select(
+        "column", F.coalesce("tr", zero).cast("long").alias("levels_train"),
+        F.coalesce("tot", zero).cast("long").alias("levels_total"),
+        (F.coalesce("tot", zero) - F.coalesce("tr", zero)).cast("long").alias("levels_unseen"))
 
 
 # ---------------------------------------------------------------- A2, A5-A8

@@ -56,30 +56,35 @@ def _numeric_features_sql() -> str:
     return with_claims(body, ", ".join(_numeric_ctes()))
 
 
+#: Numeric columns of the joined table that hold nulls on the claims view.
+_NULLABLE = ["v1", "v23", "Ts_v23", "Tl_v1", "Num_v38"]
+
+
 def _dataset_random_sql(seed: int = 321) -> str:
-    """SQL twin of dataset B2: random-draw imputation of every numeric column
-    of the joined table (salts follow the table's numeric column order; the
-    output columns are double), '' for strings."""
+    """SQL twin of dataset B2: random-draw imputation of the numeric columns
+    that hold nulls, '' for strings; other columns pass through."""
     from tessera.functions.hashing import draw_index_sql
     from tessera.operators.impute import column_salt
     num_ctes = _numeric_ctes()
     fac_ctes, fac_cols = _factor_ctes(2)
     facf = "facf AS (SELECT ID, " + ", ".join(f"{e} AS {n}" for n, e, _ in fac_cols) + " FROM pre)"
-    tab = ("tab AS (SELECT n.*, " + ", ".join(f"f.{n}" for n, _, _ in fac_cols)
+    tab = ("tab AS MATERIALIZED (SELECT n.*, " + ", ".join(f"f.{n}" for n, _, _ in fac_cols)
            + " FROM numf n JOIN facf f ON n.ID = f.ID)")
-    nums = (["v1", "v23", "v50"] + _SHARES + ["Ts_v23", "Tl_v1", "Tyj_v50"]
-            + [n for n, _, k in fac_cols if k in ("i", "d")])
-    ctes, sel = [], []
-    for i, c in enumerate(nums):
-        salt = column_salt(seed, i)
+    ctes, joins = [], []
+    for c in _NULLABLE:
+        draw = draw_index_sql("t.ID", column_salt(seed, c), f"(SELECT count(*) FROM d_{c})")
         ctes.append(
-            f"d_{c} AS (SELECT CAST({c} AS DOUBLE) AS value, row_number() OVER (ORDER BY ID) - 1 AS idx "
-            f"FROM tab WHERE {c} IS NOT NULL), n_{c} AS (SELECT count(*) AS m FROM d_{c}), "
-            f"r_{c} AS (SELECT tab.ID, d.value FROM tab CROSS JOIN n_{c} JOIN d_{c} d ON "
-            f"d.idx = {draw_index_sql('tab.ID', salt, 'n_' + c + '.m')} WHERE tab.{c} IS NULL)")
-        sel.append(f"{R(f'coalesce(CAST(tab.{c} AS DOUBLE), (SELECT value FROM r_{c} WHERE r_{c}.ID = tab.ID))')} AS {c}")
-    sel += [f"coalesce({n}, '') AS {n}" for n, _, k in fac_cols if k == "s"]
-    body = "SELECT ID, target, " + ", ".join(sel) + " FROM tab"
+            f"d_{c} AS MATERIALIZED (SELECT CAST({c} AS DOUBLE) AS value, row_number() OVER (ORDER BY ID) - 1 AS idx "
+            f"FROM tab WHERE {c} IS NOT NULL), "
+            f"i_{c} AS MATERIALIZED (SELECT t.ID, {draw} AS idx FROM tab t WHERE t.{c} IS NULL), "
+            f"r_{c} AS MATERIALIZED (SELECT i.ID, d.value FROM i_{c} i JOIN d_{c} d ON i.idx = d.idx)")
+        joins.append(f"LEFT JOIN r_{c} ON r_{c}.ID = tab.ID")
+    doubles = _NUM_SCALED + _SHARES + [n for n, _, k in fac_cols if k == "d"]
+    sel = [(R(f"coalesce(CAST(tab.{c} AS DOUBLE), r_{c}.value)") if c in _NULLABLE else R(f"tab.{c}")) + f" AS {c}"
+           for c in doubles]
+    sel += [f"coalesce(tab.{n}, '') AS {n}" for n, _, k in fac_cols if k == "s"]
+    sel += [f"tab.{n}" for n, _, k in fac_cols if k == "i"]
+    body = "SELECT tab.ID, tab.target, " + ", ".join(sel) + " FROM tab " + " ".join(joins)
     return with_claims(body, ", ".join(num_ctes + fac_ctes + [facf, tab] + ctes))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import exprs as X
 from tessera.functions.hashing import draw_index_sql, mix_sql
 from tessera.operators import impute, transform
 from tessera.plans.registry import R, query, rounded, with_claims
@@ -148,8 +147,8 @@ _RI_SEED = 321
 def _random_sql() -> str:
     ctes = []
     sel = []
-    for i, c in enumerate(_RI_COLS):
-        salt = impute.column_salt(_RI_SEED, i)
+    for c in _RI_COLS:
+        salt = impute.column_salt(_RI_SEED, c)
         ctes.append(
             f"d_{c} AS (SELECT CAST({c} AS DOUBLE) AS value, row_number() OVER (ORDER BY ID) - 1 AS idx "
             f"FROM claims WHERE {c} IS NOT NULL), "
@@ -176,9 +175,6 @@ def i10_random_partition(spark, d):
     return impute.add_partition(claims_view(spark, d).select("ID"), k=8, seed=47)
 
 
-_ = X  # re-exported helpers used by callers
-
-
 def _retransform_sql() -> str:
     body = _random_sql()
     inner = body[len("WITH "):]
