@@ -115,6 +115,31 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str], mirror: bool = True) -> Da
     return _mirror(out) if mirror else out
 
 
+def complete_gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Gram matrix of (1, columns shifted by their means) over the rows where
+    all columns are present: (p + 1) x (p + 1) numbers, from one partial matrix
+    a task. With an intercept the shift changes no residual."""
+    cols = list(cols)
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    means = _means(x, cols)
+    p = len(cols) + 1
+    a, b = np.triu_indices(p)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((p, p))
+        for batch in batches:
+            there, value = _shifted(batch, means)
+            rows = np.column_stack([np.ones(len(value)), value])
+            g += rows.T @ rows
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(g[a, b])],
+                                         names=["a", "b", "g"])
+
+    out = np.zeros((p, p))
+    for r in x.mapInArrow(gram, "a int, b int, g double").groupBy("a", "b").agg(F.sum("g").alias("g")).collect():
+        out[r["a"], r["b"]] = out[r["b"], r["a"]] = r["g"]
+    return out
+
+
 # ---------------------------------------------------------------- C2, C3
 def cramers_v_pairs(df: DataFrame, cols: Sequence[str], level_cap: int = 100,
                     mirror: bool = True, levels: DataFrame | None = None) -> DataFrame:

@@ -13,8 +13,8 @@ where that column was observed, using the current values of its predictors.
 * ``method='norm'``: prediction plus Gaussian noise with the fit's residual
   standard deviation (hash-seeded Box-Muller, reproducible).
 
-The frame is written with a reliable checkpoint after every sweep, cutting
-the lineage of the iteration. ``m`` imputations are averaged per cell.
+The frame is staged as Parquet after every column, cutting the lineage of the
+iteration: the scans of a sweep grow linearly with its columns. ``m`` imputations are averaged per cell.
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import mix, std_normal
+from tessera.operators.assoc import complete_gram
 from tessera.operators.impute import column_salt, random_impute
 from tessera.operators.ranking import cumulative_rank
-from tessera.session import ensure_checkpoint_dir
+from tessera.sources.staging import stage
 
 
 def _fit_predict(cur: DataFrame, target: str, preds: Sequence[str], miss: str):
@@ -87,14 +88,14 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
     """I5/I6 + I7. Returns (df with ``impute_cols`` filled by the mean over
     ``m`` imputations, trace(imputation, sweep, column, mean_abs_change))."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     impute_cols = list(impute_cols)
     base = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in all_cols],
                      *[F.col(c).isNull().alias(f"_m_{c}") for c in impute_cols])
     trace_rows = []
     results = []
     for i in range(1, m + 1):
-        cur = random_impute(base, impute_cols, id_col, seed=seed * 100 + i).checkpoint(eager=True)
+        cur = random_impute(base, impute_cols, id_col, seed=seed * 100 + i)
+        cur = stage(cur, "chained")
         for sweep in range(1, maxit + 1):
             for c in impute_cols:
                 preds = list(predictors[c]) if predictors and c in predictors else \
@@ -112,11 +113,12 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
                         .otherwise(F.col(c))
                 else:
                     raise ValueError(method)
-                nxt = nxt.withColumn("_old", F.col(c)).withColumn(c, newv)
+                # staged for each column: the next fit, ranking and trace read
+                # this table instead of running all columns before again
+                nxt = stage(nxt.withColumn("_old", F.col(c)).withColumn(c, newv).select(*base.columns, "_old"), "chained")
                 ch = nxt.where(F.col(miss)).agg(F.avg(F.abs(F.col(c) - F.col("_old"))).alias("d")).first()["d"]
                 trace_rows.append((i, sweep, c, float(ch) if ch is not None else None))
                 cur = nxt.select(*base.columns)
-            cur = cur.checkpoint(eager=True)
         items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"),
                                    F.col(f"_m_{c}").alias("was_null")) for c in impute_cols])
         results.append(cur.select(id_col, F.inline(items)).where("was_null").select(id_col, "column", "value"))
@@ -144,15 +146,8 @@ def stepwise_predictors(df: DataFrame, targets: Sequence[str], all_cols: Sequenc
     cols = list(all_cols)
     filled = random_impute(df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]),
                            list(targets), id_col, seed=seed)
-    terms = [F.lit(1.0)] + [F.col(c) for c in cols]
     names = ["_one"] + cols
-    complete = filled.dropna(subset=cols)
-    aggs = [F.sum(terms[a] * terms[b]).alias(f"g{a}_{b}") for a in range(len(terms)) for b in range(a, len(terms))]
-    g = complete.agg(*aggs).first()
-    G = np.zeros((len(terms), len(terms)))
-    for a in range(len(terms)):
-        for b in range(a, len(terms)):
-            G[a, b] = G[b, a] = g[f"g{a}_{b}"] or 0.0
+    G = complete_gram(filled, cols)
     n = G[0, 0]
     rows = []
     for t in targets:

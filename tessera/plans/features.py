@@ -12,6 +12,7 @@ lambdas, modes) and never collect rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -50,6 +51,18 @@ def numeric_features(pre: DataFrame, special_log: Sequence[str] = (), log1p: Seq
     return x
 
 
+def numeric_tables(pre: DataFrame, special_log: Sequence[str] = (), log1p: Sequence[str] = (),
+                   yeo_johnson: Sequence[str] = (), rescale_only: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """T5: the three numeric tables of one plan: ``raw_trans`` (all scaled
+    columns and transforms), ``trans`` (ID, target, the columns that are only
+    rescaled, the row shares and the transforms) and ``raw`` (scaled columns
+    without transforms)."""
+    full = numeric_features(pre, special_log, log1p, yeo_johnson)
+    made = [c for c in full.columns if re.match(r"T\w*_", c)]
+    freq = [c for c in full.columns if "freq" in c]
+    return {"raw_trans": full, "trans": full.select(ID, LABEL, *rescale_only, *freq, *made), "raw": full.drop(*made)}
+
+
 def factor_features(pre: DataFrame, long_strings: Sequence[str] = ("v22",), version: int = 2,
                     impact_min_levels: int = 10, freq_min_levels: int = 25, buckets: int = 25,
                     impact_exclude: Sequence[str] = ("v22",)) -> DataFrame:

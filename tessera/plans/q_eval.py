@@ -136,8 +136,8 @@ totf AS (SELECT rep, fold, count(*) AS Nf, sum(target) AS N1f, count(*) FILTER (
 po AS (SELECT t.rep, tf.fold, (t.N1 - tf.N1f) * 1.0 / (t.N - tf.Nf) AS p,
         ((t.N1 - tf.N1f) + (t.NN1 - tf.NN1f) + (t.N1 - tf.N1f) * 1.0 / (t.N - tf.Nf))
         / ((t.N - tf.Nf) + (t.NN - tf.NNf) + 1.0) AS na FROM tot t JOIN totf tf ON t.rep = tf.rep),
-oof AS (SELECT lab.ID, lab.rep, (round(CASE WHEN lab.level IS NOT NULL AND lev.n - levf.nf > 0
-        THEN (lev.n1 - levf.n1f + po.p) / (lev.n - levf.nf + 1.0) ELSE po.na END, 6) + 0.0) AS prob
+oof AS (SELECT lab.ID, lab.rep, (CASE WHEN lab.level IS NOT NULL AND lev.n - levf.nf > 0
+        THEN (lev.n1 - levf.n1f + po.p) / (lev.n - levf.nf + 1.0) ELSE po.na END) AS prob
         FROM lab JOIN po ON lab.rep = po.rep AND lab.fold = po.fold
         LEFT JOIN lev ON lev.rep = lab.rep AND lev.level = lab.level
         LEFT JOIN levf ON levf.rep = lab.rep AND levf.fold = lab.fold AND levf.level = lab.level)"""
@@ -148,10 +148,7 @@ def _oof(spark, d, folds_with_rep):
     c = claims_view(spark, d).select("ID", "target", "v22")
     x = c.join(folds_with_rep.select("ID", "rep", "fold"), "ID")
     o = encode.impact_encode_out_of_fold(x, "v22", "fold", out_col="prob", rep_col="rep", row_key="ID")
-    # members are rounded to 6 decimals: an average of three such values has
-    # a repeating or short decimal expansion, so it never sits on a rounding
-    # boundary, whatever order an engine sums in
-    return o.select("ID", "rep", (F.round("prob", 6) + F.lit(0.0)).alias("prob"))
+    return o.select("ID", "rep", "prob")
 
 
 _OOF_SELECT = f"SELECT ID, count(*) AS n_models, {R('avg(prob)')} AS prob FROM oof GROUP BY ID"
