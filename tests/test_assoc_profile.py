@@ -119,3 +119,43 @@ def test_column_nulls_wide_and_long_forms_agree(spark):
     a = sorted(map(tuple, profile.column_nulls(df).collect()))
     b = sorted(map(tuple, profile.column_nulls(df, wide_max=1).collect()))
     assert a == b and ("x", "numeric", 2, 2 / 3) in a
+
+
+def test_pairs_without_common_rows_are_kept(spark):
+    from tessera.operators import assoc, profile
+    df = spark.createDataFrame([(1.0, None, "a", None, None), (2.0, None, "b", None, None), (None, 3.0, None, "c", None),
+                                (None, 4.0, None, "d", None)], "x double, y double, f string, g string, e string")
+    for got in (assoc.pearson_pairs(df, ["x", "y"]), assoc.cramers_v_pairs(df, ["f", "g"]),
+                assoc.anova_r2_pairs(df, ["x"], ["g"])):
+        rows = got.collect()
+        assert len(rows) == 2 and all(r["n"] == 0 and r["stat"] is None for r in rows)
+    rows = {r["column"]: tuple(r)[1:] for r in profile.unseen_level_report(
+        df.withColumn("target", df["x"]), ["f", "e"]).collect()}
+    assert rows == {"f": (2, 2, 0), "e": (0, 0, 0)}
+
+
+def test_wide_association_has_no_row_per_pair(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import assoc
+    wide = spark.range(50).select(*[(F.sin(F.col("id") * (j + 1))).alias(f"c{j}") for j in range(132)])
+    out = assoc.pearson_pairs(wide, wide.columns, mirror=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and out.count() == 132 * 131 // 2
+    r = out.where("col_a = 'c0' and col_b = 'c1'").first()["stat"]
+    assert abs(r - wide.select(F.corr("c0", "c1")).first()[0]) < 1e-12
+
+
+def test_bracketed_quantiles_of_a_long_column(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tessera.operators.ranking import exact_quantiles
+    df = spark.range(30_000).select(F.sin("id").alias("a"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(
+        F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")).alias("hot"), F.lit(None).cast("double").alias("none"))
+    got = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, df.columns, [0.0, 0.25, 0.5, 1.0]).collect()}
+    rows = df.toPandas()
+    for c in ("a", "hot"):
+        for p in (0.0, 0.25, 0.5, 1.0):
+            assert abs(got[c, p] - np.quantile(rows[c], p)) < 1e-12
+    assert got["none", 0.5] is None

@@ -21,14 +21,19 @@ def test_no_python_udf_in_sql_checked_queries(spark, sf):
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
 
 
-def test_no_single_partition_window_over_rows(spark, sf):
-    qs = E.queries()
-    for name in ["v5_stratified_folds", "e11_first_appearance_codes", "i4_random_impute",
-                 "v2_auc_by_fold", "a5_numeric_summary"]:
-        plan = qs[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
-        for line in plan.splitlines():
-            if "Window [" in line and "windowspecdefinition" in line:
-                assert "_rk_pid" in line or "partition" in line.lower(), (name, line)
+def test_ranking_moves_the_rows_once(spark):
+    from tessera.operators.ranking import numbered
+    df = spark.range(1000).selectExpr("id", "id % 3 AS g", "id % 7 AS w")
+    for weight in (None, "w"):
+        # the plan before staging: one range exchange of the rows, no window
+        plan = numbered(df, ["g"], ["id"], weight)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+        assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_every_query_has_a_twin_but_the_stream():
+    from tessera.plans import catalog
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) <= {"st_events_rowwise"}
 
 
 def test_scans_are_pruned_and_filters_pushed(spark, sf):

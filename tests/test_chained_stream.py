@@ -95,7 +95,7 @@ def test_cross_validate_forest_small(spark, sf):
     t = features.imputed(features.model_table(pre, features.numeric_features(pre),
                                               features.factor_features(pre)), "median")
     res = models.cross_validate(t, lambda: models.forest(num_trees=5, max_features=4, max_depth=4),
-                                k=3, early_stop=False)
+                                k=3)
     scores = res["scores"].collect()
     assert len(scores) == 3 and all(0 < r["logloss"] < 5 for r in scores)
     oof = res["oof"].collect()
@@ -105,10 +105,48 @@ def test_cross_validate_forest_small(spark, sf):
     assert abs(sum(r["average"] for r in avg) - 1.0) < 1e-6  # importances sum to 1 per fold
 
 
-def test_shadow_selection_shape(spark, sf):
+def test_shadow_selection_decides(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
     from tessera.operators import models
-    from tessera.sources.tables import claims_view
-    df = claims_view(spark, sf).select("ID", "target", "v1", "v23", "v50").fillna(0.0)
-    out = models.shadow_selection(df, runs=3, num_trees=5).collect()
-    assert {r["feature"] for r in out} == {"v1", "v23", "v50"}
-    assert all(r["decision"] in ("Confirmed", "Rejected", "Tentative") and 0 <= r["hits"] <= 3 for r in out)
+    df = spark.range(600).select(
+        F.col("id").alias("ID"), (F.col("id") % 2).cast("int").alias("target"),
+        (F.col("id") % 2 + F.pmod(F.xxhash64("id"), F.lit(10)) / 100).alias("signal"),
+        F.when(F.col("id") % 2 == 1, "a").otherwise("b").alias("level"),
+        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).cast("double").alias("noise"))
+    out = {r["feature"]: r for r in models.shadow_selection(df, runs=14, num_trees=10).collect()}
+    assert out["signal"]["decision"] == out["level"]["decision"] == "Confirmed"
+    assert out["noise"]["decision"] == "Rejected" and out["noise"]["runs"] < 14
+    with pytest.raises(ValueError, match="cannot decide"):
+        models.shadow_selection(df, runs=8, num_trees=2)
+
+
+def test_round_losses_are_log_losses(spark):
+    import pytest
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from tessera.operators import metrics, models
+    df = spark.range(400).select(F.col("id").alias("ID"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("double").alias("label"),
+                                 (F.col("id") % 17).cast("double").alias("x"))
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    model = models.booster("simple", max_iter=6).fit(data)
+    losses = models.round_losses(model, data)
+    v1 = metrics.log_loss(models._prob(model.transform(data)), "label", "prob").first()["logloss"]
+    assert len(losses) == 6 and losses[-1] == pytest.approx(v1, abs=1e-9)
+    assert models.stopping_round([3, 2, 2.5, 1], 1) == 2 and models.stopping_round([3, 2, 2.5, 1], None) == 4
+    early = models.fit_early(models.booster("simple", max_iter=6), data, data, patience=2)
+    assert early.getNumTrees <= 6
+    with pytest.raises(ValueError, match="at most 30"):
+        models.forest(max_depth=40)
+
+
+def test_norm_imputation_leaves_observed_cells(spark):
+    from tessera.operators import chained
+    rows = [(i, None if i % 5 == 0 else 2.0 * i, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "ID long, a double, b double")
+    filled, trace = chained.chained_impute(df, ["a"], ["a", "b"], m=1, maxit=2, method="norm", predictors={"a": ["b"]})
+    got = {r["ID"]: r["a"] for r in filled.collect()}
+    assert all(abs(got[i] - 2.0 * i) < 1e-6 for i in got)  # an exact line has no residual
+    assert trace.count() == 2

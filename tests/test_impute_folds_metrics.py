@@ -103,3 +103,22 @@ def test_yeo_johnson_fit_prefers_symmetry(spark):
     df = spark.createDataFrame(rows, "x double")
     lam = transform.fit_yeo_johnson(df, ["x"])["x"]
     assert -0.5 <= lam <= 0.5  # log-normal data -> lambda near 0
+
+
+def test_columns_without_nulls_keep_type_and_draws(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else float(i), i) for i in range(30)], "ID long, x double, k int")
+    one = impute.random_impute(df, ["x"], seed=4)
+    two = impute.random_impute(df, ["k", "x"], seed=4)
+    assert dict(two.dtypes)["k"] == "int"
+    assert {r["ID"]: r["x"] for r in one.collect()} == {r["ID"]: r["x"] for r in two.collect()}
+
+
+def test_hash_of_64_bit_keys_is_exact(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.hashing import HIGH_FOLD, MODULUS, MULT_HI, MULT_LO, mix
+    keys = [0, 5, 2**53 + 1, 2**62 + 12345, 2**63 - 1]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(mix(F.col("k"), 3)).collect()]
+    for k, v in zip(keys, got):
+        x = (k % MODULUS + (k // MODULUS) % MODULUS * HIGH_FOLD + 3) % MODULUS
+        assert v == (x * MULT_HI % MODULUS) * 2147483648 + x * MULT_LO % MODULUS
