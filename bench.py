@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tessera.plans import catalog  # noqa: E402
 from tessera.session import get_session  # noqa: E402
+from tessera.sources.tables import VIEW_PARTITIONS  # noqa: E402
 
 HEADLINE = [
     "v1_logloss_by_fold",        # flagship: impact coding + folds + log-loss
@@ -45,6 +46,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=cpus)
+    spark.conf.set(VIEW_PARTITIONS, str(cpus))  # the test tables are single small files
     qs = catalog.queries()
     # warm-up on the smallest tables: JVM JIT, codegen caches
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")

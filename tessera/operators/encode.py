@@ -18,7 +18,9 @@ from tessera.functions import exprs as X
 from tessera.functions.hashing import mix
 from tessera.operators.ranking import cumulative_rank
 
+# A lookup model is broadcast only within both bounds.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 SALT_BUCKETS = 32
 
 
@@ -32,17 +34,22 @@ def lookup_join(df: DataFrame, model: DataFrame, key: str | Column, model_key: s
     fill missing values from ``defaults``.
 
     ``row_key`` (a unique row id) spreads rows over salt buckets when the
-    model is too large to broadcast.
+    model is too large to broadcast: more rows than ``broadcast_max_rows`` or,
+    by its key lengths, more than ``BROADCAST_MAX_BYTES``.
     """
     key_col = F.col(key) if isinstance(key, str) else key
     defaults = defaults or {}
     n_model = model_rows if model_rows is not None else model.count()
+    small = n_model <= broadcast_max_rows
+    if small:
+        chars = model.agg(F.sum(F.octet_length(F.col(model_key).cast("string")))).first()[0] or 0
+        small = chars + n_model * (24 + 16 * len(value_cols)) <= BROADCAST_MAX_BYTES
     mk = "_lk_key"
     m = model.select(F.col(model_key).alias(mk), *value_cols)
     left = df.withColumn("_lk_k", key_col)
-    if n_model <= broadcast_max_rows or salt <= 1:
+    if small or salt <= 1:
         cond = (F.col("_lk_k").eqNullSafe(F.col(mk)) if null_safe else F.col("_lk_k") == F.col(mk))
-        j = left.join(F.broadcast(m) if n_model <= broadcast_max_rows else m, cond, "left")
+        j = left.join(F.broadcast(m) if small else m, cond, "left")
     else:
         rk = F.col(row_key) if isinstance(row_key, str) else row_key
         if rk is None:
@@ -202,7 +209,7 @@ def impact_encode_out_of_fold(df: DataFrame, col: str, fold_col: str, label_col:
 
 
 # ---------------------------------------------------------------- E4
-def one_hot_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list[str]:
+def one_hot_levels(df: DataFrame, col: str, max_levels: int) -> list[str]:
     """Sorted level list of a column; null becomes the level 'nan'. Fails
     loudly above ``max_levels`` (the output width is data dependent)."""
     lv = (df.select(F.coalesce(F.col(col).cast("string"), F.lit("nan")).alias("l"))
@@ -213,10 +220,13 @@ def one_hot_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list[str]
 
 
 def one_hot(df: DataFrame, col: str, levels: Sequence[str] | None = None,
-            drop_source: bool = True) -> tuple[DataFrame, list[str]]:
+            drop_source: bool = True, max_levels: int | None = None) -> tuple[DataFrame, list[str]]:
     """``<col>_<level>`` 0/1 columns; levels fitted on one frame can be
-    reused on another (unseen levels give all zeros)."""
-    levels = list(levels) if levels is not None else one_hot_levels(df, col)
+    reused on another (unseen levels give all zeros). To fit them, the caller
+    says how many columns the result may get (``max_levels``)."""
+    if levels is None and max_levels is None:
+        raise TypeError("one_hot needs either levels or max_levels")
+    levels = list(levels) if levels is not None else one_hot_levels(df, col, max_levels)
     s = F.coalesce(F.col(col).cast("string"), F.lit("nan"))
     out = df.select("*", *[F.when(s == F.lit(v), 1).otherwise(0).alias(f"{col}_{v}") for v in levels])
     return (out.drop(col) if drop_source else out), levels
@@ -344,10 +354,11 @@ def add_lengths(df: DataFrame, cols: Sequence[str], prefix: str = "Len_") -> Dat
     return df.select("*", *[X.str_len(c).alias(f"{prefix}{c}") for c in cols])
 
 
-def explode_chars(df: DataFrame, cols: Sequence[str], max_width: int = 256,
+def explode_chars(df: DataFrame, cols: Sequence[str], max_width: int,
                   with_length: bool = True) -> DataFrame:
     """``Len_<c>`` and ``It_<c>_1..L`` (L = longest value), null or past
-    the end giving ''. One aggregate finds L; fails loudly above max_width."""
+    the end giving ''. One aggregate finds L; fails loudly above
+    ``max_width``, the columns that the caller allows for each source."""
     if not cols:
         return df
     ml = df.agg(*[F.max(F.length(F.col(c))).alias(c) for c in cols]).first()

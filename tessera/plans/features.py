@@ -65,15 +65,16 @@ def numeric_tables(pre: DataFrame, special_log: Sequence[str] = (), log1p: Seque
 
 def factor_features(pre: DataFrame, long_strings: Sequence[str] = ("v22",), version: int = 2,
                     impact_min_levels: int = 10, freq_min_levels: int = 25, buckets: int = 25,
-                    impact_exclude: Sequence[str] = ("v22",)) -> DataFrame:
+                    impact_exclude: Sequence[str] = ("v22",), max_width: int = 256) -> DataFrame:
     """E14 gate applied to the categorical table. v1: impact coding of
     every column with more than 10 levels (originals dropped). v2: impact
     coding excluding ``impact_exclude``, numeric copies of the code columns,
     frequency coding of columns with at least 25 levels (25 buckets),
-    originals of frequency-coded columns dropped."""
+    originals of frequency-coded columns dropped. A long string of more than
+    ``max_width`` characters raises: each is a column of the result."""
     facs = profile.string_columns(pre, [ID, LABEL])
     x = pre.select(ID, LABEL, *facs)
-    x = encode.explode_chars(x, [c for c in long_strings if c in facs])
+    x = encode.explode_chars(x, [c for c in long_strings if c in facs], max_width)
     cat = [c for c in x.columns if c not in (ID, LABEL) and not c.startswith("Len_")]
     x = encode.letter_counts(x, cat)
     levels = profile.level_counts(x, facs)

@@ -50,7 +50,7 @@ def e4_one_hot(spark, d):
     """One 0/1 column per level of v3 (level list fitted from the data;
     the oracle spells the five TPC-H market segments)."""
     df = claims_view(spark, d).select("ID", "v3")
-    out, _ = encode.one_hot(df, "v3")
+    out, _ = encode.one_hot(df, "v3", max_levels=100)
     return out
 
 
@@ -127,7 +127,7 @@ def e9_char_explode(spark, d):
     """E8 + E9: string length and one column per character position up to
     the longest value (found by one aggregate)."""
     df = claims_view(spark, d).select("ID", "v22")
-    return encode.explode_chars(df, ["v22"]).drop("v22")
+    return encode.explode_chars(df, ["v22"], max_width=32).drop("v22")
 
 
 _LET_COLS = ["v3", "v71", "v22", "v66", "It_v22_1", "It_v22_2", "It_v22_3"]
@@ -140,7 +140,7 @@ _LET_COLS = ["v3", "v71", "v22", "v66", "It_v22_1", "It_v22_2", "It_v22_3"]
 def e10_letter_counts(spark, d):
     """E10 after E9: per row, in how many categorical columns (including the
     character items) the value is exactly each letter A..Z."""
-    df = encode.explode_chars(claims_view(spark, d).select("ID", *CLAIMS_STRING), ["v22"],
+    df = encode.explode_chars(claims_view(spark, d).select("ID", *CLAIMS_STRING), ["v22"], max_width=32,
                               with_length=False)
     out = encode.letter_counts(df, _LET_COLS)
     return out.select("ID", *[f"Nr_{L}" for L in LETTERS])

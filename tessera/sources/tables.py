@@ -23,28 +23,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_SCAN_SPLITS: dict[tuple[str, ...], int] = {}
+#: Session setting: number of partitions the derived views are dealt into by
+#: their row key. Unset (the default), the reader's splits are left as they are;
+#: it serves a few small files on many cores, where one split would hold all rows.
+VIEW_PARTITIONS = "tessera.view.partitions"
 
 
-def scan_splits(scan: DataFrame) -> int:
-    """Number of input partitions of a file scan, probed once per file set."""
-    key = tuple(sorted(scan.inputFiles()))
-    if key not in _SCAN_SPLITS:
-        _SCAN_SPLITS[key] = scan.rdd.getNumPartitions()
-    return _SCAN_SPLITS[key]
-
-
-def spread(df: DataFrame, key: str | None = None, scan: DataFrame | None = None) -> DataFrame:
-    """Hash-partition on ``key`` when the driving scan (``scan``, default
-    ``df``) yields fewer partitions than the cluster can run at once (a few
-    large files, or one small file); a no-op on large inputs, which already
-    arrive in many splits. Hashing on the row key also lets later joins on
-    that key reuse the partitioning."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if scan_splits(scan if scan is not None else df) >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal ``df`` by ``key`` into the number of partitions that the session
+    setting ``VIEW_PARTITIONS`` names; unchanged when it is unset."""
+    n = df.sparkSession.conf.get(VIEW_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 def _letter(code) -> F.Column:
@@ -83,7 +72,7 @@ def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(_letter(F.pmod(ck * 7, F.lit(26)).cast("int"))))).alias("v22"),
         _letter(F.pmod(k * 3, F.lit(7)).cast("int")).alias("v66"),
     )
-    return spread(out, "ID", scan=o)
+    return spread(out, "ID")
 
 
 # The same view as SQL text (runs unchanged in Spark SQL and DuckDB).
@@ -125,7 +114,7 @@ def lineitem_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
-    ), "l_orderkey", scan=li)
+    ), "l_orderkey")
 
 
 LINEITEM_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -44,10 +44,8 @@ def fit_event_frequency(batch: DataFrame, col: str = "event_type") -> tuple[Data
 def rowwise_features(df: DataFrame, model: DataFrame, model_rows: int, col: str = "event_type") -> DataFrame:
     """Stateless features of each event plus the fitted frequency of its type.
 
-    ``model_rows`` must stay under the broadcast bound: a stream-static join
-    re-reads the static side per micro-batch, so it is only used broadcast."""
-    if model_rows > encode.BROADCAST_MAX_ROWS:
-        raise ValueError("frequency model too large for a stream-static broadcast join")
+    A model beyond the broadcast bounds is joined by a salted shuffle, in a
+    stream as in a batch."""
     x = df.select(
         "event_id", "event_type",
         X.special_log("value").alias("Ts_value"),

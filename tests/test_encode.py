@@ -60,7 +60,7 @@ def test_frequency_and_buckets(spark):
 
 def test_one_hot_and_unseen(spark):
     df = enc_tiny(spark)
-    out, levels = encode.one_hot(df, "c")
+    out, levels = encode.one_hot(df, "c", max_levels=10)
     assert levels == ["a", "b", "c", "nan"]
     r5 = out.where("ID = 5").first()
     assert r5["c_nan"] == 1 and r5["c_a"] == 0
@@ -104,7 +104,7 @@ def test_label_codes_first_and_alpha(spark):
 
 def test_chars_letters(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "A"), (4, "ZÉB")], "ID long, c string")
-    out = {r["ID"]: r for r in encode.letter_counts(encode.explode_chars(df, ["c"])).collect()}
+    out = {r["ID"]: r for r in encode.letter_counts(encode.explode_chars(df, ["c"], max_width=10)).collect()}
     assert out[1]["Len_c"] == 0 and out[1]["It_c_1"] == ""
     assert out[4]["Len_c"] == 3 and out[4]["It_c_2"] == "É" and out[4]["It_c_3"] == "B"
     assert out[3]["Nr_A"] == 2  # c and It_c_1 both equal 'A'
