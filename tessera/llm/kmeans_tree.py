@@ -53,7 +53,7 @@ def _centres(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
 class Tree:
     """Nodes as (centres, children); a child below zero is leaf ``-1 - child``."""
 
-    def __init__(self, x: np.ndarray, branches: int = 8, leaf_size: int = 16, seed: int = 11):
+    def __init__(self, x: np.ndarray, branches: int = 8, leaf_size: int = 64, seed: int = 11):
         self.nodes: list[tuple[np.ndarray, list[int]]] = []
         self.leaves = 0
         rng = np.random.default_rng(seed)
@@ -124,7 +124,7 @@ def usable(vector: Column) -> Column:
 
 
 def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-           sample: int = 16384, calibration: int = 200, recall: float = 0.97, block: int = 2048) -> DataFrame:
+           sample: int = 16384, calibration: int = 200, recall: float = 0.95, block: int = 2048) -> DataFrame:
     """The ``k`` nearest other rows of each query row by cosine, in double
     precision: ``query_id, rank`` (int, from 1), ``vec_id, score``; nearest
     first, ties to the smaller id. With fewer candidates, all of them.
@@ -188,19 +188,18 @@ def _search(own: DataFrame, k: int, sample: int, calibration: int, recall: float
 
     def route(batches):
         for pdf in batches:
-            out = []
-            for h1, h2, v, q in zip(pdf["h1"], pdf["h2"], pdf["v"], _unit(_matrix(pdf["v"]))):
-                seen = ids = 0
-                for leaf in shared.value.visits(q):
+            for h1, h2, q in zip(pdf["h1"], pdf["h2"], _unit(_matrix(pdf["v"]))):
+                out, ids = [], 0
+                for seen, leaf in enumerate(shared.value.visits(q)):
                     if seen >= width and ids > k:
                         break
-                    seen += 1
                     if leaf in sizes:
                         ids += sizes[leaf][1]
-                        out.append((h1, h2, v, leaf))
-            yield pd.DataFrame(out, columns=["h1", "h2", "v", "leaf"])
+                        out.append(leaf)
+                yield pd.DataFrame({"h1": h1, "h2": h2, "leaf": out})
 
-    routed = stage(asked.select("h1", "h2", "v").mapInPandas(route, f"h1 long, h2 int, v {vector}, leaf long"), "routed")
+    # only keys leave the tree walk; vectors are joined to the visits by Spark
+    routed = stage(asked.select("h1", "h2", "v").mapInPandas(route, "h1 long, h2 int, leaf long"), "routed")
     load = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("q_blocks"))
     cut = F.broadcast(leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("r_blocks"))
                       .join(load, "leaf"))  # one row a leaf
@@ -210,7 +209,7 @@ def _search(own: DataFrame, k: int, sample: int, calibration: int, recall: float
             .withColumn(other_key, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1))) \
             .drop("q_blocks", "r_blocks")
 
-    left = dealt(routed, "q_blocks", "qb", "r_blocks", "rb").groupBy("leaf", "qb", "rb")
+    left = dealt(routed.join(asked.select("h1", "h2", "v"), ["h1", "h2"]), "q_blocks", "qb", "r_blocks", "rb").groupBy("leaf", "qb", "rb")
     right = dealt(leaves.select("h1", "h2", "v", "ids", "leaf"), "r_blocks", "rb", "q_blocks", "qb").groupBy("leaf", "qb", "rb")
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -234,28 +233,30 @@ def _search(own: DataFrame, k: int, sample: int, calibration: int, recall: float
 
 def _calibrated(leaves: DataFrame, drawn: DataFrame, tree: Tree, k: int, recall: float) -> int:
     """The least number of visits that finds the wanted share of the true
-    neighbours (brute force over all rows) of the drawn queries."""
+    other neighbours (brute force over all rows) of the drawn queries."""
     probes = drawn.orderBy("h1", "h2").collect()  # bounded by the caller
     if not probes:
         return 1
-    matrix = np.array([r["v"] for r in probes])
+    matrix, keys = np.array([r["v"] for r in probes]), [(r["h1"], r["h2"]) for r in probes]
 
     def truth(batches):
         for pdf in batches:
             if len(pdf):
                 least_id = np.array([ids[0] for ids in pdf["ids"]])
                 leaf = pdf["leaf"].to_numpy()
-                out = [(i, s, least_id[j], leaf[j]) for i, j, s in _nearest(matrix, _matrix(pdf["v"]), least_id, k + 1)]
+                own = list(zip(pdf["h1"], pdf["h2"]))
+                out = [(i, s, least_id[j], leaf[j]) for i, j, s in _nearest(matrix, _matrix(pdf["v"]), least_id, k + 1)
+                       if own[j] != keys[i]]
                 yield pd.DataFrame(out, columns=["probe", "score", "id", "leaf"])
 
     kind = leaves.schema["ids"].dataType.elementType.simpleString()
     nearest = leaves.mapInPandas(truth, f"probe int, score double, id {kind}, leaf long")
     order = Window.partitionBy("probe").orderBy(F.desc("score"), "id")
-    held = nearest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1) \
-        .select("probe", "leaf").collect()  # at most k + 1 rows a probe
+    held = nearest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k) \
+        .select("probe", "leaf").collect()  # at most k rows a probe
     place = [{leaf: n for n, leaf in enumerate(tree.visits(q))} for q in _unit(matrix)]
     ranks = np.sort([place[r["probe"]][r["leaf"]] for r in held])
     width = 1
-    while (ranks < width).mean() < recall:
+    while len(ranks) and (ranks < width).mean() < recall:
         width += 1
     return width
