@@ -7,13 +7,15 @@ them is a projection inside whole-stage codegen.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
-from tessera.operators.ranking import long_numeric
 
 # Fixed grid of Yeo-Johnson lambdas searched by maximum likelihood: -2..2 by 0.1.
 YJ_GRID = [round(-2.0 + 0.1 * i, 1) for i in range(41)]
@@ -29,58 +31,76 @@ def add_log1p(df: DataFrame, cols: Sequence[str], prefix: str = "Tl_") -> DataFr
     return df.select("*", *[X.log1p_guarded(c).alias(f"{prefix}{c}") for c in cols])
 
 
-def _yj_sign_log(c) -> F.Column:
-    x = F.col(c).cast("double") if isinstance(c, str) else c
-    return F.signum(x) * F.log1p(F.abs(x))
-
-
 def yeo_johnson_profile(df: DataFrame, cols: Sequence[str], grid: Sequence[float] = YJ_GRID,
                         shift_min: bool = False) -> dict[str, list[tuple[float, float]]]:
     """Profile log-likelihood of the Yeo-Johnson lambda on a fixed grid:
     ll(l) = -n/2 log(var_pop(yj(x, l))) + (l - 1) sum(sign(x) log(1 + |x|)).
 
-    One pass for all columns and lambdas: values are unpivoted to (column,
-    value), crossed with the grid inside the map stage and reduced per
-    (column, lambda) with partial aggregation (columns x grid groups).
-    ``shift_min`` first shifts each column by its minimum (x - min)."""
-    import math
-    src = df
+    One pass for all columns and lambdas: each task transforms its columns in
+    Arrow batches and emits one row of moments for each (column, lambda), so
+    cells are not multiplied by the grid. ``shift_min`` first shifts each
+    column by its minimum (x - min)."""
+    cols, grid = list(cols), [float(v) for v in grid]
+    x = df.select(*[F.col(c).cast("double").alias(f"c{j}") for j, c in enumerate(cols)])
     if shift_min:
-        mins = df.agg(*[F.min(F.col(c).cast("double")).alias(c) for c in cols]).first()
-        src = df.select(*[(F.col(c).cast("double") - F.lit(mins[c] or 0.0)).alias(c) for c in cols])
-    long = long_numeric(src, cols)
-    g = long.select("column", "value", F.explode(F.array(*[F.lit(float(v)) for v in grid])).alias("lam"))
-    r = g.groupBy("column", "lam").agg(
-        F.count("value").alias("n"), F.var_pop(X.yeo_johnson(F.col("value"), F.col("lam"))).alias("v"),
-        F.sum(_yj_sign_log(F.col("value"))).alias("s")).collect()  # columns x grid rows
-    got = {(x["column"], round(x["lam"], 10)): x for x in r}
+        mins = x.agg(*[F.min(c).alias(c) for c in x.columns]).first()
+        x = x.select(*[(F.col(c) - F.lit(mins[c] or 0.0)).alias(c) for c in x.columns])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, logs = np.zeros(len(cols), dtype=np.int64), np.zeros(len(cols))
+        mean, m2 = np.zeros((len(cols), len(grid))), np.zeros((len(cols), len(grid)))
+        for batch in batches:
+            for j in range(len(cols)):
+                v = batch.column(j).drop_null().to_numpy(zero_copy_only=False)
+                if not len(v):
+                    continue
+                log, up = np.log1p(np.abs(v)), v >= 0
+                logs[j] += (np.sign(v) * log).sum()
+                for k, lam in enumerate(grid):
+                    p = np.where(up, lam, 2.0 - lam)
+                    y = np.where(p == 0, log, np.expm1(p * log) / np.where(p == 0, 1.0, p)) * np.where(up, 1.0, -1.0)
+                    own, total = y.mean(), n[j] + len(v)
+                    m2[j, k] += ((y - own) ** 2).sum() + (own - mean[j, k]) ** 2 * n[j] * len(v) / total
+                    mean[j, k] += (own - mean[j, k]) * len(v) / total
+                n[j] += len(v)
+        j, k = (i.ravel() for i in np.indices(mean.shape))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i) for i in (j.astype(np.int32), k.astype(np.int32), n[j], logs[j], mean[j, k], m2[j, k])],
+            names=["j", "k", "n", "s", "mean", "m2"])
+
+    parts = x.mapInArrow(moments, "j int, k int, n long, s double, mean double, m2 double").where("n > 0")
+    rows = parts.groupBy("j", "k").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("m2").alias("m2"),
+        F.sum(F.col("n") * F.col("mean")).alias("t"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q")).collect()
+    got = {(r["j"], r["k"]): r for r in rows}  # columns x grid
     out = {}
-    for c in cols:
+    for j, c in enumerate(cols):
         prof = []
-        for lam in grid:
-            x = got.get((c, round(float(lam), 10)))
-            v = x["v"] if x else None
-            if not x or not x["n"] or v is None or v <= 0 or math.isnan(v) or math.isinf(v):
-                prof.append((lam, float("-inf")))
-            else:
-                prof.append((lam, -0.5 * x["n"] * math.log(v) + (lam - 1.0) * x["s"]))
+        for k, lam in enumerate(grid):
+            r = got.get((j, k))
+            v = (r["m2"] + max(0.0, r["q"] - r["t"] * r["t"] / r["n"])) / r["n"] if r else 0.0
+            good = v > 0 and math.isfinite(v)
+            prof.append((lam, -0.5 * r["n"] * math.log(v) + (lam - 1.0) * r["s"] if good else float("-inf")))
         out[c] = prof
     return out
 
 
 def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], grid: Sequence[float] = YJ_GRID,
-                    shift_min: bool = False) -> dict[str, float]:
+                    shift_min: bool = False, step: float | None = None) -> dict[str, float]:
     """T3 fit: lambda maximising the profile likelihood on the grid (first
-    maximum on ties)."""
-    prof = yeo_johnson_profile(df, cols, grid, shift_min)
-    best = {}
-    for c, p in prof.items():
-        lam, ll = p[0]
-        for lam_j, ll_j in p[1:]:
-            if ll_j > ll:
-                lam, ll = lam_j, ll_j
-        best[c] = lam
-    return best
+    maximum on ties). With ``step`` a second pass searches the neighbourhood of
+    each maximum (0.1 to either side) in steps of that size."""
+
+    def best(profile: list[tuple[float, float]]) -> float:
+        return max(profile, key=lambda t: (t[1], -t[0]))[0]
+
+    found = {c: best(p) for c, p in yeo_johnson_profile(df, cols, grid, shift_min).items()}
+    if step:
+        around = round(0.1 / step)
+        for c in cols:
+            fine = [found[c] + i * step for i in range(-around, around + 1)]
+            found[c] = best(yeo_johnson_profile(df, [c], fine, shift_min)[c])
+    return found
 
 
 def add_yeo_johnson(df: DataFrame, cols: Sequence[str], lambdas: dict[str, float] | None = None,
