@@ -17,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pieces import MOST_WORDS, Vocabulary, remembered
 
+#: Parts longer than this are measured one by one.
+LONG = 64
+
 PATHS = "array<struct<score:double,n_pieces:bigint,ids_sha256:string,ids:array<int>,decoded:boolean>>"
 _PATHS = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()),
                              ("ids", pa.list_(pa.int32())), ("decoded", pa.bool_())]))
@@ -35,6 +40,7 @@ class Segmenter:
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.vocabulary, self.n = vocabulary, n
+        self.lengths, self.scores = np.array(vocabulary.lengths), np.array(vocabulary.scores)
         self._forget()
 
     def _forget(self) -> None:
@@ -81,13 +87,103 @@ class Segmenter:
                 second = best[start] + gain
         return best[n], best[n] - second, self._ids(part, cuts)
 
-    def _word(self, word: str) -> int:
-        done = [self._measure(p) for p in self.vocabulary.cut(word)]
-        self.score.append(sum(s for s, _, _ in done))
-        self.loss.append(min(x for _, x, _ in done))
-        self.ids.append(b"".join(k for _, _, k in done))
-        self.at[word] = len(self.score) - 1
-        return self.at[word]
+    def _learn(self, words: list[str]) -> None:
+        """Measure new words, the parts of all of them together."""
+        parts = [self.vocabulary.cut(w) for w in words]
+        flat = [p for own in parts for p in own]
+        short = [p for p in flat if len(p) <= LONG]
+        known = dict(zip(short, self._measure_all(short)))
+        known.update((p, self._measure(p)) for p in flat if len(p) > LONG)
+        for word, own in zip(words, parts):
+            score, loss, ids = known[own[0]]
+            for p in own[1:]:
+                s, x, k = known[p]
+                score, loss, ids = score + s, min(loss, x), ids + k
+            self.at[word] = len(self.score)
+            self.score.append(score)
+            self.loss.append(loss)
+            self.ids.append(ids)
+
+    def _measure_all(self, parts: list[str]) -> list[tuple[float, float, bytes]]:
+        """``_measure`` of many parts: their lattices lie side by side, and
+        all edges with the same distance from the start of their part are
+        relaxed at once (from the end for the backward pass)."""
+        v = self.vocabulary
+        if not parts:
+            return []
+        joined = "\0".join(parts)  # no piece crosses the separator
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        first = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
+        found = np.fromiter(chain.from_iterable(v.matches.iter(joined)), dtype=np.int64).reshape(-1, 2)
+        end = found[:, 0] + 1  # ascending, for one end the longest first
+        start, score = end - self.lengths[found[:, 1]], self.scores[found[:, 1]]
+        odd = set(joined) - v.chars
+        at = np.array([k for k, c in enumerate(joined) if c in odd], dtype=np.int64) if odd else np.zeros(0, np.int64)
+        separators = (first[1:] - 1) if len(parts) > 1 else np.zeros(0, np.int64)
+        at = at[~np.isin(at, separators)]
+        if len(at):
+            start, end = np.concatenate([start, at]), np.concatenate([end, at + 1])
+            score = np.concatenate([score, np.full(len(at), v.unknown)])
+            order = np.lexsort((start, end))
+            start, end, score = start[order], end[order], score[order]
+        # by distance of the end from the part's start; ends and lengths keep their order
+        part = np.searchsorted(first, start, side="right") - 1
+        order = np.argsort((end - first[part]).astype(np.int16), kind="stable")
+        start, end, score, part = start[order], end[order], score[order], part[order]
+        steps = np.searchsorted(end - first[part], np.arange(int(size.max()) + 2))
+        n = len(joined) + 2
+        best, back = np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
+        best[first] = 0.0
+        for k in range(1, int(size.max()) + 1):
+            z = slice(steps[k], steps[k + 1])
+            if z.start == z.stop:
+                continue
+            own = end[z]
+            head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            through = best[start[z]] + score[z]
+            top = np.maximum.reduceat(through, head)
+            spread = np.repeat(top, np.diff(np.append(head, len(own))))
+            best[own[head]] = top
+            hit = np.flatnonzero(through == spread)
+            back[own[hit[::-1]]] = start[z][hit[::-1]]  # the first of equals is written last
+        last = first + size
+        on = np.zeros(n, dtype=bool)  # ends of the pieces on the best paths
+        inner = np.ones(n, dtype=bool)
+        inner[first] = False
+        walk = last
+        while len(walk):
+            on[walk] = True
+            walk = back[walk]
+            walk = walk[inner[walk]]
+        # backward: what a path can still gain from a position; edges by the distance of the start from the part's end
+        rest = np.full(n, -np.inf)
+        rest[last] = 0.0
+        order = np.argsort(start, kind="stable")
+        order = order[np.argsort((last[part] - start)[order].astype(np.int16), kind="stable")]
+        s2, e2, w2, distance = start[order], end[order], score[order], (last[part] - start)[order]
+        steps = np.searchsorted(distance, np.arange(int(size.max()) + 2))
+        for k in range(1, int(size.max()) + 1):
+            z = slice(steps[k], steps[k + 1])
+            if z.start < z.stop:
+                own = s2[z]
+                head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                rest[own[head]] = np.maximum.reduceat(rest[e2[z]] + w2[z], head)
+        off = ~(on[end] & (back[end] == start))
+        second = np.full(len(parts), -np.inf)
+        np.maximum.at(second, part[off], (best[start] + score + rest[end])[off])
+        cuts = np.flatnonzero(on)
+        begin = back[cuts]
+        owner = np.searchsorted(first, begin, side="right") - 1
+        pieces = [joined[a:b] for a, b in zip(begin.tolist(), cuts.tolist())]
+        ids = [v.id.get(p, -1) for p in pieces]
+        bounds = np.searchsorted(owner, np.arange(len(parts) + 1)).tolist()
+        out = []
+        for j, (x, y) in enumerate(zip(best[last].tolist(), second.tolist())):
+            own = ids[bounds[j]:bounds[j + 1]]
+            if -1 in own:
+                own = [k for i, p in zip(own, pieces[bounds[j]:bounds[j + 1]]) for k in ([i] if i >= 0 else v.char_ids(p))]
+            out.append((x, x - y, array("i", own).tobytes()))
+        return out
 
     def _search(self, part: str) -> list[tuple[float, bytes]]:
         """The ``n`` best paths of a part by backward A*."""
@@ -125,11 +221,35 @@ class Segmenter:
         first; one empty path for null and empty texts."""
         if len(self.at) > MOST_WORDS:
             self._forget()
-        words = self.vocabulary.words.findall(self.vocabulary.normal(text))
+        return self.words(self.vocabulary.words.findall(self.vocabulary.normal(text)))
+
+    def prepare(self, texts: list[list[str]]) -> None:
+        """Learn the new words of several texts at once."""
+        new = list({w: None for words in texts for w in words if w not in self.at})
+        if new:
+            self._learn(new)
+
+    def batches(self, texts: pa.Array, chars: int = 400_000) -> Iterator[tuple[str, list]]:
+        """Each text (null as empty) with its paths; new words are learned for
+        texts of about ``chars`` characters at a time."""
+        part, size = [], 0
+        for k, t in enumerate(texts):
+            part.append(t.as_py() or "")
+            size += len(part[-1]) + 1
+            if size >= chars or k + 1 == len(texts):
+                if len(self.at) > MOST_WORDS:
+                    self._forget()
+                split = [self.vocabulary.words.findall(self.vocabulary.normal(x)) for x in part]
+                self.prepare(split)
+                yield from zip(part, map(self.words, split))
+                part, size = [], 0
+
+    def words(self, words: list[str]) -> list[tuple[float, bytes]]:
         if not words:
             return [(0.0, b"")]
+        self.prepare([words])
         at = self.at
-        rows = [k if (k := at.get(w)) is not None else self._word(w) for w in words]
+        rows = [at[w] for w in words]
         score, ids = self.score, self.ids
         parts = [ids[k] for k in rows]
         total = sum(score[k] for k in rows)
@@ -178,10 +298,9 @@ def encoded(spark: SparkSession, text: Column, model: bytes, n: int = 4, with_id
         own = remembered(Segmenter, shared.value, n)
         decode = own.vocabulary.sp.decode
         out = []
-        for t in texts:
-            t = t.as_py() or ""
+        for t, found in own.batches(texts):
             rows = []
-            for score, raw in own.text(t):
+            for score, raw in found:
                 ids = np.frombuffer(raw, dtype=np.int32)
                 rows.append({"score": score, "n_pieces": len(ids), "ids_sha256": hashlib.sha256(raw).hexdigest(),
                              "ids": ids if with_ids else None,

@@ -46,8 +46,9 @@ class Vocabulary:
         self.pairs = {pair for p in self.score for pair in zip(p, p[1:])}
         self.chars = {p for p in self.score if len(p) == 1}
         self.matches = ahocorasick.Automaton()
-        for p, s in self.score.items():
-            self.matches.add_word(p, (len(p), s))
+        self.lengths, self.scores = [len(p) for p in self.score], list(self.score.values())
+        for k, p in enumerate(self.score):
+            self.matches.add_word(p, k)
         self.matches.make_automaton()
         # words start at a run of spaces, unless some piece goes on over one
         joined = any(p.lstrip(SPACE).find(SPACE) >= 0 for p in self.score)
@@ -70,7 +71,8 @@ class Vocabulary:
         """Edges (end, start, score) by end, for one end the longest first: of
         equally good paths the tokenizer keeps the one whose last piece starts
         first, which it meets first."""
-        out = [(last + 1, last + 1 - n, s) for last, (n, s) in self.matches.iter(part)]
+        lengths, scores = self.lengths, self.scores
+        out = [(last + 1, last + 1 - lengths[k], scores[k]) for last, k in self.matches.iter(part)]
         if not self.chars.issuperset(part):
             out += [(k + 1, k, self.unknown) for k, c in enumerate(part) if c not in self.chars]
             out.sort(key=lambda e: e[:2])
