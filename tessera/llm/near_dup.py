@@ -97,13 +97,13 @@ def _links(sets: list[np.ndarray], allowed: np.ndarray, percent: int) -> np.ndar
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     both = np.zeros((m, m), dtype=np.float32)  # counts below 2**24 are exact
-    for first in range(0, int(column.max(initial=-1)) + 1, 2048):
-        a, b = np.searchsorted(column, [first, first + 2048])
-        part = np.zeros((m, 2048), dtype=np.float32)
+    for first in range(0, int(column.max(initial=-1)) + 1, 1024):
+        a, b = np.searchsorted(column, [first, first + 1024])
+        part = np.zeros((m, 1024), dtype=np.float32)
         part[owner[a:b], column[a:b] - first] = 1
         both += part @ part.T
     both = both.astype(np.int64)
-    out = (allowed | allowed.T) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    out = (allowed | allowed.T) & ((100 + percent) * both >= percent * (n[:, None] + n[None, :]))
     np.fill_diagonal(out, False)
     return out
 
@@ -145,7 +145,7 @@ def _confirmed(units: DataFrame, texts: DataFrame, percent: int, size: int) -> D
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
                     size: int = shingles.SIZE, coordinates: int = 24, agree: int = 10,
-                    block: int = 2048) -> DataFrame:
+                    block: int = 1024) -> DataFrame:
     """``(id_col, n_shingles, component_id, kept)`` for every row of ``docs``.
 
     Documents whose shingle sets have at least ``percent`` in common (100 *
@@ -163,7 +163,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = stage(docs.select("id", sketched(F.col("text"), coordinates, size).alias("s")).select("id", "s.*"),
                      "sketches")
     sets = sketches.where("n > 0 and id is not null")
-    classes = sets.groupBy("key").agg(F.min("id").alias("rid"))
+    # written, so that the join below is one of two plain tables and Spark can
+    # split the rows of a class that holds a large share of the documents
+    classes = stage(sets.groupBy("key").agg(F.min("id").alias("rid")), "classes")
     member = sketches.join(classes, "key", "left")  # rows without words match nothing
     member = stage(member.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"),
                                  F.when(F.col("id").isNotNull(), F.coalesce("rid", "id")).alias("rid"),
