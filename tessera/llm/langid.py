@@ -117,7 +117,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 class _Words:
     """Scores of the words seen so far by this worker, up to a bound."""
     model: Model
-    most: int = 300_000
+    most: int = 150_000
     at: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray = None
     letters: np.ndarray = None
@@ -251,19 +251,20 @@ def _label(texts: list[str | None], words: _Words) -> list[tuple[str, float, lis
 _WORKER: dict[str, _Words] = {}
 
 
-def _batches(texts: list[str | None], chars: int):
-    """Consecutive slices of about so many characters."""
-    begin = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "") + 1
+def _batches(texts: pa.Array, chars: int):
+    """Consecutive texts of about so many characters; only these are unpacked."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t.as_py())
+        size += len(part[-1] or "") + 1
         if size >= chars:
-            yield texts[begin:k + 1]
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield texts[begin:]
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
-def predictor(spark, model: Model, batch_chars: int = 2_000_000):
+def predictor(spark, model: Model, batch_chars: int = 1_000_000):
     """Column function text -> RESULT. Null text and text without letters are
     ``und`` with score 0 and no spans; a text whose letters belong to scripts
     of no learned language gets the first language and score 0; without any
@@ -278,7 +279,7 @@ def predictor(spark, model: Model, batch_chars: int = 2_000_000):
         if own is None:
             _WORKER.clear()
             own = _WORKER[shared.value.key] = _Words(shared.value)
-        rows = [r for part in _batches(text.to_pylist(), chars) for r in _label(part, own)]
+        rows = [r for part in _batches(text, chars) for r in _label(part, own)]
         return pa.array([{"lang": a, "score": b, "spans": [{"start": s, "end": e, "lang": x} for s, e, x in c]}
                          for a, b, c in rows],
                         type=pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct(
