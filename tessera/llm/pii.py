@@ -114,16 +114,22 @@ DIGITS = [
     "null eins zwei drei vier fünf sechs sieben acht neun",
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 ]
-DIGIT_WORDS = frozenset(" ".join(DIGITS).split())
 SPELLED = {w: str(k) for line in DIGITS for k, w in enumerate(line.split())}
 PLUS = "plus|más|mas"
 DOT = "dot|punkt|punto|point"
 _DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
+_BETWEEN = "[ ,-]{1,2}"
 #: At least four digits and points in a row.
 RUN = re.compile(rf"(?<!\w)(?:(?:{PLUS}|\+)[ ,-]?)?(?<!\w)(?:{_DIGIT}|[0-9]+)"
-                 rf"(?:[ ,-]{{1,2}}(?:{_DIGIT}|{DOT}|[0-9]+)){{3,}}(?!\w)", re.IGNORECASE)
+                 rf"(?:{_BETWEEN}(?:{_DIGIT}|{DOT}|[0-9]+)){{3,}}(?!\w)", re.IGNORECASE)
 ITEM = re.compile(rf"(?P<plus>{PLUS}|\+)|(?P<dot>{DOT})|(?P<word>{_DIGIT})|(?P<digit>[0-9])", re.IGNORECASE)
-ANY_SPELLED = re.compile(rf"(?<!\w)(?:{_DIGIT})[ ,-]{{1,2}}(?:{_DIGIT}|{DOT})(?!\w)", re.IGNORECASE)
+#: Letters that match s and i when case is ignored, but don't become them in lower case.
+CASELESS = str.maketrans("ſıİ", "sii")
+#: Digit and dot words by their first letter, which a search tries faster.
+_WORD = "|".join(f"{c}(?:{'|'.join(w[1:] for w in (*SPELLED, *DOT.split('|')) if w[0] == c)})"
+                 for c in sorted({w[0] for w in (*SPELLED, *DOT.split("|"))}))
+#: Two neighbours of a run, one of them in words: every run that is rewritten holds such a pair.
+ANY_SPELLED = re.compile(rf"\b(?:{_WORD}){_BETWEEN}(?:{_WORD}|[0-9])|[0-9]{_BETWEEN}(?:{_WORD})", re.IGNORECASE)
 
 _LABEL = "[A-Za-z0-9-]+"
 _OPEN, _CLOSE = r"[ \t]{0,2}[\[({<][ \t]{0,2}", r"[ \t]{0,2}[\])}>][ \t]{0,2}"
@@ -175,7 +181,7 @@ def _spelled(text: str) -> list:
             continue
         new, at = [], run.start()
         for m in ITEM.finditer(text, *run.span()):
-            c = "+" if m["plus"] else "." if m["dot"] else SPELLED.get(m[0].lower(), m[0])
+            c = "+" if m["plus"] else "." if m["dot"] else SPELLED.get(m[0].translate(CASELESS).lower(), m[0])
             new.append((c, m.start(), m.end()))
             at = m.end()
         edits.append((run.start(), at, new))
@@ -211,8 +217,7 @@ def _rewritten(text: str) -> _Source | None:
     odd = not text.isascii() and not ODD.isdisjoint(text)
     if not odd:
         words = text.lower().replace(",", " ").replace("-", " ").split()
-        if DOT_WORDS.isdisjoint(words) and not BRACKETED.search(text) and (
-                DIGIT_WORDS.isdisjoint(words) or not ANY_SPELLED.search(text)):
+        if DOT_WORDS.isdisjoint(words) and not BRACKETED.search(text) and not ANY_SPELLED.search(text):
             return None
     plain = text.translate(FOLDS) if odd else text
     out = _Source(plain)

@@ -61,6 +61,33 @@ def test_disguises_map_back_to_the_source(kind, hidden):
     assert pii.redact(text) == f"Vorher é😀 [{kind.upper()}] , nachher"
 
 
+MIXED = [
+    ("card", "4111 1111 1111 111 one"), ("phone", "+1 five 5 five 0 one 2 three 4 five"), ("card", "four 111 1111 1111 1111"),
+    ("card", "4111-1111-1111-111-one"), ("phone", "+five 5 5 0 1 2 3 4 5 6"), ("phone", "+ſix 1 2 3 4 5 6 7 8 9"),
+    ("ip", "192 dot 168 dot 1 dot one"),
+]
+
+
+@pytest.mark.parametrize("kind,hidden", MIXED)
+@pytest.mark.parametrize("around", [" {} , after", "({}).", "«{}»", " {} , far away — a dash", " {} , far away the point"])
+def test_mixed_runs_are_found_whatever_else_the_text_holds(kind, hidden, around):
+    text = "before" + around.format(hidden)
+    assert [(k, text[a:b], own) for k, a, b, own in pii.find(text)] == [(kind, hidden, False)]
+
+
+def test_gate_lets_every_rewritten_run_through():
+    rng = random.Random(9)
+    parts = ["one", "Five", "fünf", "uno", "4", "11", "dot", "plus", "+", "x", "(", ")", ".", "ſix", "a@b.cd"]
+    changed = 0
+    for _ in range(6000):
+        t = "".join(rng.choice(parts) + rng.choice([" ", " ", "-", ", ", ""]) for _ in range(rng.randint(1, 12)))
+        if pii._spelled(t):
+            changed += 1
+            new = pii._rewritten(t)
+            assert new is not None and len(new.text) == len(new.lo) == len(new.hi), t
+    assert changed > 300
+
+
 @pytest.mark.parametrize("clean", [
     "He looked at the dot on the map, at one point. We met at example.com", "one two three", "Это просто текст о жизни",
     "un deux trois quatre cinq six sept huit neuf", "(at) the [dot]", "m² and ½ of 3.5.2", "", "in 1999 and 2001-2003"])
