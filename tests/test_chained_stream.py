@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import MODULUS, MULT_HI, MULT_LO, HIGH_FOLD
@@ -150,3 +151,58 @@ def test_norm_imputation_leaves_observed_cells(spark):
     got = {r["ID"]: r["a"] for r in filled.collect()}
     assert all(abs(got[i] - 2.0 * i) < 1e-6 for i in got)  # an exact line has no residual
     assert trace.count() == 2
+
+
+def test_early_stop_by_doubling_finds_the_round_of_the_full_curve():
+    import random
+
+    from tessera.operators import models
+    rng = random.Random(3)
+    for _ in range(300):
+        limit, patience = rng.choice([5, 30, 100, 700]), rng.choice([1, 10, 30])
+        low = rng.randint(1, limit)
+        curve = [abs(i - low) + 4 * rng.random() for i in range(limit)]
+        fits = []
+        losses, n = models.early_losses(lambda n: (fits.append(n) or curve[:n], n), limit, patience)
+        assert models.stopping_round(losses, patience) == models.stopping_round(curve, patience)
+        assert n == len(losses) == fits[-1] and sum(fits) <= 4 * max(models.FIRST_ROUNDS, low + patience + 8)
+
+
+def test_learner_queries_run_the_reference_counts(spark, monkeypatch):
+    from tessera.operators import models
+    from tessera.plans import q_models
+    calls = {}
+
+    class Done(Exception):
+        pass
+
+    def record(name):
+        def run(*a, **k):
+            calls[name] = (a, k)
+            raise Done
+        return run
+
+    for f in ("cross_validate", "best_rounds", "bagged_submission", "ablations", "random_search", "shadow_selection"):
+        monkeypatch.setattr(models, f, record(f))
+    monkeypatch.setattr(q_models, "_table", lambda *a: None)
+    monkeypatch.setattr(q_models, "_median_table", lambda *a: spark.range(1))
+    monkeypatch.setattr(q_models.features, "imputed", lambda *a: None)
+
+    def args(query, f):
+        with pytest.raises(Done):
+            query(spark, "")
+        return calls[f]
+
+    for query, variant in ((q_models.m4_gbt_cv_scores, "simple"), (q_models.m11_importance_average, "tuned_a"),
+                           (q_models.m9_ablations, "simple")):
+        a, k = args(query, "ablations" if query is q_models.m9_ablations else "cross_validate")
+        est = a[1]()
+        assert est.getMaxIter() == 2000 and k["patience"] == 30
+        assert (est.getMaxDepth(), est.getStepSize()) == models.BOOSTER_VARIANTS[variant][:2]
+    forest = args(q_models.m8_forest_cv_scores, "cross_validate")[0][1]()
+    assert forest.getNumTrees() == 850 and forest.getMaxDepth() == 30
+    a, k = args(q_models.m5_best_rounds, "best_rounds")
+    assert a[2] == 1000 and k["patience"] == 10
+    assert "max_iter" not in args(q_models.m6_bagged_submission, "bagged_submission")[1]  # the default, 1000
+    assert "rounds" not in args(q_models.m7_random_search, "random_search")[1]  # the default, 120 to 300
+    assert args(q_models.m1_shadow_selection, "shadow_selection")[1] == {}  # the defaults, 101 runs
