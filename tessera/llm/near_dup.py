@@ -143,6 +143,24 @@ def _confirmed(units: DataFrame, texts: DataFrame, percent: int, size: int) -> D
     return rows.groupBy("g").applyInPandas(confirm, f"u {kind}, v {kind}")
 
 
+def _postings(reps: DataFrame, coordinates: int, agree: int) -> DataFrame:
+    """The rarest pairs of each signature in ``reps (rid, n, sig)``, without
+    pairs that nobody shares: (pair, c, rid, h, weight, mask). An id with
+    several texts has several signatures, told apart by ``h``; bit c of
+    ``mask`` is set if coordinate c of that signature is posted."""
+    pairs = reps.select("rid", "sig").distinct() \
+        .select("rid", F.xxhash64("sig").alias("h"), F.posexplode("sig").alias("c", "v")) \
+        .select("rid", "h", "c", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(
+            F.col("v").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("pair"))
+    often = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = Window.partitionBy("rid", "h")
+    posted = pairs.join(often, "pair").withColumn("nth", F.row_number().over(own.orderBy("f", "pair"))) \
+        .withColumn("common", F.count(F.lit(1)).over(own)).withColumn("weight", F.sum("f").over(own)) \
+        .where(F.col("nth") <= (coordinates - agree + 1) - (coordinates - F.col("common"))) \
+        .withColumn("mask", F.bit_or(F.expr("shiftleft(1L, c)")).over(own))
+    return posted.select("pair", "c", "rid", "h", "weight", "mask")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85,
                     size: int = shingles.SIZE, coordinates: int = 24, agree: int = 10,
                     block: int = 1024) -> DataFrame:
@@ -172,17 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                  F.when(F.col("id") == F.col("rid"), F.col("sig")).alias("sig")), "members")
     reps = member.where("sig is not null").select("rid", "n", "sig").distinct()
 
-    # postings: the rarest pairs of each representative, without pairs that nobody shares
-    pairs = member.where("sig is not null").select("rid", F.posexplode("sig").alias("c", "v")) \
-        .select("rid", "c", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(
-            F.col("v").cast("long").bitwiseAND(F.lit((1 << 32) - 1))).alias("pair"))
-    often = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    own = Window.partitionBy("rid")
-    posted = pairs.join(often, "pair").withColumn("nth", F.row_number().over(own.orderBy("f", "pair"))) \
-        .withColumn("common", F.count(F.lit(1)).over(own)).withColumn("weight", F.sum("f").over(own)) \
-        .where(F.col("nth") <= (coordinates - agree + 1) - (coordinates - F.col("common"))) \
-        .withColumn("mask", F.sum(F.expr("shiftleft(1L, c)")).over(own))
-    posted = stage(posted.select("pair", "c", "rid", "weight", "mask"), "postings")
+    posted = stage(_postings(reps, coordinates, agree), "postings")
 
     # the best hub of each member
     hubs = posted.groupBy("pair").agg(F.min(F.struct((-F.col("weight")).alias("w"), "rid")).alias("hub"),
@@ -212,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("comp", F.coalesce("component", "rid"))
     mixed = comp.groupBy("pair").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("a"),
                                      F.max("comp").alias("b")).where("a <> b").select("pair", "size")
-    mixed = comp.join(mixed, "pair").join(reps, "rid") \
+    mixed = comp.join(mixed, "pair").join(reps.withColumn("h", F.xxhash64("sig")), ["rid", "h"]) \
         .withColumn("blocks", F.ceil(F.col("size") / block)) \
         .withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \

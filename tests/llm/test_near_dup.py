@@ -115,3 +115,27 @@ def test_components(spark):
     want = {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 150, 150: 150, 160: 150}
     assert got == want
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_masks_name_the_posted_coordinates(spark):
+    rng = random.Random(2)
+    sigs = [[rng.randrange(3) if c % 3 else rng.randrange(9) for c in range(24)] for _ in range(30)]
+    once = [(i % 25, 9, s) for i, s in enumerate(sigs)]  # ids 0 to 4 have two signatures
+    kind = "rid long, n long, sig array<int>"
+    want = sorted(map(tuple, near_dup._postings(spark.createDataFrame(once, kind), 24, 10).collect()))
+    assert sorted(map(tuple, near_dup._postings(spark.createDataFrame(once * 3, kind), 24, 10).collect())) == want
+    masks, bits = {}, {}
+    for _, c, rid, h, _, mask in want:
+        masks.setdefault((rid, h), set()).add(mask)
+        bits[rid, h] = bits.get((rid, h), 0) | 1 << c
+    assert len(masks) == 30 and masks == {k: {v} for k, v in bits.items()}
+
+
+def test_repeated_rows_and_ids_match_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, k=8) + passage + rng.choices(vocabulary, k=8)) for _ in range(30)]
+    texts += [mutated(rng, t.split(), 1) for t in texts]
+    rows = [(i % 50, t) for i, t in enumerate(texts)] * 2
+    assert run(spark, rows) == brute(rows) and run(spark, rows, block=16) == brute(rows)
