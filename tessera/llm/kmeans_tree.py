@@ -102,15 +102,20 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
+#: More than two ways to compute one cosine of unit vectors differ.
+MARGIN = 1e-9
+
+
 def _nearest(q: np.ndarray, x: np.ndarray, least_id: np.ndarray, k: int):
     """For each query (index, row of x, cosine) of the ``k`` nearest rows,
-    ties to the smaller id. Candidates are cut by a fast product with some to
-    spare, their cosines are computed in one fixed order."""
+    ties to the smaller id. Candidates are cut by a fast product, but for its
+    rounding; their cosines are computed in one fixed order."""
     fast = _unit(q) @ _unit(x).T
-    m = min(len(x), 2 * k)
-    near = np.argpartition(-fast, m - 1, axis=1)[:, :m]
+    m = max(0, len(x) - k)
+    cut = np.partition(fast, m, axis=1)[:, m] - MARGIN
     norm = np.sqrt((x * x).sum(axis=1))
-    for i, rows in enumerate(near):
+    for i in range(len(q)):
+        rows = np.flatnonzero(fast[i] >= cut[i])
         score = (x[rows] * q[i]).sum(axis=1) / (norm[rows] * np.sqrt((q[i] * q[i]).sum()))
         for j in np.lexsort((least_id[rows], -score))[:k]:
             yield i, int(rows[j]), float(score[j])

@@ -82,3 +82,19 @@ def test_best_bin_first_visits_every_leaf_once():
     for q in x[:20]:
         assert sorted(tree.visits(q)) == list(range(tree.leaves))
     assert kmeans_tree.Tree(x[:1].repeat(50, axis=0)).leaves == 1
+
+
+def test_ties_at_the_cut_go_to_the_smallest_ids():
+    rng = np.random.default_rng(6)
+    ids = rng.permutation(200)
+    q = rng.normal(size=(3, 8))
+    x = rng.normal(size=8)[None, :] * 2.0 ** rng.integers(-8, 9, size=200)[:, None]
+    hot = np.tile(np.eye(8), (25, 1))  # of 8 axes, 25 rows each tie
+    for rows, asked in ((x, q), (hot, np.eye(8)[:3])):
+        got = {}
+        for i, j, _ in kmeans_tree._nearest(asked, rows, ids, 6):
+            got.setdefault(i, []).append(int(ids[j]))
+        for i in range(3):
+            tied = [a for a, r in zip(ids, rows) if rows is x or r[i] == 1]
+            assert got[i] == sorted(map(int, tied))[:6]
+    assert len(list(kmeans_tree._nearest(q, x[:2], ids, 6))) == 6
