@@ -118,7 +118,7 @@ SPELLED = {w: str(k) for line in DIGITS for k, w in enumerate(line.split())}
 PLUS = "plus|más|mas"
 DOT = "dot|punkt|punto|point"
 _DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
-_BETWEEN = "[ ,-]{1,2}"
+_BETWEEN = "[ ,-]{1,3}"
 #: At least four digits and points in a row.
 RUN = re.compile(rf"(?<!\w)(?:(?:{PLUS}|\+)[ ,-]?)?(?<!\w)(?:{_DIGIT}|[0-9]+)"
                  rf"(?:{_BETWEEN}(?:{_DIGIT}|{DOT}|[0-9]+)){{3,}}(?!\w)", re.IGNORECASE)
@@ -139,7 +139,9 @@ AT = re.compile(rf"(?P<sure>{_OPEN}(?:at|arroba|@){_CLOSE}|@)|(?P<word>[ \t]{{1,
                 re.IGNORECASE)
 AFTER = re.compile(rf"{_LABEL}(?:{ANY_DOT}{_LABEL})+", re.IGNORECASE)
 DOTS = re.compile(ANY_DOT, re.IGNORECASE)
-BEFORE = re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?:{ANY_DOT}[A-Za-z0-9._%+-]{{1,64}}){{0,3}}\Z", re.IGNORECASE)
+HIDDEN_DOT = re.compile(rf"(?:{BRACKETED_DOT}|[ \t]{{1,2}}(?:{DOT})[ \t]{{1,2}})\Z", re.IGNORECASE)
+#: No disguised point is longer.
+LONGEST_DOT = 2 * 5 + max(map(len, DOT.split("|")))
 #: Without one of these no at/dot disguise is complete.
 BRACKETED = re.compile(rf"[\[({{<][ \t]{{0,2}}(?:at|arroba|@|{DOT}|\.)[ \t]{{0,2}}[\])}}>]", re.IGNORECASE)
 DOT_WORDS = frozenset(DOT.split("|"))
@@ -188,6 +190,23 @@ def _spelled(text: str) -> list:
     return edits
 
 
+def _local_start(text: str, low: int, end: int) -> int:
+    """Where the labels and points, disguised or not, begin that end at
+    ``end``, not before ``low``; ``end`` if there are none."""
+    start, at = end, end
+    while True:
+        label = at
+        while label > low and text[label - 1] in LOCAL:
+            label -= 1
+        if label == at:
+            return start
+        start = label
+        dot = HIDDEN_DOT.search(text, max(low, start - LONGEST_DOT), start)
+        if not dot:
+            return start
+        at = dot.start()
+
+
 def _disguised(text: str) -> list:
     """``@`` and ``.`` for disguised ones between what can be the two sides of
     an address. A bare word ``at`` counts only where a point of the domain is
@@ -198,14 +217,14 @@ def _disguised(text: str) -> list:
         if at.start() < done:
             continue
         after = AFTER.match(text, at.end())
-        before = BEFORE.search(text, max(done, at.start() - 96), at.start())
-        if not after or not before:
+        start = _local_start(text, done, at.start()) if after else at.start()
+        if start == at.start():
             continue
         dots = list(DOTS.finditer(text, *after.span()))
         if at["word"] and (all(d[0] == "." for d in dots)
                            or after[0][dots[-1].end() - after.start():].lower() not in TOP_LEVEL):
             continue
-        left = [d for d in DOTS.finditer(text, before.start(), at.start()) if d[0] != "."]
+        left = [d for d in DOTS.finditer(text, start, at.start()) if d[0] != "."]
         parts = [*((d, ".") for d in left), (at, "@"), *((d, ".") for d in dots if d[0] != ".")]
         edits += [(m.start(), m.end(), [(c, m.start(), m.end())]) for m, c in parts if m[0] != c]
         done = after.end()

@@ -88,6 +88,26 @@ def test_gate_lets_every_rewritten_run_through():
     assert changed > 300
 
 
+LONG = [
+    ("email", "a [dot] b [dot] c [dot] d [dot] e [at] example [dot] com"),
+    ("email", " [dot] ".join(["name"] * 40) + " [at] example [dot] com"),
+    ("email", "a dot b dot c dot d dot e dot f at example dot com"), ("email", "x" * 200 + " [dot] y [at] example [dot] com"),
+    ("phone", "plus one - five - five - five - one - two - three - four - five"),
+    ("card", "four - 111 , 1111 - 1111 - 111 - one"),
+]
+
+
+@pytest.mark.parametrize("kind,hidden", LONG)
+def test_long_disguises_are_found_whole(kind, hidden):
+    text = f"(before: {hidden}) after"
+    assert [(k, text[a:b], own) for k, a, b, own in pii.find(text)] == [(kind, hidden, False)]
+
+
+@pytest.mark.parametrize("part", ["a [dot] ", "a dot ", "a [at] b.c ", "a at b.c ", "a [dot] b [at] ", "@b.c "])
+def test_long_addresses_are_linear(part):
+    assert len(pii.find(part * 30_000 + "a [at] b [dot] com")) <= 60_001
+
+
 @pytest.mark.parametrize("clean", [
     "He looked at the dot on the map, at one point. We met at example.com", "one two three", "Это просто текст о жизни",
     "un deux trois quatre cinq six sept huit neuf", "(at) the [dot]", "m² and ½ of 3.5.2", "", "in 1999 and 2001-2003"])
