@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import imatch, kmeans_tree, langid, nbest, near_dup, packing, pieces, pii, url_filter, warc
+from tessera.llm import filter_audit, imatch, kmeans_tree, langid, nbest, near_dup, packing, pieces, pii, url_filter, warc
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,40 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequence, 16 buckets, 65,536 padded words a batch."""
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack(docs, packing.word_count(F.col("text")))
+
+
+@query("op11_filter_audit", r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(coalesce(quality = 1, FALSE)) AS good, max(coalesce(toxic = 1, FALSE)) AS toxic
+    FROM labels GROUP BY 1),
+m AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+        CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+        + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+        + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+        + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE) AS INT) AS mask
+    FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM m GROUP BY 1, 2),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, b)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e
+    WHERE a.b + b.b + c.b + d.b + e.b = 31 AND (a.b | b.b | c.b | d.b | e.b) = 31),
+s AS (SELECT filter_order, step, letter, b, coalesce(sum(b) OVER (PARTITION BY filter_order ORDER BY step
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before
+    FROM (SELECT filter_order, CAST(i AS INT) AS step, substr(filter_order, i, 1) AS letter
+        FROM o, range(1, 6) r(i)) JOIN f USING (letter)),
+x AS (SELECT part, filter_order, step, letter,
+        coalesce(sum(n) FILTER ((mask & (before | b)) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & b) <> 0), 0) AS removed,
+        coalesce(sum(n) FILTER ((mask & before) <> 0 AND (mask & b) <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = b), 0) AS unique_fails,
+        coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & b) <> 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & b) <> 0), 0) AS toxic_lost
+    FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+    unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM x
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders: what each step removes, by language."""
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
