@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, imatch, kmeans_tree, langid, nbest, near_dup, packing, pieces, pii, url_filter, warc
+from tessera.llm import filter_audit, imatch, kmeans_tree, langid, nbest, near_dup, packing, periodic, pieces, pii, url_filter, \
+    warc
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -207,3 +208,21 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders: what each step removes, by language."""
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op13_periodic")
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document (of one in ten with a repeated end):
+    their number and digest, the one of greatest exponent, and the digest of
+    the words without the repetitions."""
+    docs = read_table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", periodic.split_words(F.col("text")).alias("words"))
+    found = periodic.periodic_runs(words, periodic.repeated_tail(F.col("words"), F.col("doc_id")))
+    top = F.when(F.size("runs") > 0, periodic.greatest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    collapsed = F.sha2(F.array_join(periodic.kept_words(F.col("words"), F.col("runs")), " "), 256)
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"top.{c}") for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.when(F.size("runs") > 0, collapsed).otherwise(F.col("plain_sha256")).alias("collapsed_sha256"))
