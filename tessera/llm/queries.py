@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import filter_audit, imatch, kmeans_tree, langid, nbest, near_dup, packing, periodic, pieces, pii, url_filter, \
-    warc
+from tessera.llm import chat_format, filter_audit, imatch, kmeans_tree, langid, nbest, near_dup, packing, periodic, \
+    pieces, pii, url_filter, warc
 from tessera.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,6 +210,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+@query("op12_chat_format")
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold control strings, written by
+    the instruction template and read back, with the verdict on its turn order."""
+    own = ["conv_id", "turn", "role", "text"]
+    tricky = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    turns = read_table(spark, sf_dir, "conversations").select(own)
+    turns = turns.unionByName(spark.createDataFrame(tricky, "conv_id long, turn long, role string, text string"))
+    order = chat_format.turn_order(turns).select(F.col("conv_id").alias("id"), "valid", "first_bad")
+    read = chat_format.digests(chat_format.format_turns(turns))
+    return read.join(order, F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
+
+
 @query("op13_periodic")
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document (of one in ten with a repeated end):
