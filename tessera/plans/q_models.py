@@ -4,12 +4,15 @@ output is determined by the input, facts about the output for learners."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import MODULUS, draw_index_sql, mix_sql
-from tessera.operators import assoc, chained, models, select, transform
+from tessera.operators import assoc, chained, folds, metrics, models, select, transform
 from tessera.operators.impute import column_salt
 from tessera.operators.ranking import row_index
 from tessera.plans import features
@@ -333,48 +336,88 @@ def j4_sort_by_id(spark, d):
 # ------------------------------------------------ learners: facts about their own output
 # A learner's numbers have no SQL twin. These queries run the job and return
 # facts that its output must meet, row by row, next to counts that SQL gives.
-# Rounds, trees, depths and runs are the reference's. What the twins state is
-# less than it: 1 repeat (M4, M9, M11), 3 seeds (M6), 2 draws and 2 repeats (M7),
-# and the first rounds of the curve (M5).
-ROUNDS = 30
+# Rounds, trees, depths, folds, repeats, seeds, draws and runs are the reference's.
 #: Most rounds of the reference's boosters and the rounds it goes on after the best.
 MOST_ROUNDS, PATIENCE = 2000, 30
+#: Log-loss of the constant prediction of one half.
+EVEN = 0.6931471805599453
 
 
 def _median_table(spark, d):
     return stage(features.imputed(_table(spark, d), "median"), "median-table")
 
 
+def _booster(variant: str, seed: int = 765):
+    return models.booster(variant, MOST_ROUNDS, PATIENCE, seed)
+
+
+_REPEATS = [(1, 433), (2, 433), (3, 433)]
+
+
 @query("m4_gbt_cv_scores", with_claims(
-    "SELECT 'Fold' || CAST(fold AS VARCHAR) || '.Rep1' AS fold_name, count(*) AS n, TRUE AS score_is_v1, "
-    "TRUE AS gains_sum_to_one FROM f GROUP BY fold", folds_sql("f", 5, [(1, 433)])))
+    "SELECT 'Fold' || CAST(fold AS VARCHAR) || '.Rep' || CAST(rep AS VARCHAR) AS fold_name, count(*) AS n, TRUE AS score_is_v1, "
+    "TRUE AS is_least_of_curve, TRUE AS stopped_in_time, TRUE AS beats_even, TRUE AS gains_sum_to_one FROM f GROUP BY rep, fold",
+    folds_sql("f", 5, _REPEATS)))
 def m4_gbt_cv_scores(spark, d):
-    """M4 + M11 + V8: boosted trees over 5 stratified folds (2000 rounds, stop
+    """M4 + M11 + V8: boosted trees over 5 stratified folds, 3 repeats (2000 rounds, stop
     30 rounds after the best). Facts by fold: held-out rows; the reported score is
-    V1 of the held-out predictions; gains sum to one."""
-    res = models.cross_validate(_median_table(spark, d), lambda: models.booster("simple", MOST_ROUNDS, 765), k=5, repeats=1,
-                                patience=PATIENCE)
+    V1 of the held-out predictions, the least of the fold's curve, which ends 30 rounds
+    later, and below that of the constant one half; gains sum to one."""
+    res = models.cross_validate(_median_table(spark, d), _booster("simple"), k=5, repeats=3)
     again = res["members"].groupBy("fold_name").agg(F.avg(
         -F.when(F.col("target") == 1, F.log("prob")).otherwise(F.log(1 - F.col("prob")))).alias("v1"))
     gains = res["importances"].groupBy(F.col("fold").alias("fold_name")).agg(F.sum("gain").alias("g"))
-    return res["scores"].join(again, "fold_name").join(gains, "fold_name").select(
+    ended = F.least(F.col("rounds") + PATIENCE, F.lit(MOST_ROUNDS))
+    return res["scores"].join(again, "fold_name").join(gains, "fold_name").join(res["rounds"], "fold_name").select(
         "fold_name", "n", (F.abs(F.col("logloss") - F.col("v1")) < 1e-9).alias("score_is_v1"),
+        (F.abs(F.col("logloss") - F.array_min("losses")) < 1e-9).alias("is_least_of_curve"),
+        (F.size("losses") == ended).alias("stopped_in_time"), (F.col("logloss") < EVEN).alias("beats_even"),
         (F.abs(F.col("g") - 1) < 1e-9).alias("gains_sum_to_one"))
 
 
+@query("v9_test_average", with_claims("SELECT ID, CAST(15 AS BIGINT) AS n_models, TRUE AS is_probability, TRUE AS in_file "
+                                      "FROM claims WHERE target IS NULL"))
+def v9_test_average(spark, d):
+    """The predictions of the unlabelled rows averaged over the 15
+    fits of the boosted CV, written as a submission and read back."""
+    t = stage(features.imputed(_table(spark, d), "mode"), "mode-table")
+    return _submitted(spark, t, models.cross_validate(t, _booster("simple"), k=5, repeats=3)["test"])
+
+
+def _submitted(spark, table, scored):
+    """``scored`` (ID, n_models, prob) beside what its submission file says."""
+    scored = stage(scored, "scored")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/submission-{uuid.uuid4().hex}"
+    io.write_submission(table.select("ID", "target").join(scored, "ID"), path, "prob")
+    back = spark.read.schema("ID long, PredictedProb double").option("header", True).csv(path)
+    return scored.join(back, "ID").select("ID", "n_models", F.col("prob").between(0, 1).alias("is_probability"),
+                                          (F.abs(F.col("prob") - F.col("PredictedProb")) < 1e-9).alias("in_file"))
+
+
+_CONTIGUOUS = ("f AS (SELECT ID, CAST(CASE WHEN pos < r * (q + 1) THEN floor(pos / (q + 1)) "
+               "ELSE r + floor((pos - r * (q + 1)) / q) END + 1 AS INTEGER) AS fold FROM "
+               "(SELECT ID, row_number() OVER (ORDER BY ID) - 1 AS pos, count(*) OVER () // 3 AS q, "
+               "count(*) OVER () % 3 AS r FROM claims WHERE target IS NOT NULL) t)")
+
+
 @query("m8_forest_cv_scores", with_claims(
-    "SELECT ID, target IS NULL AS is_test, CAST(CASE WHEN target IS NULL THEN 6 ELSE 2 END AS BIGINT) AS n_models, "
-    "TRUE AS is_probability FROM claims"))
+    "SELECT c.ID, 'Fold' || CAST(f.fold AS VARCHAR) || '.Rep1' AS fold_name, CAST(CASE WHEN f.ID IS NULL THEN 3 ELSE 1 END AS BIGINT) "
+    "AS n_models, TRUE AS is_probability, TRUE AS at_base_rate FROM claims c LEFT JOIN f ON f.ID = c.ID", _CONTIGUOUS))
 def m8_forest_cv_scores(spark, d):
-    """M8 + V9: Extra-Trees-like forest (850 trees, depth 30), 3 folds x 2
-    repeats. A node tries 8 of the columns: the reference's 60 are a part of its
-    columns, but would be all of these, and trees without bootstrap and random
-    thresholds would then be equal. Facts by row: labelled rows are averaged over the
-    repeats, unlabelled ones over all fits, and hold probabilities."""
-    res = models.cross_validate(features.imputed(_table(spark, d), "sentinel"),
-                                lambda: models.forest(max_features=8), k=3, repeats=2)
-    both = res["oof"].withColumn("is_test", F.lit(False)).unionByName(res["test"].withColumn("is_test", F.lit(True)))
-    return both.select("ID", "is_test", "n_models", F.col("prob").between(0, 1).alias("is_probability"))
+    """M8 + V4 + V9: extremely randomised trees (900 trees, 80 features a
+    node, entropy, depth 40, at least 4 rows to split and 2 in a leaf) over 3 contiguous folds. Facts by row:
+    the fold that holds it out, labelled rows have one prediction, unlabelled
+    ones the mean of three, all are probabilities; a fold's mean probability is within 0.05
+    of the share of class 1 among the other labelled rows."""
+    res = models.cross_validate(features.imputed(_table(spark, d), "sentinel"), models.ExtraTrees(trees=900, max_features=80),
+                                k=3, repeats=1, contiguous=True)
+    good = F.col("prob").between(0, 1).alias("is_probability")
+    sums = res["members"].groupBy("fold_name").agg(F.avg("prob").alias("mean"), F.sum("target").alias("pos"), F.count(F.lit(1)).alias("n"))
+    pos, n = (F.sum(c).over(Window.partitionBy()) - F.col(c) for c in ("pos", "n"))  # of the other folds; three rows
+    base = sums.select("fold_name", (F.abs(F.col("mean") - pos / n) < 0.05).alias("at_base_rate"))
+    held = res["members"].join(base, "fold_name").select("ID", "fold_name", F.lit(1).cast("long").alias("n_models"), good, "at_base_rate")
+    return held.unionByName(res["test"].select("ID", F.lit(None).cast("string").alias("fold_name"), "n_models", good,
+                                               F.lit(True).alias("at_base_rate")))
 
 
 def _names_sql() -> str:
@@ -382,80 +425,101 @@ def _names_sql() -> str:
     return ", ".join(f"'{n}'" for n in [*_NUM_SCALED, *_SHARES, *fac])
 
 
-@query("m11_importance_average", f"SELECT unnest([{_names_sql()}]) AS feature, TRUE AS is_mean_of_folds")
+@query("m11_importance_average", f"SELECT unnest([{_names_sql()}]) AS feature, CAST(9 AS BIGINT) AS folds, TRUE AS is_mean_of_folds, "
+                                 "TRUE AS in_order, TRUE AS sums_to_one")
 def m11_importance_average(spark, d):
     """M11 + M2: per-fold gains of a tuned booster (2000 rounds, stop 30 rounds
-    after the best) over 3 folds, averaged by name. Facts by feature: the average is the mean of its gains."""
-    res = models.cross_validate(_median_table(spark, d), lambda: models.booster("tuned_a", MOST_ROUNDS), k=3, repeats=1,
-                                patience=PATIENCE)
-    avg = select.average_importance(res["importances"])
-    own = res["importances"].groupBy("feature").agg(F.avg("gain").alias("m"), F.count(F.lit(1)).alias("k"))
-    return avg.join(own, "feature").select("feature", (
-        (F.abs(F.col("average") - F.col("m")) < 1e-12) & (F.col("k") == 3)).alias("is_mean_of_folds"))
-
-
-@query("m5_best_rounds", f"SELECT CAST(r AS INTEGER) AS round, TRUE AS is_finite, TRUE AS least_is_best "
-                         f"FROM range(1, {ROUNDS + 1}) t(r)")
+    after the best) over 3 folds, 3 repeats, averaged by name. Facts by feature: gains of all
+    9 fits, the average is their mean, ranks follow the averages, and the averages sum to one."""
+    res = models.cross_validate(_median_table(spark, d), _booster("tuned_a"), k=3, repeats=3)
+    gains = stage(res["importances"], "gains")
+    ranked = select.rank_table(select.order_desc(select.average_importance(gains), "average"), "average")
+    own = gains.groupBy("feature").agg(F.avg("gain").alias("m"), F.count(F.lit(1)).alias("folds"))
+    total = gains.agg(F.sum("gain")).first()[0]
+    above = ranked.select((F.col("rank") + 1).alias("rank"), F.col("average").alias("before"))
+    return ranked.join(own, "feature").join(above, "rank", "left").select(
+        "feature", "folds", (F.abs(F.col("average") - F.col("m")) < 1e-12).alias("is_mean_of_folds"),
+        F.coalesce(F.col("before") >= F.col("average"), F.col("rank") == 1).alias("in_order"),
+        F.lit(abs(total - 9) < 1e-6).alias("sums_to_one"))
+
+
+@query("m5_best_rounds", "SELECT 1 AS one, TRUE AS rounds_in_a_row, TRUE AS one_best, TRUE AS best_is_least, TRUE AS ends_after_patience, "
+                         "TRUE AS begins_near_even, TRUE AS best_beats_even")
 def m5_best_rounds(spark, d):
-    """M5: held-out log-loss after each round over 3 folds (1000 rounds, stop 10
-    rounds after the best). Facts by round for the first 30: a finite loss; the flagged round has
-    the least loss of the rounds looked at. (That the loss is V1 is tested.)"""
+    """M5: mean held-out log-loss after each round over 3 folds (1000 rounds, stop 10
+    rounds after the best). Facts of the whole curve: rounds from 1 on without a gap, one best,
+    of the least loss, with 10 rounds after it (or the last round); the first round is near the
+    constant one half and the best below it."""
     curve = models.best_rounds(features.imputed(_table(spark, d), "random"), "tuned_b", 1000, k=3, patience=10)
-    best = curve.where("is_best").first()
-    looked = (F.col("round") > best["round"] + 10) | (F.col("mean_loss") >= best["mean_loss"])
-    return curve.where(F.col("round") <= ROUNDS).select(
-        "round", F.col("mean_loss").between(0.0, 40.0).alias("is_finite"), looked.alias("least_is_best"))
+    best = F.max(F.when(F.col("is_best"), F.col("round")))
+    least = F.max(F.when(F.col("is_best"), F.col("mean_loss")))
+    return curve.agg(
+        (F.max("round") == F.count(F.lit(1))).alias("rounds_in_a_row"), (F.count_if("is_best") == 1).alias("one_best"),
+        (least == F.min("mean_loss")).alias("best_is_least"),
+        (F.max("round") == F.least(best + 10, F.lit(1000))).alias("ends_after_patience"),
+        (F.abs(F.max(F.when(F.col("round") == 1, F.col("mean_loss"))) - EVEN) < 0.05).alias("begins_near_even"),
+        (least < EVEN).alias("best_beats_even")).select(F.lit(1).alias("one"), "*")
 
 
-@query("m6_bagged_submission", with_claims("SELECT ID, TRUE AS is_probability, TRUE AS in_file, CAST(3 AS BIGINT) AS n_models "
+@query("m6_bagged_submission", with_claims("SELECT ID, CAST(10 AS BIGINT) AS n_models, TRUE AS is_probability, TRUE AS in_file "
                                            "FROM claims WHERE target IS NULL"))
 def m6_bagged_submission(spark, d):
-    """M5 -> M6 -> V10 -> S4: best round of 1000 (stop 10 rounds after it) x 1.5, one fit for each of 3
+    """M5 -> M6 -> V10 -> S4: best round of 1000 (stop 10 rounds after it) x 1.5, one fit for each of 10
     seeds, averaged, written as a submission and read back. Facts by unlabelled
     row: a probability, the same in the file."""
     t = _median_table(spark, d)
-    scored, _ = models.bagged_submission(t, "tuned_c", seeds=(2018, 2019, 2020))
-    scored = stage(scored, "bagged")
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/submission-{uuid.uuid4().hex}"
-    io.write_submission(t.select("ID", "target").join(scored, "ID"), path, "prob")
-    back = spark.read.schema("ID long, PredictedProb double").option("header", True).csv(path)
-    return scored.join(back, "ID").select(
-        "ID", F.col("prob").between(0, 1).alias("is_probability"),
-        (F.abs(F.col("prob") - F.col("PredictedProb")) < 1e-9).alias("in_file"), "n_models")
+    return _submitted(spark, t, models.bagged_submission(t, "tuned_c")[0])
 
 
-@query("m9_ablations", "SELECT unnest(['all', 'no_impact', 'no_transforms']) AS variant, CAST(3 AS BIGINT) AS folds, "
-                       "TRUE AS has_mean_and_sd")
+@query("m9_ablations", "SELECT unnest(['all', 'no_impact', 'no_transforms']) AS variant, CAST(5 AS BIGINT) AS folds, "
+                       "TRUE AS beats_even, TRUE AS has_sd, TRUE AS differs_by_features")
 def m9_ablations(spark, d):
-    """M9: CV (2000 rounds, stop 30 rounds after the best, 3 folds) without named feature groups. Facts by
-    variant: folds scored, mean and sd present."""
+    """M9: CV (2000 rounds, stop 30 rounds after the best, 5 folds) without named feature groups. Facts by
+    variant: folds scored, mean below the constant one half, a standard deviation, and other scores than with all features."""
     t = _median_table(spark, d)
     imp = [c for c in t.columns if c.startswith("Imp_")]
     made = [c for c in t.columns if c.startswith("T") and "_" in c]
-    out = models.ablations(t, lambda: models.booster("simple", MOST_ROUNDS),
-                           {"all": [], "no_impact": imp, "no_transforms": made}, k=3, patience=PATIENCE)
-    return out.select("variant", "folds", ((F.col("cv_mean") > 0) & (F.col("cv_sd") >= 0)).alias("has_mean_and_sd"))
+    scores = stage(models.ablations(t, _booster("simple"), {"all": [], "no_impact": imp, "no_transforms": made}), "ablations")
+    all_ = scores.where("variant = 'all'").select("fold_name", F.col("logloss").alias("base"))
+    other = scores.join(all_, "fold_name").groupBy("variant").agg(F.max(F.abs(F.col("logloss") - F.col("base"))).alias("gap"))
+    return metrics.cv_summary(scores, "logloss", ["variant"]).join(other, "variant").select(
+        "variant", "folds", (F.col("cv_mean") < EVEN).alias("beats_even"), (F.col("cv_sd") >= 0).alias("has_sd"),
+        ((F.col("gap") > 0) == (F.col("variant") != "all")).alias("differs_by_features"))
 
 
-@query("m7_random_search", "SELECT CAST(d AS INTEGER) AS draw, CAST(6 AS INTEGER) AS folds, TRUE AS in_range FROM range(0, 2) t(d)")
+@query("m7_random_search", "SELECT CAST(d AS INTEGER) AS draw, CAST(9 AS INTEGER) AS folds, TRUE AS in_range, TRUE AS in_bounds, "
+                           "TRUE AS some_draw_beats_even FROM range(0, 20) t(d)")
 def m7_random_search(spark, d):
-    """M7 + V6: 2 parameter draws (120-300 rounds), 3 folds x 2 repeats. Facts by
-    draw: folds scored, all four measures in their ranges."""
-    out = models.random_search(_median_table(spark, d), draws=2, repeats=2)
+    """M7 + V6: 20 parameter draws (120-300 rounds), 3 folds x 3 repeats, all 180 fits at
+    once. Facts by draw: folds scored, all four measures in their ranges, parameters within
+    the search bounds; the best draw's log-loss is below the constant one half."""
+    out = stage(models.random_search(_median_table(spark, d)), "search")
     unit = [F.col(c).between(0, 1) for c in ("auc", "acc")] + [F.coalesce(F.col("fdr").between(0, 1), F.lit(True))]
-    return out.select("draw", "folds", ((F.col("logloss") > 0) & unit[0] & unit[1] & unit[2]).alias("in_range"))
+    bounds = [F.col(c).between(*b) for c, b in (
+        ("eta", models.SEARCH_ETA), ("gamma", models.SEARCH_GAMMA), ("subsample", models.SEARCH_SUBSAMPLE),
+        ("colsample", models.SEARCH_COLSAMPLE), ("rounds", models.SEARCH_ROUNDS))]
+    bounds += [F.col("max_depth").isin(models.SEARCH_DEPTH), F.col("min_child").isin(models.SEARCH_CHILD)]
+    best = out.agg(F.min("logloss")).first()[0]
+    return out.select("draw", "folds", ((F.col("logloss") > 0) & unit[0] & unit[1] & unit[2]).alias("in_range"),
+                      reduce(and_, bounds).alias("in_bounds"), F.lit(best < EVEN).alias("some_draw_beats_even"))
 
 
-@query("m1_shadow_selection", f"SELECT unnest([{_names_sql()}]) AS feature, TRUE AS is_consistent")
+@query("m1_shadow_selection", f"SELECT unnest([{_names_sql()}]) AS feature, TRUE AS is_consistent, TRUE AS constant_has_no_hit")
 def m1_shadow_selection(spark, d):
-    """M1: shadow-feature selection over all features (at most 101 runs of
-    100 trees). Facts by feature: ordered importances, hits
-    within its runs, the decision that the binomial bound gives."""
-    out = models.shadow_selection(features.imputed(_table(spark, d), "random"))
+    """M1: shadow-feature selection over all features on the stratified 1% sample (V7), at most 101 runs of
+    500 trees, by permutation importance. Facts by feature: ordered importances, hits
+    within its runs, the decision that the binomial bound gives; a column that is constant in the sample has no hit."""
+    t = stage(features.imputed(_table(spark, d), "random"), "random-table")
+    chosen = folds.stratified_sample(t.select("ID", "target"), 0.01, seed=123).select("ID")
+    names = [c for c in t.columns if c not in ("ID", "target")]
+    varies = t.join(chosen, "ID").agg(*[F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(c) for c in names]).first()
+    constant = [c for c in names if not varies[c]]
+    out = models.shadow_selection(t)
     return out.select("feature", ((F.col("minImp") <= F.col("medianImp")) & (F.col("medianImp") <= F.col("maxImp"))
                                   & (F.col("hits") <= F.col("runs")) & (F.col("runs") <= 101)
                                   & ((F.col("decision") != "Confirmed") | (F.col("hits") >= 12))
-                                  & ((F.col("decision") != "Rejected") | (F.col("runs") - F.col("hits") >= 12))).alias("is_consistent"))
+                                  & ((F.col("decision") != "Rejected") | (F.col("runs") - F.col("hits") >= 12))).alias("is_consistent"),
+                      (~F.col("feature").isin(constant) | (F.col("hits") == 0)).alias("constant_has_no_hit"))
 
 
 # ------------------------------------------------ iterative imputation

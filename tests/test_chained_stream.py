@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import MODULUS, MULT_HI, MULT_LO, HIGH_FOLD
@@ -88,61 +87,6 @@ def test_streaming_rowwise_matches_batch(spark, sf):
     assert streamed.exceptAll(direct).count() == 0
 
 
-def test_cross_validate_forest_small(spark, sf):
-    from tessera.operators import models, select
-    from tessera.plans import features
-    from tessera.sources.tables import claims_view
-    pre = features.preprocess(claims_view(spark, sf), coded=["v38"])
-    t = features.imputed(features.model_table(pre, features.numeric_features(pre),
-                                              features.factor_features(pre)), "median")
-    res = models.cross_validate(t, lambda: models.forest(num_trees=5, max_features=4, max_depth=4),
-                                k=3)
-    scores = res["scores"].collect()
-    assert len(scores) == 3 and all(0 < r["logloss"] < 5 for r in scores)
-    oof = res["oof"].collect()
-    labelled = t.where("target is not null").count()
-    assert len(oof) == labelled and all(r["n_models"] == 1 for r in oof)
-    avg = select.average_importance(res["importances"]).collect()
-    assert abs(sum(r["average"] for r in avg) - 1.0) < 1e-6  # importances sum to 1 per fold
-
-
-def test_shadow_selection_decides(spark):
-    import pytest
-    from pyspark.sql import functions as F
-
-    from tessera.operators import models
-    df = spark.range(600).select(
-        F.col("id").alias("ID"), (F.col("id") % 2).cast("int").alias("target"),
-        (F.col("id") % 2 + F.pmod(F.xxhash64("id"), F.lit(10)) / 100).alias("signal"),
-        F.when(F.col("id") % 2 == 1, "a").otherwise("b").alias("level"),
-        F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).cast("double").alias("noise"))
-    out = {r["feature"]: r for r in models.shadow_selection(df, runs=14, num_trees=10).collect()}
-    assert out["signal"]["decision"] == out["level"]["decision"] == "Confirmed"
-    assert out["noise"]["decision"] == "Rejected" and out["noise"]["runs"] < 14
-    with pytest.raises(ValueError, match="cannot decide"):
-        models.shadow_selection(df, runs=8, num_trees=2)
-
-
-def test_round_losses_are_log_losses(spark):
-    import pytest
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.sql import functions as F
-
-    from tessera.operators import metrics, models
-    df = spark.range(400).select(F.col("id").alias("ID"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("double").alias("label"),
-                                 (F.col("id") % 17).cast("double").alias("x"))
-    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
-    model = models.booster("simple", max_iter=6).fit(data)
-    losses = models.round_losses(model, data)
-    v1 = metrics.log_loss(models._prob(model.transform(data)), "label", "prob").first()["logloss"]
-    assert len(losses) == 6 and losses[-1] == pytest.approx(v1, abs=1e-9)
-    assert models.stopping_round([3, 2, 2.5, 1], 1) == 2 and models.stopping_round([3, 2, 2.5, 1], None) == 4
-    early = models.fit_early(models.booster("simple", max_iter=6), data, data, patience=2)
-    assert early.getNumTrees <= 6
-    with pytest.raises(ValueError, match="at most 30"):
-        models.forest(max_depth=40)
-
-
 def test_norm_imputation_leaves_observed_cells(spark):
     from tessera.operators import chained
     rows = [(i, None if i % 5 == 0 else 2.0 * i, float(i)) for i in range(60)]
@@ -151,58 +95,3 @@ def test_norm_imputation_leaves_observed_cells(spark):
     got = {r["ID"]: r["a"] for r in filled.collect()}
     assert all(abs(got[i] - 2.0 * i) < 1e-6 for i in got)  # an exact line has no residual
     assert trace.count() == 2
-
-
-def test_early_stop_by_doubling_finds_the_round_of_the_full_curve():
-    import random
-
-    from tessera.operators import models
-    rng = random.Random(3)
-    for _ in range(300):
-        limit, patience = rng.choice([5, 30, 100, 700]), rng.choice([1, 10, 30])
-        low = rng.randint(1, limit)
-        curve = [abs(i - low) + 4 * rng.random() for i in range(limit)]
-        fits = []
-        losses, n = models.early_losses(lambda n: (fits.append(n) or curve[:n], n), limit, patience)
-        assert models.stopping_round(losses, patience) == models.stopping_round(curve, patience)
-        assert n == len(losses) == fits[-1] and sum(fits) <= 4 * max(models.FIRST_ROUNDS, low + patience + 8)
-
-
-def test_learner_queries_run_the_reference_counts(spark, monkeypatch):
-    from tessera.operators import models
-    from tessera.plans import q_models
-    calls = {}
-
-    class Done(Exception):
-        pass
-
-    def record(name):
-        def run(*a, **k):
-            calls[name] = (a, k)
-            raise Done
-        return run
-
-    for f in ("cross_validate", "best_rounds", "bagged_submission", "ablations", "random_search", "shadow_selection"):
-        monkeypatch.setattr(models, f, record(f))
-    monkeypatch.setattr(q_models, "_table", lambda *a: None)
-    monkeypatch.setattr(q_models, "_median_table", lambda *a: spark.range(1))
-    monkeypatch.setattr(q_models.features, "imputed", lambda *a: None)
-
-    def args(query, f):
-        with pytest.raises(Done):
-            query(spark, "")
-        return calls[f]
-
-    for query, variant in ((q_models.m4_gbt_cv_scores, "simple"), (q_models.m11_importance_average, "tuned_a"),
-                           (q_models.m9_ablations, "simple")):
-        a, k = args(query, "ablations" if query is q_models.m9_ablations else "cross_validate")
-        est = a[1]()
-        assert est.getMaxIter() == 2000 and k["patience"] == 30
-        assert (est.getMaxDepth(), est.getStepSize()) == models.BOOSTER_VARIANTS[variant][:2]
-    forest = args(q_models.m8_forest_cv_scores, "cross_validate")[0][1]()
-    assert forest.getNumTrees() == 850 and forest.getMaxDepth() == 30
-    a, k = args(q_models.m5_best_rounds, "best_rounds")
-    assert a[2] == 1000 and k["patience"] == 10
-    assert "max_iter" not in args(q_models.m6_bagged_submission, "bagged_submission")[1]  # the default, 1000
-    assert "rounds" not in args(q_models.m7_random_search, "random_search")[1]  # the default, 120 to 300
-    assert args(q_models.m1_shadow_selection, "shadow_selection")[1] == {}  # the defaults, 101 runs
