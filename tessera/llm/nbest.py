@@ -8,7 +8,7 @@ score, each step on a path that is among the best.
 A text's best paths combine those of its words. A path of rank N or better
 differs from the best in fewer than N words, and these can be taken from the
 N - 1 words that lose least by their second-best path; what a word loses
-follows from forward and backward scores without a search. So A* runs on a few
+follows from the two best scores of its prefixes without a search. So A* runs on a few
 words a text, and a heap combines their lists.
 """
 
@@ -17,8 +17,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.pieces import MOST_WORDS, Vocabulary, remembered
 
-#: Parts longer than this are measured one by one.
-LONG = 64
-
+_NONE = -float("inf")
 PATHS = "array<struct<score:double,n_pieces:bigint,ids_sha256:string,ids:array<int>,decoded:boolean>>"
 _PATHS = pa.list_(pa.struct([("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_sha256", pa.string()),
                              ("ids", pa.list_(pa.int32())), ("decoded", pa.bool_())]))
@@ -40,7 +36,6 @@ class Segmenter:
 
     def __init__(self, vocabulary: Vocabulary, n: int):
         self.vocabulary, self.n = vocabulary, n
-        self.lengths, self.scores = np.array(vocabulary.lengths), np.array(vocabulary.scores)
         self._forget()
 
     def _forget(self) -> None:
@@ -48,7 +43,7 @@ class Segmenter:
         self.score: list[float] = []   # best score, loss of the second-best path and best ids of each word
         self.loss: list[float] = []
         self.ids: list[bytes] = []
-        self.lists: dict[str, list[tuple[float, bytes]]] = {}
+        self.lists: dict[str, list[tuple[float, bytes, bool]]] = {}
 
     def _ids(self, part: str, cuts: list[int]) -> bytes:
         v = self.vocabulary
@@ -59,135 +54,64 @@ class Segmenter:
         return out.tobytes()
 
     @staticmethod
-    def _forward(edges: list, n: int) -> tuple[list[float], list[int]]:
-        """Best score of each prefix, and where its last piece starts."""
-        best, back = [-float("inf")] * (n + 1), [0] * (n + 1)
+    def _forward(edges: list, n: int) -> list[float]:
+        """Best score of each prefix."""
+        best = [_NONE] * (n + 1)
         best[0] = 0.0
         for end, start, score in edges:
             if best[start] + score > best[end]:
-                best[end], back[end] = best[start] + score, start
-        return best, back
+                best[end] = best[start] + score
+        return best
 
     def _measure(self, part: str) -> tuple[float, float, bytes]:
-        """Best score, loss of the second-best path, best ids."""
-        edges, n = self.vocabulary.edges(part), len(part)
-        best, back = self._forward(edges, n)
-        cuts = [n]
-        while cuts[-1]:
-            cuts.append(back[cuts[-1]])
-        cuts.reverse()
-        on = set(zip(cuts[1:], cuts))
-        rest = [-float("inf")] * n + [0.0]
-        second = -float("inf")
-        for end, start, score in reversed(edges):
-            gain = score + rest[end]
-            if gain > rest[start]:
-                rest[start] = gain
-            if best[start] + gain > second and (end, start) not in on:
-                second = best[start] + gain
-        return best[n], best[n] - second, self._ids(part, cuts)
-
-    def _learn(self, words: list[str]) -> None:
-        """Measure new words, the parts of all of them together."""
-        parts = [self.vocabulary.cut(w) for w in words]
-        flat = [p for own in parts for p in own]
-        short = [p for p in flat if len(p) <= LONG]
-        known = dict(zip(short, self._measure_all(short)))
-        known.update((p, self._measure(p)) for p in flat if len(p) > LONG)
-        for word, own in zip(words, parts):
-            score, loss, ids = known[own[0]]
-            for p in own[1:]:
-                s, x, k = known[p]
-                score, loss, ids = score + s, min(loss, x), ids + k
-            self.at[word] = len(self.score)
-            self.score.append(score)
-            self.loss.append(loss)
-            self.ids.append(ids)
-
-    def _measure_all(self, parts: list[str]) -> list[tuple[float, float, bytes]]:
-        """``_measure`` of many parts: their lattices lie side by side, and
-        all edges with the same distance from the start of their part are
-        relaxed at once (from the end for the backward pass)."""
-        v = self.vocabulary
-        if not parts:
-            return []
-        joined = "\0".join(parts)  # no piece crosses the separator
-        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        first = np.concatenate([[0], np.cumsum(size[:-1] + 1)])
-        found = np.fromiter(chain.from_iterable(v.matches.iter(joined)), dtype=np.int64).reshape(-1, 2)
-        end = found[:, 0] + 1  # ascending, for one end the longest first
-        start, score = end - self.lengths[found[:, 1]], self.scores[found[:, 1]]
-        odd = set(joined) - v.chars
-        at = np.array([k for k, c in enumerate(joined) if c in odd], dtype=np.int64) if odd else np.zeros(0, np.int64)
-        separators = (first[1:] - 1) if len(parts) > 1 else np.zeros(0, np.int64)
-        at = at[~np.isin(at, separators)]
-        if len(at):
-            start, end = np.concatenate([start, at]), np.concatenate([end, at + 1])
-            score = np.concatenate([score, np.full(len(at), v.unknown)])
-            order = np.lexsort((start, end))
-            start, end, score = start[order], end[order], score[order]
-        # by distance of the end from the part's start; ends and lengths keep their order
-        part = np.searchsorted(first, start, side="right") - 1
-        order = np.argsort((end - first[part]).astype(np.int16), kind="stable")
-        start, end, score, part = start[order], end[order], score[order], part[order]
-        steps = np.searchsorted(end - first[part], np.arange(int(size.max()) + 2))
-        n = len(joined) + 2
-        best, back = np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
-        best[first] = 0.0
-        for k in range(1, int(size.max()) + 1):
-            z = slice(steps[k], steps[k + 1])
-            if z.start == z.stop:
-                continue
-            own = end[z]
-            head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            through = best[start[z]] + score[z]
-            top = np.maximum.reduceat(through, head)
-            spread = np.repeat(top, np.diff(np.append(head, len(own))))
-            best[own[head]] = top
-            hit = np.flatnonzero(through == spread)
-            back[own[hit[::-1]]] = start[z][hit[::-1]]  # the first of equals is written last
-        last = first + size
-        on = np.zeros(n, dtype=bool)  # ends of the pieces on the best paths
-        inner = np.ones(n, dtype=bool)
-        inner[first] = False
-        walk = last
-        while len(walk):
-            on[walk] = True
-            walk = back[walk]
-            walk = walk[inner[walk]]
-        # backward: what a path can still gain from a position; edges by the distance of the start from the part's end
-        rest = np.full(n, -np.inf)
-        rest[last] = 0.0
-        order = np.argsort(start, kind="stable")
-        order = order[np.argsort((last[part] - start)[order].astype(np.int16), kind="stable")]
-        s2, e2, w2, distance = start[order], end[order], score[order], (last[part] - start)[order]
-        steps = np.searchsorted(distance, np.arange(int(size.max()) + 2))
-        for k in range(1, int(size.max()) + 1):
-            z = slice(steps[k], steps[k + 1])
-            if z.start < z.stop:
-                own = s2[z]
-                head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                rest[own[head]] = np.maximum.reduceat(rest[e2[z]] + w2[z], head)
-        off = ~(on[end] & (back[end] == start))
-        second = np.full(len(parts), -np.inf)
-        np.maximum.at(second, part[off], (best[start] + score + rest[end])[off])
-        cuts = np.flatnonzero(on)
-        begin = back[cuts]
-        owner = np.searchsorted(first, begin, side="right") - 1
-        pieces = [joined[a:b] for a, b in zip(begin.tolist(), cuts.tolist())]
-        ids = [v.id.get(p, -1) for p in pieces]
-        bounds = np.searchsorted(owner, np.arange(len(parts) + 1)).tolist()
-        out = []
-        for j, (x, y) in enumerate(zip(best[last].tolist(), second.tolist())):
-            own = ids[bounds[j]:bounds[j + 1]]
-            if -1 in own:
-                own = [k for i, p in zip(own, pieces[bounds[j]:bounds[j + 1]]) for k in ([i] if i >= 0 else v.char_ids(p))]
-            out.append((x, x - y, array("i", own).tobytes()))
-        return out
+        """Best score, loss of the second-best path, best ids: a forward pass
+        that keeps the two best scores of every prefix."""
+        v, n = self.vocabulary, len(part)
+        lengths, scores = v.lengths, v.scores
+        best, second, back = [_NONE] * (n + 1), [_NONE] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        if v.chars.issuperset(part):
+            edges = v.matches.iter(part)
+        else:  # a character without a piece is an edge of its own, by -1
+            edges = sorted([*v.matches.iter(part), *((k, -1) for k, c in enumerate(part) if c not in v.chars)],
+                           key=lambda e: (e[0], -lengths[e[1]] if e[1] >= 0 else -1))
+        for last, k in edges:
+            end = last + 1
+            start, score = (end - lengths[k], scores[k]) if k >= 0 else (last, v.unknown)
+            through = best[start] + score
+            if through > best[end]:
+                other = second[start] + score
+                second[end] = other if other > best[end] else best[end]
+                best[end], back[end] = through, k
+            elif through > second[end]:
+                second[end] = through
+        ids, end = [], n
+        while end:
+            k = back[end]
+            if k >= 0:
+                ids.append(v.piece_ids[k])
+                end -= lengths[k]
+            else:
+                ids.extend(reversed(v.char_ids(part[end - 1])))
+                end -= 1
+        ids.reverse()
+        return best[n], best[n] - second[n], array("i", ids).tobytes()
+
+    def _learn(self, word: str) -> int:
+        parts = self.vocabulary.cut(word)
+        score, loss, ids = self._measure(parts[0])
+        for p in parts[1:]:
+            s, x, k = self._measure(p)
+            score, loss, ids = score + s, min(loss, x), ids + k
+        self.at[word] = at = len(self.score)
+        self.score.append(score)
+        self.loss.append(loss)
+        self.ids.append(ids)
+        return at
 
     def _search(self, part: str) -> list[tuple[float, bytes]]:
         """The ``n`` best paths of a part by backward A*."""
-        best, _ = self._forward(edges := self.vocabulary.edges(part), len(part))
+        best = self._forward(edges := self.vocabulary.edges(part), len(part))
         arriving: list[list] = [[] for _ in best]
         for end, start, score in edges:
             arriving[end].append((start, score))
@@ -208,62 +132,46 @@ class Segmenter:
                 heapq.heappush(queue, (-(gained + s + best[a]), -pushed, gained + s, a, (a, path)))
         return out
 
-    def best(self, word: str) -> list[tuple[float, bytes]]:
-        """The ``n`` best paths of a word: score and ids."""
+    def best(self, word: str) -> list[tuple[float, bytes, bool]]:
+        """The ``n`` best paths of a word: score, ids, and whether they decode
+        to the same text as the best."""
         if word not in self.lists:
             parts = [self._search(p) for p in self.vocabulary.cut(word)]
-            self.lists[word] = [(s, b"".join(parts[k][r][1] for k, r in enumerate(ranks)))
-                                for s, ranks in combined([[s for s, _ in p] for p in parts], self.n)]
+            paths = [(s, b"".join(parts[k][r][1] for k, r in enumerate(ranks)))
+                     for s, ranks in combined([[s for s, _ in p] for p in parts], self.n)]
+            said = [self.decode(raw) for _, raw in paths]
+            self.lists[word] = [(s, raw, x == said[0]) for (s, raw), x in zip(paths, said)]
         return self.lists[word]
 
+    def decode(self, raw: bytes) -> str:
+        return self.vocabulary.sp.decode(np.frombuffer(raw, dtype=np.int32).tolist()) if raw else ""
+
     def text(self, text: str | None) -> list[tuple[float, bytes]]:
         """The ``n`` best paths of a text (fewer if there are fewer), best
         first; one empty path for null and empty texts."""
+        return [path[:2] for path in self.paths(text)]
+
+    def paths(self, text: str | None) -> list[tuple[float, bytes, bool]]:
+        """``text``, each path with whether it decodes to what the best does."""
         if len(self.at) > MOST_WORDS:
             self._forget()
-        return self.words(self.vocabulary.words.findall(self.vocabulary.normal(text)))
-
-    def prepare(self, texts: list[list[str]]) -> None:
-        """Learn the new words of several texts at once."""
-        new = list({w: None for words in texts for w in words if w not in self.at})
-        if new:
-            self._learn(new)
-
-    def batches(self, texts: pa.Array, chars: int = 400_000) -> Iterator[tuple[str, list]]:
-        """Each text (null as empty) with its paths; new words are learned for
-        texts of about ``chars`` characters at a time."""
-        part, size = [], 0
-        for k, t in enumerate(texts):
-            part.append(t.as_py() or "")
-            size += len(part[-1]) + 1
-            if size >= chars or k + 1 == len(texts):
-                if len(self.at) > MOST_WORDS:
-                    self._forget()
-                split = [self.vocabulary.words.findall(self.vocabulary.normal(x)) for x in part]
-                self.prepare(split)
-                yield from zip(part, map(self.words, split))
-                part, size = [], 0
-
-    def words(self, words: list[str]) -> list[tuple[float, bytes]]:
+        words = self.vocabulary.words.findall(self.vocabulary.normal(text))
         if not words:
-            return [(0.0, b"")]
-        self.prepare([words])
-        at = self.at
-        rows = [at[w] for w in words]
-        score, ids = self.score, self.ids
+            return [(0.0, b"", True)]
+        known = self.at
+        rows = [known[w] if w in known else self._learn(w) for w in words]
+        score, ids, losses = self.score, self.ids, self.loss
         parts = [ids[k] for k in rows]
         total = sum(score[k] for k in rows)
-        loss = np.fromiter((self.loss[k] for k in rows), dtype=np.float64, count=len(rows))
-        m = min(self.n - 1, len(rows))
         # the words that lose least by another path
-        open_ = sorted(np.argpartition(loss, m - 1)[:m].tolist()) if m else []
+        open_ = sorted(heapq.nsmallest(self.n - 1, range(len(rows)), key=[losses[k] for k in rows].__getitem__))
         lists = [self.best(words[k]) for k in open_]
         fixed = total - sum(score[rows[k]] for k in open_)
         out = []
-        for gained, ranks in combined([[s for s, _ in x] for x in lists], self.n):
+        for gained, ranks in combined([[x[0] for x in own] for own in lists], self.n):
             for k, own, r in zip(open_, lists, ranks):
                 parts[k] = own[r][1]
-            out.append((fixed + gained, b"".join(parts)))
+            out.append((fixed + gained, b"".join(parts), all(own[r][2] for own, r in zip(lists, ranks))))
         return out
 
 
@@ -290,21 +198,23 @@ def encoded(spark: SparkSession, text: Column, model: bytes, n: int = 4, with_id
 
     ``ids_sha256`` is the digest of the ids as little-endian 32-bit integers;
     ``ids`` are left out (null) unless ``with_ids``; ``decoded`` tells whether
-    decoding gives the text back (a null text counts as empty)."""
+    decoding gives the text back (a null text counts as empty). Rows that repeat
+    get the same paths each, an empty table none; a text is segmented word by
+    word, so its length costs no more than its ids."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(PATHS)
     def paths(texts: pa.Array) -> pa.Array:
         own = remembered(Segmenter, shared.value, n)
-        decode = own.vocabulary.sp.decode
         out = []
-        for t, found in own.batches(texts):
-            rows = []
-            for score, raw in found:
-                ids = np.frombuffer(raw, dtype=np.int32)
-                rows.append({"score": score, "n_pieces": len(ids), "ids_sha256": hashlib.sha256(raw).hexdigest(),
-                             "ids": ids if with_ids else None,
-                             "decoded": (decode(ids.tolist()) if len(ids) else "") == t})
+        for t in texts:
+            said, rows = t.as_py() or "", []
+            found = own.paths(said)
+            back = own.decode(found[0][1]) == said
+            for score, raw, same in found:
+                rows.append({"score": score, "n_pieces": len(raw) // 4, "ids_sha256": hashlib.sha256(raw).hexdigest(),
+                             "ids": np.frombuffer(raw, dtype=np.int32) if with_ids else None,
+                             "decoded": back if same else own.decode(raw) == said})
             out.append(rows)
         return pa.array(out, type=_PATHS)
 

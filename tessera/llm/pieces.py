@@ -46,6 +46,7 @@ class Vocabulary:
         self.pairs = {pair for p in self.score for pair in zip(p, p[1:])}
         self.chars = {p for p in self.score if len(p) == 1}
         self.matches = ahocorasick.Automaton()
+        self.piece_ids = list(self.id.values())
         self.lengths, self.scores = [len(p) for p in self.score], list(self.score.values())
         for k, p in enumerate(self.score):
             self.matches.add_word(p, k)
