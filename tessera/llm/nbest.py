@@ -43,6 +43,7 @@ class Segmenter:
         self.score: list[float] = []   # best score, loss of the second-best path and best ids of each word
         self.loss: list[float] = []
         self.ids: list[bytes] = []
+        self.parts: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[str, list[tuple[float, bytes, bool]]] = {}
 
     def _ids(self, part: str, cuts: list[int]) -> bytes:
@@ -98,11 +99,12 @@ class Segmenter:
         return best[n], best[n] - second[n], array("i", ids).tobytes()
 
     def _learn(self, word: str) -> int:
-        parts = self.vocabulary.cut(word)
-        score, loss, ids = self._measure(parts[0])
-        for p in parts[1:]:
-            s, x, k = self._measure(p)
-            score, loss, ids = score + s, min(loss, x), ids + k
+        known, score, loss, ids = self.parts, 0.0, -_NONE, b""
+        for p in self.vocabulary.cut(word):  # the same word comes with many marks beside it
+            if p not in known:
+                known[p] = self._measure(p)
+            s, x, k = known[p]
+            score, loss, ids = score + s, x if x < loss else loss, ids + k
         self.at[word] = at = len(self.score)
         self.score.append(score)
         self.loss.append(loss)
@@ -162,9 +164,9 @@ class Segmenter:
         rows = [known[w] if w in known else self._learn(w) for w in words]
         score, ids, losses = self.score, self.ids, self.loss
         parts = [ids[k] for k in rows]
-        total = sum(score[k] for k in rows)
+        total = sum(map(score.__getitem__, rows))
         # the words that lose least by another path
-        open_ = sorted(heapq.nsmallest(self.n - 1, range(len(rows)), key=[losses[k] for k in rows].__getitem__))
+        open_ = sorted(heapq.nsmallest(self.n - 1, range(len(rows)), key=list(map(losses.__getitem__, rows)).__getitem__))
         lists = [self.best(words[k]) for k in open_]
         fixed = total - sum(score[rows[k]] for k in open_)
         out = []
