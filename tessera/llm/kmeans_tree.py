@@ -1,6 +1,9 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample of unit vectors; every row is indexed:
+The tree is grown by Spark: its top is fitted on a bounded sample of unit vectors,
+then every leaf that holds too many rows of the table gets a subtree fitted on a
+bounded sample of its own rows, all such leaves at once, until leaves are small
+or the tree has as many as may be broadcast. Every row is indexed:
 it goes down to the leaf with the nearest centres. A query visits leaves best
 bin first: a priority queue holds the branches not yet taken by the cosine of
 their centres. How many leaves are visited is calibrated: for a bounded sample
@@ -15,14 +18,20 @@ than another. Leaves and their queries are cut into blocks of bounded size.
 from __future__ import annotations
 
 import heapq
+import math
+import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import shuffle_partitions
 from tessera.sources.staging import stage
 
+#: Leaves that a subtree may have.
+MOST_BELOW = 512
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     n = np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -69,6 +78,26 @@ class Tree:
         self.leaves += 1
         return -self.leaves
 
+    def graft(self, subtrees: dict[int, Tree]) -> None:
+        """Put a subtree in the place of each of some leaves. Its first leaf
+        keeps the number, the others get new ones."""
+        place = {-1 - child: (n, k) for n, (_, children) in enumerate(self.nodes) for k, child in enumerate(children) if child < 0}
+        for leaf, sub in sorted(subtrees.items()):
+            if sub.root < 0:
+                continue
+            offset, more = len(self.nodes), self.leaves - 1
+
+            def moved(child: int) -> int:
+                return child + offset if child >= 0 else -1 - (leaf if child == -1 else more - 1 - child)
+
+            self.nodes += [(c, [moved(child) for child in children]) for c, children in sub.nodes]
+            self.leaves += sub.leaves - 1
+            if leaf in place:
+                n, k = place[leaf]
+                self.nodes[n][1][k] = sub.root + offset
+            else:
+                self.root = sub.root + offset
+
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each unit vector, by the nearest centre at each level."""
         out = np.zeros(len(x), dtype=np.int64)
@@ -129,31 +158,52 @@ def usable(vector: Column) -> Column:
 
 
 def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-           sample: int = 16384, calibration: int = 200, recall: float = 0.95, block: int = 2048) -> DataFrame:
+           sample: int = 16384, calibration: int = 200, recall: float = 0.95, block: int = 2048, leaf_rows: int = 256,
+           most_leaves: int = 65536) -> DataFrame:
     """The ``k`` nearest other rows of each query row by cosine, in double
     precision: ``query_id, rank`` (int, from 1), ``vec_id, score``; nearest
     first, ties to the smaller id. With fewer candidates, all of them.
 
     ``is_query`` is a condition on ``id_col``. Rows without an id and vectors
     that aren't ``usable`` take no part; vectors of different lengths are never
-    compared (one tree for each length). Equal ids are one candidate, by its
-    best score. ``sample`` rows fit the tree and ``calibration`` queries set
+    compared (one tree for each length; lengths of at most ``sample`` vectors
+    have none and are compared in full, all in one job). Equal ids are one
+    candidate, by its best score. ``sample`` rows fit the top of the tree, and again as many
+    the subtree of each leaf of more than ``leaf_rows`` rows, up to ``most_leaves``
+    leaves (beyond it leaves grow); ``calibration`` queries set
     the number of visited leaves so that ``recall`` of their true neighbours is
-    found; both are drawn by a hash of the id. Other columns are not read.
+    found; all are drawn by hashes of ids and vectors. Other columns are not read.
     """
     spark = rows.sparkSession
     own = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), is_query.alias("asks")) \
         .where(F.col("id").isNotNull() & usable(F.col("v"))).select(
             "id", F.transform("v", lambda x: x.cast("double")).alias("v"), F.coalesce("asks", F.lit(False)).alias("asks"),
             F.size("v").alias("dim"), F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
-    found = None
-    for dim in sorted(r["dim"] for r in own.select("dim").distinct().collect()):
-        part = _search(own.where(F.col("dim") == dim).drop("dim"), k, sample, calibration, recall, block)
-        found = part if found is None else found.union(part)
-    if found is None:
-        kind = rows.schema[id_col].dataType.simpleString()
-        found = spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    return found.toDF("query_id", "rank", "vec_id", "score")
+    kind = rows.schema[id_col].dataType.simpleString()
+    # equal vectors once, with their k + 1 smallest ids: the row limit is applied before the shuffle
+    least = Window.partitionBy("h1", "h2").orderBy("id")
+    reps = stage(own.select("h1", "h2", "id", "v", "dim").dropDuplicates(["h1", "h2", "id"])
+                 .withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1)
+                 .groupBy("h1", "h2").agg(F.first("v").alias("v"), F.first("dim").alias("dim"), F.sort_array(F.collect_list("id")).alias("ids")),
+                 "vectors")
+    queries = own.where("asks").select("id", "h1", "h2", "v", "dim")
+    asked = stage(queries.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.first("dim").alias("dim"), F.min("id").alias("id")), "queries")
+    counts = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    large = {r["dim"]: r["n"] for r in counts.where(F.col("n") > sample).collect()}
+    few = ~F.col("dim").isin(list(large)) if large else F.lit(True)
+    leaf = F.col("dim").cast("long")
+    found = [_compared(reps.where(few).withColumn("leaf", leaf), asked.where(few).select("h1", "h2", leaf.alias("leaf")),
+                       asked, queries, k, block, kind)]
+    for dim, total in sorted(large.items()):  # each of more than ``sample`` vectors
+        mine, asking = reps.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
+        tree, sizes = grown(mine, total, sample, leaf_rows, most_leaves)
+        leaves = indexed(mine, tree)
+        width = _calibrated(leaves, _drawn(asking, asking.count(), calibration), tree, k, recall)
+        found.append(_compared(leaves, _routed(asking, tree, sizes, width, k), asked, queries, k, block, kind))
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _drawn(rows: DataFrame, total: int, wanted: int) -> DataFrame:
@@ -162,40 +212,66 @@ def _drawn(rows: DataFrame, total: int, wanted: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def _search(own: DataFrame, k: int, sample: int, calibration: int, recall: float, block: int) -> DataFrame:
-    spark = own.sparkSession
-    kind = own.schema["id"].dataType.simpleString()
-    # equal vectors once, with their k + 1 smallest ids: the row limit is applied before the shuffle
-    least = Window.partitionBy("h1", "h2").orderBy("id")
-    reps = stage(own.select("h1", "h2", "id", "v").dropDuplicates(["h1", "h2", "id"])
-                 .withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1)
-                 .groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")),
-                 "vectors")
-    total = reps.count()
-    drawn = _drawn(reps.withColumn("id", F.col("h1")), total, sample).orderBy("h1", "h2").select("v").collect()
-    if not drawn:
-        drawn = reps.orderBy("h1", "h2").select("v").limit(1).collect()
-    tree = Tree(_unit(np.array([r["v"] for r in drawn])))
-    shared = spark.sparkContext.broadcast(tree)  # at most ``sample`` centres a level
+def _leaf_of(rows: DataFrame, tree: Tree, columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows`` and the leaf of each row's vector."""
+    shared = rows.sparkSession.sparkContext.broadcast(tree)
 
     def index(batches):
         for pdf in batches:
-            pdf["leaf"] = shared.value.leaf_of(_unit(_matrix(pdf["v"])))
-            yield pdf
+            out = pdf[columns].copy()
+            out["leaf"] = shared.value.leaf_of(_unit(_matrix(pdf["v"])))
+            yield out
+
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return rows.mapInPandas(index, f"{kept}, leaf long")
+
 
-    vector = "array<double>"
-    leaves = stage(reps.mapInPandas(index, f"h1 long, h2 int, v {vector}, ids array<{kind}>, leaf long"), "leaves")
-    sizes = {r["leaf"]: (r["n"], r["m"]) for r in leaves.groupBy("leaf").agg(  # at most ``sample`` leaves
-        F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("m")).collect()}
-    queries = own.where("asks").select("id", "h1", "h2", "v")
-    asked = stage(queries.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.min("id").alias("id")), "queries")
-    width = _calibrated(leaves, _drawn(asked, asked.count(), calibration), tree, k, recall)
+def indexed(rows: DataFrame, tree: Tree) -> DataFrame:
+    return stage(_leaf_of(rows, tree, ["h1", "h2", "v", "ids"]), "leaves")
+
+
+def grown(reps: DataFrame, total: int, sample: int, leaf_rows: int, most_leaves: int) -> tuple[Tree, dict[int, tuple[int, int]]]:
+    """A tree whose leaves hold at most about ``leaf_rows`` of the ``total``
+    rows (as far as centres can tell them apart), and the vectors and ids in each leaf."""
+    drawn = _drawn(reps.withColumn("id", F.col("h1")), total, sample).orderBy("h1", "h2").select("v").collect()
+    drawn = drawn or reps.orderBy("h1", "h2").select("v").limit(1).collect()
+    tree = Tree(_unit(np.array([r["v"] for r in drawn])), leaf_size=max(16, min(64, leaf_rows // 2)))
+    stuck: set[int] = set()
+    while True:
+        told = _leaf_of(reps.withColumn("m", F.size("ids")), tree, ["m"]).groupBy("leaf").agg(  # at most ``most_leaves`` leaves
+            F.count(F.lit(1)).alias("n"), F.sum("m").alias("m")).collect()
+        sizes = {r["leaf"]: (r["n"], r["m"]) for r in told}
+        full = sorted(((n, leaf) for leaf, (n, _) in sizes.items() if n > leaf_rows and leaf not in stuck), reverse=True)
+        room = (most_leaves - tree.leaves) // MOST_BELOW
+        if not full or room < 1:
+            return tree, sizes
+        full = full[:room]  # the largest first
+        share = reps.sparkSession.createDataFrame([(leaf, n, min(1.0, sample / n)) for n, leaf in full], "leaf long, n long, share double")
+        picked = _leaf_of(reps, tree, ["h1", "h2", "v"]).join(F.broadcast(share), "leaf").where(
+            F.pmod(F.xxhash64(F.lit("leaf"), "h1", "h2"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+
+        def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["h1", "h2"])
+            size = max(8, leaf_rows * len(part) // (2 * int(part["n"].iloc[0])), -(-2 * len(part) // MOST_BELOW))
+            sub = Tree(_unit(_matrix(part["v"])), leaf_size=size)
+            return pd.DataFrame({"leaf": [key[0]], "tree": [pickle.dumps(sub)]})
+
+        subtrees = {r["leaf"]: pickle.loads(r["tree"]) for r in picked.groupBy("leaf").applyInPandas(fit, "leaf long, tree binary").collect()}
+        tree.graft(subtrees)
+        stuck |= {leaf for _, leaf in full if leaf not in subtrees or subtrees[leaf].root < 0}
+
+
+def _routed(asked: DataFrame, tree: Tree, sizes: dict[int, tuple[int, int]], width: int, k: int) -> DataFrame:
+    """(h1, h2, leaf): the leaves that each query visits."""
+    spark = asked.sparkSession
+    shared = spark.sparkContext.broadcast((tree, sizes))
 
     def route(batches):
         for pdf in batches:
+            tree, sizes = shared.value
             for h1, h2, q in zip(pdf["h1"], pdf["h2"], _unit(_matrix(pdf["v"]))):
                 out, ids = [], 0
-                for seen, leaf in enumerate(shared.value.visits(q)):
+                for seen, leaf in enumerate(tree.visits(q)):
                     if seen >= width and ids > k:
                         break
                     if leaf in sizes:
@@ -204,10 +280,14 @@ def _search(own: DataFrame, k: int, sample: int, calibration: int, recall: float
                 yield pd.DataFrame({"h1": h1, "h2": h2, "leaf": out})
 
     # only keys leave the tree walk; vectors are joined to the visits by Spark
-    routed = stage(asked.select("h1", "h2", "v").mapInPandas(route, "h1 long, h2 int, leaf long"), "routed")
+    dealt = asked.select("h1", "h2", "v").repartition(shuffle_partitions(spark), "h1")
+    return stage(dealt.mapInPandas(route, "h1 long, h2 int, leaf long"), "routed")
+
+
+def _compared(leaves: DataFrame, routed: DataFrame, asked: DataFrame, queries: DataFrame, k: int, block: int, kind: str) -> DataFrame:
+    """The ``k`` best of the vectors in the leaves that each query visits."""
     load = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("q_blocks"))
-    cut = F.broadcast(leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("r_blocks"))
-                      .join(load, "leaf"))  # one row a leaf
+    cut = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("r_blocks")).join(load, "leaf")  # one row a leaf
 
     def dealt(side: DataFrame, own_blocks: str, own_key: str, other_blocks: str, other_key: str) -> DataFrame:
         return side.join(cut, "leaf").withColumn(own_key, F.pmod(F.xxhash64("h1", "h2"), F.col(own_blocks))) \
@@ -259,9 +339,17 @@ def _calibrated(leaves: DataFrame, drawn: DataFrame, tree: Tree, k: int, recall:
     order = Window.partitionBy("probe").orderBy(F.desc("score"), "id")
     held = nearest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k) \
         .select("probe", "leaf").collect()  # at most k rows a probe
-    place = [{leaf: n for n, leaf in enumerate(tree.visits(q))} for q in _unit(matrix)]
-    ranks = np.sort([place[r["probe"]][r["leaf"]] for r in held])
-    width = 1
-    while len(ranks) and (ranks < width).mean() < recall:
-        width += 1
-    return width
+    wanted: dict[int, list[int]] = {}
+    for r in held:
+        wanted.setdefault(r["probe"], []).append(r["leaf"])
+    ranks = []
+    for probe, theirs in wanted.items():
+        missing = set(theirs)
+        for n, leaf in enumerate(tree.visits(_unit(matrix[probe:probe + 1])[0])):
+            if leaf in missing:
+                ranks += [n] * theirs.count(leaf)
+                missing.discard(leaf)
+                if not missing:
+                    break
+    ranks.sort()
+    return ranks[max(0, math.ceil(recall * len(ranks)) - 1)] + 1 if ranks else 1

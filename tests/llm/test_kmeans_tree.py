@@ -98,3 +98,60 @@ def test_ties_at_the_cut_go_to_the_smallest_ids():
             tied = [a for a, r in zip(ids, rows) if rows is x or r[i] == 1]
             assert got[i] == sorted(map(int, tied))[:6]
     assert len(list(kmeans_tree._nearest(q, x[:2], ids, 6))) == 6
+
+
+def clustered(n, dims=8, per=40, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // per, dims))
+    return centres[np.arange(n) % len(centres)] + 0.02 * rng.normal(size=(n, dims))
+
+
+def test_comparisons_of_a_query_stay_bounded(spark):
+    """Four times the rows: leaves are as small as before, and a query is
+    compared with about as many rows, at the same recall."""
+    work, found = [], []
+    for n in (4000, 16000):
+        x = clustered(n)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        reps = df.select(F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"), F.col("embedding").alias("v"), F.array("vec_id").alias("ids"))
+        tree, sizes = kmeans_tree.grown(reps, n, 600, 60, 65536)
+        assert max(m for m, _ in sizes.values()) <= 60 and sum(m for m, _ in sizes.values()) == n
+        leaves = kmeans_tree.indexed(reps, tree)
+        asked = reps.where(F.col("ids")[0] % 50 == 0)
+        width = kmeans_tree._calibrated(leaves, asked, tree, 5, 0.95)
+        compared = []
+        for q in kmeans_tree._unit(x[::50]):
+            seen = [leaf for _, leaf in zip(range(width), tree.visits(q))]
+            compared.append(sum(sizes[leaf][0] for leaf in seen if leaf in sizes))
+        work.append(np.mean(compared))
+        routed = kmeans_tree._routed(asked, tree, sizes, width, 5)
+        assert routed.rdd.getNumPartitions() > 1
+        got = run(spark, [(i, v) for i, v in enumerate(x.tolist())], sample=600, leaf_rows=60)
+        unit = kmeans_tree._unit(x.astype(np.float32).astype(float))
+        scores = unit[::50] @ unit.T
+        hits = 0
+        for q, row in zip(range(0, n, 50), scores):
+            row[q] = -2
+            hits += len(set(np.argsort(-row)[:5].tolist()) & {i for _, i in got[q]})
+        found.append(hits / (5 * len(scores)))
+    assert min(found) >= 0.9 and work[1] <= 2 * work[0] and work[1] < 1000
+
+
+def test_grafted_trees_keep_every_leaf():
+    rng = np.random.default_rng(8)
+    x = kmeans_tree._unit(rng.normal(size=(900, 6)))
+    tree = kmeans_tree.Tree(x[:100], leaf_size=200)
+    assert tree.root < 0
+    tree.graft({0: kmeans_tree.Tree(x, leaf_size=100)})
+    own = tree.leaf_of(x)
+    big = [leaf for leaf in range(tree.leaves) if (own == leaf).sum() > 40]
+    tree.graft({leaf: kmeans_tree.Tree(x[own == leaf], leaf_size=20) for leaf in big})
+    assert set(tree.leaf_of(x)) <= set(range(tree.leaves)) and np.bincount(tree.leaf_of(x)).max() <= 40
+    for q in x[:10]:
+        assert sorted(tree.visits(q)) == list(range(tree.leaves))
+
+
+def test_many_lengths_are_one_job(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(1 + i % 40)]) for i in range(400)]
+    agree(run(spark, rows), brute(rows))
