@@ -166,8 +166,8 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
 
     ``is_query`` is a condition on ``id_col``. Rows without an id and vectors
     that aren't ``usable`` take no part; vectors of different lengths are never
-    compared (one tree for each length; lengths of at most ``sample`` vectors
-    have none and are compared in full, all in one job). Equal ids are one
+    compared (one tree for each length; lengths of at most ``leaf_rows`` vectors
+    are a single leaf each, all in one job). Equal ids are one
     candidate, by its best score. ``sample`` rows fit the top of the tree, and again as many
     the subtree of each leaf of more than ``leaf_rows`` rows, up to ``most_leaves``
     leaves (beyond it leaves grow); ``calibration`` queries set
@@ -189,12 +189,12 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     queries = own.where("asks").select("id", "h1", "h2", "v", "dim")
     asked = stage(queries.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.first("dim").alias("dim"), F.min("id").alias("id")), "queries")
     counts = reps.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
-    large = {r["dim"]: r["n"] for r in counts.where(F.col("n") > sample).collect()}
+    large = {r["dim"]: r["n"] for r in counts.where(F.col("n") > leaf_rows).collect()}
     few = ~F.col("dim").isin(list(large)) if large else F.lit(True)
     leaf = F.col("dim").cast("long")
-    found = [_compared(reps.where(few).withColumn("leaf", leaf), asked.where(few).select("h1", "h2", leaf.alias("leaf")),
+    found = [_compared(reps.where(few).withColumn("leaf", leaf), asked.where(few).select("h1", "h2", leaf.alias("leaf"), F.lit(0).alias("nth")),
                        asked, queries, k, block, kind)]
-    for dim, total in sorted(large.items()):  # each of more than ``sample`` vectors
+    for dim, total in sorted(large.items()):
         mine, asking = reps.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
         tree, sizes = grown(mine, total, sample, leaf_rows, most_leaves)
         leaves = indexed(mine, tree)
@@ -235,7 +235,7 @@ def grown(reps: DataFrame, total: int, sample: int, leaf_rows: int, most_leaves:
     rows (as far as centres can tell them apart), and the vectors and ids in each leaf."""
     drawn = _drawn(reps.withColumn("id", F.col("h1")), total, sample).orderBy("h1", "h2").select("v").collect()
     drawn = drawn or reps.orderBy("h1", "h2").select("v").limit(1).collect()
-    tree = Tree(_unit(np.array([r["v"] for r in drawn])), leaf_size=max(16, min(64, leaf_rows // 2)))
+    tree = Tree(_unit(np.array([r["v"] for r in drawn])), leaf_size=max(16, leaf_rows * len(drawn) // (2 * max(1, total))))
     stuck: set[int] = set()
     while True:
         told = _leaf_of(reps.withColumn("m", F.size("ids")), tree, ["m"]).groupBy("leaf").agg(  # at most ``most_leaves`` leaves
@@ -262,7 +262,7 @@ def grown(reps: DataFrame, total: int, sample: int, leaf_rows: int, most_leaves:
 
 
 def _routed(asked: DataFrame, tree: Tree, sizes: dict[int, tuple[int, int]], width: int, k: int) -> DataFrame:
-    """(h1, h2, leaf): the leaves that each query visits."""
+    """(h1, h2, leaf, nth): the leaves that each query visits, in order."""
     spark = asked.sparkSession
     shared = spark.sparkContext.broadcast((tree, sizes))
 
@@ -277,15 +277,20 @@ def _routed(asked: DataFrame, tree: Tree, sizes: dict[int, tuple[int, int]], wid
                     if leaf in sizes:
                         ids += sizes[leaf][1]
                         out.append(leaf)
-                yield pd.DataFrame({"h1": h1, "h2": h2, "leaf": out})
+                yield pd.DataFrame({"h1": h1, "h2": h2, "leaf": out, "nth": range(len(out))})
 
     # only keys leave the tree walk; vectors are joined to the visits by Spark
     dealt = asked.select("h1", "h2", "v").repartition(shuffle_partitions(spark), "h1")
-    return stage(dealt.mapInPandas(route, "h1 long, h2 int, leaf long"), "routed")
+    return stage(dealt.mapInPandas(route, "h1 long, h2 int, leaf long, nth int"), "routed")
 
 
-def _compared(leaves: DataFrame, routed: DataFrame, asked: DataFrame, queries: DataFrame, k: int, block: int, kind: str) -> DataFrame:
-    """The ``k`` best of the vectors in the leaves that each query visits."""
+#: Leaves of a query that are compared first; the others give only what reaches the best found there.
+FIRST_VISITS = 4
+
+
+def _hits(leaves: DataFrame, routed: DataFrame, asked: DataFrame, k: int, block: int, kind: str) -> DataFrame:
+    """(h1, h2, score, ids): the ``k + 1`` best vectors of each leaf that a query
+    visits, if they reach the query's ``floor``."""
     load = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("q_blocks"))
     cut = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block).alias("r_blocks")).join(load, "leaf")  # one row a leaf
 
@@ -294,18 +299,29 @@ def _compared(leaves: DataFrame, routed: DataFrame, asked: DataFrame, queries: D
             .withColumn(other_key, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_blocks) - 1))) \
             .drop("q_blocks", "r_blocks")
 
-    left = dealt(routed.join(asked.select("h1", "h2", "v"), ["h1", "h2"]), "q_blocks", "qb", "r_blocks", "rb").groupBy("leaf", "qb", "rb")
+    wanted = routed.select("h1", "h2", "leaf", "floor").join(asked.select("h1", "h2", "v"), ["h1", "h2"])
+    left = dealt(wanted, "q_blocks", "qb", "r_blocks", "rb").groupBy("leaf", "qb", "rb")
     right = dealt(leaves.select("h1", "h2", "v", "ids", "leaf"), "r_blocks", "rb", "q_blocks", "qb").groupBy("leaf", "qb", "rb")
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(x):
             least_id = np.array([ids[0] for ids in x["ids"]])
-            h1, h2, ids = q["h1"].to_numpy(), q["h2"].to_numpy(), x["ids"].to_numpy()
-            out = [(h1[i], h2[i], s, list(ids[j])) for i, j, s in _nearest(_matrix(q["v"]), _matrix(x["v"]), least_id, k + 1)]
+            h1, h2, floor, ids = (c.to_numpy() for c in (q["h1"], q["h2"], q["floor"], x["ids"]))
+            out = [(h1[i], h2[i], s, list(ids[j])) for i, j, s in _nearest(_matrix(q["v"]), _matrix(x["v"]), least_id, k + 1) if s >= floor[i]]
         return pd.DataFrame(out, columns=["h1", "h2", "score", "ids"])
 
-    hits = left.cogroup(right).applyInPandas(compare, f"h1 long, h2 int, score double, ids array<{kind}>")
+    return left.cogroup(right).applyInPandas(compare, f"h1 long, h2 int, score double, ids array<{kind}>")
+
+
+def _compared(leaves: DataFrame, routed: DataFrame, asked: DataFrame, queries: DataFrame, k: int, block: int, kind: str) -> DataFrame:
+    """The ``k`` best of the vectors in the leaves that each query visits."""
+    least = F.lit(-2.0)
+    hits = stage(_hits(leaves, routed.where(F.col("nth") < FIRST_VISITS).withColumn("floor", least), asked, k, block, kind), "first-hits")
+    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.desc("score")))
+    floors = hits.select("h1", "h2", "score", place.alias("place")).where(F.col("place") == k + 1).select("h1", "h2", F.col("score").alias("floor"))
+    rest = routed.where(F.col("nth") >= FIRST_VISITS).join(floors, ["h1", "h2"], "left").withColumn("floor", F.coalesce("floor", least))
+    hits = hits.unionByName(_hits(leaves, rest, asked, k, block, kind))
     best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), F.col("ids")[0])
     hits = hits.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1) \
         .select("h1", "h2", "score", F.explode("ids").alias("vec_id"))
