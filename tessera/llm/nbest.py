@@ -99,8 +99,13 @@ class Segmenter:
         return best[n], best[n] - second[n], array("i", ids).tobytes()
 
     def _learn(self, word: str) -> int:
+        # the same word comes with many marks behind it, which no piece joins to it
         known, score, loss, ids = self.parts, 0.0, -_NONE, b""
-        for p in self.vocabulary.cut(word):  # the same word comes with many marks beside it
+        pairs, end, marks = self.vocabulary.pairs, len(word), []
+        while end > 1 and (word[end - 2], word[end - 1]) not in pairs:
+            end -= 1
+            marks.append(word[end])
+        for p in (word[:end], *reversed(marks)):
             if p not in known:
                 known[p] = self._measure(p)
             s, x, k = known[p]
@@ -161,12 +166,17 @@ class Segmenter:
         if not words:
             return [(0.0, b"", True)]
         known = self.at
-        rows = [known[w] if w in known else self._learn(w) for w in words]
+        rows = list(map(known.get, words))
+        if None in rows:
+            rows = [known[w] if w in known else self._learn(w) for w in words]
         score, ids, losses = self.score, self.ids, self.loss
         parts = [ids[k] for k in rows]
         total = sum(map(score.__getitem__, rows))
         # the words that lose least by another path
-        open_ = sorted(heapq.nsmallest(self.n - 1, range(len(rows)), key=list(map(losses.__getitem__, rows)).__getitem__))
+        lost, open_ = list(map(losses.__getitem__, rows)), []
+        for x in sorted(lost)[:self.n - 1]:
+            open_.append(lost.index(x, open_[-1] + 1 if open_ and lost[open_[-1]] == x else 0))
+        open_.sort()
         lists = [self.best(words[k]) for k in open_]
         fixed = total - sum(score[rows[k]] for k in open_)
         out = []
