@@ -178,3 +178,67 @@ def stepwise_predictors(df: DataFrame, targets: Sequence[str], all_cols: Sequenc
             kept, best, status = [], float("nan"), f"error: {e}"
         rows += [(t, p, float(best), status) for p in kept] or [(t, None, float(best), status)]
     return spark.createDataFrame(rows, "target_col string, predictor_col string, aic double, status string")
+
+
+# ---------------------------------------------------------------- elimination by the sweep operator
+def sweep(A: np.ndarray, k: int) -> np.ndarray:
+    """Sweep of a symmetric matrix on pivot ``k``; sweeping on it again gives
+    the matrix back."""
+    d = A[k, k]
+    out = A - np.outer(A[:, k], A[k, :]) / d
+    out[k, :] = A[k, :] / abs(d)
+    out[:, k] = out[k, :]
+    out[k, k] = -1.0 / d
+    return out
+
+
+def stepwise_trace(df: DataFrame, targets: Sequence[str], candidates: Sequence[str], id_col: str = "ID", seed: int = 22,
+                   tolerance: float = 1e-9) -> DataFrame:
+    """I8 over all columns: backward AIC elimination of each target's linear
+    model, after a random pre-fill, from one distributed Gram matrix of all columns
+    (centred by sweeping the constant). A column is swept in; one whose remaining variance is
+    below ``tolerance`` of its own is set aside, as constant or as a combination of
+    those before it. Then the column whose removal lowers the AIC most is swept out
+    again, until none does: what a removal costs is read off the matrix, without a new fit.
+
+    Output, one row a target and column: (target_col, column, step: the removal's
+    number, null for kept columns and those set aside, status: kept, dropped, constant or collinear, coefficient
+    of kept columns, aic after the step, or of the final model)."""
+    spark = df.sparkSession
+    cols = list(dict.fromkeys([*targets, *candidates]))
+    filled = random_impute(df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols]), cols, id_col, seed=seed)
+    G = complete_gram(filled, cols)
+    n = G[0, 0]
+    centred = sweep(G, 0)[1:, 1:]
+    rows = []
+    for t in targets:
+        place = {c: j for j, c in enumerate(cols)}
+        A, ti, inside = centred.copy(), place[t], []
+        for c in candidates:
+            j = place[c]
+            if c == t:
+                continue
+            scale = G[j + 1, j + 1]
+            if centred[j, j] <= tolerance * max(scale, 1e-300):
+                rows.append((t, c, None, "constant", None, None))
+            elif A[j, j] <= tolerance * centred[j, j]:
+                rows.append((t, c, None, "collinear", None, None))
+            else:
+                A = sweep(A, j)
+                inside.append(c)
+
+        def aic(rss: float, p: int) -> float:
+            return float(n * math.log(max(rss, 1e-300) / n) + 2 * (p + 1))
+
+        now, step = aic(A[ti, ti], len(inside)), 0
+        while inside:
+            # A[j, t]^2 / -A[j, j] is what the residuals grow by without column j
+            least, c = min((A[ti, ti] - A[place[c], ti] ** 2 / A[place[c], place[c]], c) for c in inside)
+            if aic(least, len(inside) - 1) >= now:
+                break
+            A, step = sweep(A, place[c]), step + 1
+            inside.remove(c)
+            now = aic(A[ti, ti], len(inside))
+            rows.append((t, c, step, "dropped", None, now))
+        rows += [(t, c, None, "kept", float(A[place[c], ti]), now) for c in inside]
+    return spark.createDataFrame(rows, "target_col string, column string, step int, status string, coefficient double, aic double")

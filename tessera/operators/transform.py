@@ -104,9 +104,10 @@ def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], grid: Sequence[float] =
 
 
 def add_yeo_johnson(df: DataFrame, cols: Sequence[str], lambdas: dict[str, float] | None = None,
-                    prefix: str = "Tyj_", fit_on: DataFrame | None = None) -> DataFrame:
-    """``Tyj_<c>`` with lambdas fitted on ``fit_on`` (default ``df``)."""
-    lambdas = lambdas or fit_yeo_johnson(fit_on if fit_on is not None else df, cols)
+                    prefix: str = "Tyj_", fit_on: DataFrame | None = None, step: float | None = None) -> DataFrame:
+    """``Tyj_<c>`` with lambdas fitted on ``fit_on`` (default ``df``), on
+    the grid or, with ``step``, as finely as that."""
+    lambdas = lambdas or fit_yeo_johnson(fit_on if fit_on is not None else df, cols, step=step)
     return df.select("*", *[X.yeo_johnson(c, lambdas[c]).alias(f"{prefix}{c}") for c in cols])
 
 

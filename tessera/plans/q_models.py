@@ -3,6 +3,7 @@ output is determined by the input, facts about the output for learners."""
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
 from operator import and_
@@ -12,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import MODULUS, draw_index_sql, mix_sql
-from tessera.operators import assoc, chained, folds, metrics, models, select, transform
+from tessera.operators import assoc, chained, folds, impute, metrics, models, select, transform
 from tessera.operators.impute import column_salt
 from tessera.operators.ranking import row_index
 from tessera.plans import features
@@ -621,3 +622,39 @@ def i8_stepwise_predictors(spark, d):
     its mask (v50), after a random pre-fill, from one distributed Gram matrix."""
     return rounded(chained.stepwise_predictors(_claims_numeric(spark, d), _I_COLS, _I_ALL,
                                                predictors={c: ["v50"] for c in _I_COLS}), 8)
+
+
+_TRACE_TARGETS = ["v1", "v23", "v38"]
+
+
+@query("i8_stepwise_trace", "SELECT unnest(['v1', 'v23', 'v38']) AS target_col, CAST(8 AS BIGINT) AS candidates, CAST(1 AS BIGINT) AS constants, "
+                            "TRUE AS copy_is_set_aside, TRUE AS aic_falls, TRUE AS aic_is_that_of_the_rows")
+def i8_stepwise_trace(spark, d):
+    """I8 over all columns: each imputed column on the other numeric columns,
+    squares, the row number's digits, a copy of v50 and a constant. Facts by
+    target: every candidate is kept, dropped or set aside; the copy and the constant are set aside; the
+    AIC falls at every removal; the final AIC is that of the residuals that the coefficients leave in the rows."""
+    c = _claims_numeric(spark, d).withColumn("sq50", F.col("v50") * F.col("v50")).withColumn("copy50", 2 * F.col("v50") + 1) \
+        .withColumn("one", F.lit(1.0)).withColumn("digit", F.pmod("ID", F.lit(10)).cast("double")) \
+        .withColumn("hash", F.pmod(F.xxhash64("ID"), F.lit(1000)).cast("double"))
+    names = ["v1", "v23", "v38", "v50", "sq50", "copy50", "one", "digit", "hash"]
+    c = stage(c, "trace-in")
+    told = stage(chained.stepwise_trace(c, _TRACE_TARGETS, names), "trace")
+    filled = stage(impute.random_impute(c.select("ID", *[F.col(x).cast("double").alias(x) for x in names]), names, "ID", seed=22), "trace-filled")
+    rows = told.collect()  # one row a target and column
+    exprs = []
+    for t in _TRACE_TARGETS:
+        left = F.col(t) - sum((F.lit(r["coefficient"]) * F.col(r["column"]) for r in rows if r["target_col"] == t and r["status"] == "kept"), F.lit(0.0))
+        exprs += [F.var_pop(left).alias(f"s_{t}")]
+    s = filled.agg(F.count(F.lit(1)).alias("n"), *exprs).first()
+    again = F.element_at(F.create_map(*[x for t in _TRACE_TARGETS for x in (F.lit(t), F.lit(s["n"] * math.log(s[f"s_{t}"])))]), F.col("target_col"))
+    before = F.lag("aic").over(Window.partitionBy("target_col").orderBy("step"))
+    told = told.withColumn("falls", F.col("step").isNull() | before.isNull() | (F.col("aic") < before))
+    kept = F.count_if(F.col("status") == "kept")
+    aic = F.coalesce(F.max(F.when(F.col("status") == "kept", F.col("aic"))), F.min("aic"))
+    out = told.groupBy("target_col").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("status") == "constant").alias("constants"),
+        (F.count_if((F.col("column") == "copy50") & (F.col("status") == "collinear")) == 1).alias("copy_is_set_aside"),
+        F.every("falls").alias("aic_falls"), aic.alias("aic"), kept.alias("kept"))
+    same = F.abs(F.col("aic") - again - 2 * (F.col("kept") + 1)) < 1e-6 * F.abs(F.col("aic"))
+    return out.select("target_col", "candidates", "constants", "copy_is_set_aside", "aic_falls", same.alias("aic_is_that_of_the_rows"))

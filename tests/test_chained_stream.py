@@ -95,3 +95,52 @@ def test_norm_imputation_leaves_observed_cells(spark):
     got = {r["ID"]: r["a"] for r in filled.collect()}
     assert all(abs(got[i] - 2.0 * i) < 1e-6 for i in got)  # an exact line has no residual
     assert trace.count() == 2
+
+
+def test_elimination_by_sweeps_matches_refits(spark):
+    """Every step drops the column that a refit of all smaller models would drop."""
+    import math
+
+    import numpy as np
+    rng = np.random.default_rng(4)
+    n = 200
+    x = rng.normal(size=(n, 6))
+    x[:, 4] = x[:, 0] - 2 * x[:, 1]  # a combination
+    x[:, 5] = 3.0                     # a constant
+    y = 2 * x[:, 0] + 0.15 * x[:, 2] + rng.normal(size=n)
+    names = [f"x{j}" for j in range(6)]
+    df = spark.createDataFrame([(i, float(y[i]), *map(float, x[i])) for i in range(n)], "ID long, y double, " + ", ".join(f"{c} double" for c in names))
+    rows = chained.stepwise_trace(df, ["y"], names).collect()
+    status = {r["column"]: r["status"] for r in rows}
+    assert status["x4"] == "collinear" and status["x5"] == "constant" and status["x0"] == "kept"
+
+    def aic(cols):
+        a = np.column_stack([np.ones(n), *[x[:, j] for j in cols]])
+        rss = ((y - a @ np.linalg.lstsq(a, y, rcond=None)[0]) ** 2).sum()
+        return n * math.log(rss / n) + 2 * a.shape[1]
+
+    live, want = [0, 1, 2, 3], []
+    while live:
+        best, j = min((aic([k for k in live if k != j]), j) for j in live)
+        if best >= aic(live):
+            break
+        live.remove(j)
+        want.append((f"x{j}", best))
+    got = sorted((r["step"], r["column"], r["aic"]) for r in rows if r["status"] == "dropped")
+    assert [c for _, c, _ in got] == [c for c, _ in want]
+    assert all(abs(a - b) < 1e-6 for (_, _, a), (_, b) in zip(got, want))
+    kept = {r["column"]: r["coefficient"] for r in rows if r["status"] == "kept"}
+    a = np.column_stack([np.ones(n), *[x[:, int(c[1])] for c in sorted(kept)]])
+    assert np.allclose([kept[c] for c in sorted(kept)], np.linalg.lstsq(a, y, rcond=None)[0][1:], atol=1e-8)
+
+
+def test_sweep_is_undone_by_itself():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    b = rng.normal(size=(9, 4))
+    a = b.T @ b
+    assert np.allclose(chained.sweep(chained.sweep(a, 2), 2), a)
+    full = a
+    for k in range(4):
+        full = chained.sweep(full, k)
+    assert np.allclose(-full, np.linalg.inv(a))
