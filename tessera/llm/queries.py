@@ -113,20 +113,27 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@query("op7_warc", """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest FROM p),
-m AS (SELECT page_id, n, digest, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
+@query("op7_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CASE WHEN url IS NULL THEN '' ELSE split_part(
+        CASE WHEN regexp_matches(url, '(?s)://.') THEN url[strpos(url, '://') + 3:] ELSE url END, '#', 1) END AS u FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest, CASE WHEN u = '' THEN '' ELSE lower(array_to_string(list_reverse(
+        string_split(split_part(u, '/', 1), '.')), ',') || ')' || CASE WHEN strpos(u, '/') > 0
+        THEN u[strpos(u, '/'):] ELSE '' END) END AS urlkey,
+        strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
     CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to FROM m
+    CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to, urlkey, timestamp,
+    row_number() OVER (ORDER BY urlkey, timestamp, page_id) AS position FROM m
 """)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through their merged
-    index. The pages have no capture time: one second a page id stands in."""
+    index, with its place in the global order of captures. The pages have no
+    capture time: one second a page id stands in."""
     time = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
     index = warc.archive_and_index(read_table(spark, sf_dir, "pages"), time)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+                        "urlkey", "timestamp", "position")
 
 
 NEAR_DUP_SQL = r"""

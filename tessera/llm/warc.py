@@ -2,28 +2,33 @@
 
 Writing: each page becomes one record of a WARC/1.1 file. Of equal payloads of
 at least ``least_bytes`` the one with the largest id is stored, the others
-become ``revisit`` records that refer to it. Spark's text writer writes the
-files (a record is one row, the record separator is the line separator), so
-tasks can fail and be repeated, and any file system of Spark's will do. Each
-file is compressed as a whole.
+become ``revisit`` records that refer to it. A record is one gzip member, so a
+reader can seek to it by the offset and length of the index. Members are
+bundled to archives of bounded size; Spark's text writer writes each to a file
+of its own, so tasks can fail and be repeated, and any file system of Spark's
+will do.
 
-Reading: archives are parsed as streams; every stored payload is checked
+Reading: archives are parsed member by member; every stored payload is checked
 against its digest. The records of a file, sorted by url key and time, are a
 run of the index. Runs are cut at common key bounds by a range shuffle; in
 each range the k pieces of runs are merged with a loser tree, so that the
-ranges one after the other hold the capture histories in global order.
+ranges one after the other hold the capture histories in global order. A range
+holds about ``RANGE_ROWS`` index rows, whatever keys repeat: file and offset
+tell equal keys apart.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.session import ensure_checkpoint_dir, shuffle_partitions
@@ -35,6 +40,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BROADCAST_COPIES = 500_000
 #: Index rows of one merge range, about.
 RANGE_ROWS = 100_000
+#: An archive is closed when it holds this number of bytes; it is larger by one record at most.
+FILE_BYTES = 32 << 20
+#: A gzip member without content. It ends with a zero byte, as does every member of less than 16 MB.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 ENTRY = ("urlkey string, timestamp string, page_id long, record_type string, refers_to long, payload_bytes long, "
          "payload_digest string, url string, file string, offset long, length long")
 
@@ -81,35 +90,70 @@ def records(pages: DataFrame, time: Column, id_col: str = "page_id", url_col: st
     return rows.select(F.concat(head, F.lit(CRLF), block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, time: Column, records_per_file: int = 5000, **columns) -> None:
-    """Write archives of at most ``records_per_file`` records to ``path``."""
-    records(pages, time, **columns).write.option("lineSep", CRLF * 2).option("compression", "gzip") \
-        .option("maxRecordsPerFile", records_per_file).text(path)
+def _bundles(file_bytes: int):
+    def bundle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, size = [], 0
+
+        def closed() -> pa.RecordBatch:
+            if members[-1][-1]:
+                members.append(EMPTY_MEMBER)
+            # the line separator gives the last zero byte back
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], names=["value"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                members.append(gzip.compress(value.as_buffer().to_pybytes() + (CRLF * 2).encode(), 6, mtime=0))
+                size += len(members[-1])
+                if size >= file_bytes:
+                    yield closed()
+                    members, size = [], 0
+        if members:
+            yield closed()
+
+    return bundle
+
+
+def write(pages: DataFrame, path: str, time: Column, file_bytes: int = FILE_BYTES, **columns) -> None:
+    """Write archives of about ``file_bytes`` to ``path``: one gzip member a
+    record, at least one record a file. The files have the text writer's names."""
+    packed = records(pages, time, **columns).mapInArrow(_bundles(file_bytes), "value binary")
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0") \
+        .option("maxRecordsPerFile", 1).text(path)
 
 
 class _Stream:
-    """Bytes of a gzip archive, unpacked as they are asked for."""
+    """Bytes of the gzip members of an archive, unpacked as they are asked for.
+    ``at`` is the place in the archive where the member being read begins."""
 
     def __init__(self, packed: bytes):
-        self.unpack, self.rest = zlib.decompressobj(31), memoryview(packed)
-        self.ready, self.at = bytearray(), 0
+        self.packed, self.next, self.at = memoryview(packed), 0, 0
 
     def _more(self) -> bool:
-        if not len(self.rest):
+        if self.unpack.eof or self.next >= len(self.packed):
             return False
-        part, self.rest = self.rest[:1 << 16], self.rest[1 << 16:]
+        part = self.packed[self.next:self.next + (1 << 16)]
         self.ready += self.unpack.decompress(part)
+        self.next += len(part) - len(self.unpack.unused_data)
         return True
 
-    def until(self, mark: bytes) -> bytes | None:
-        """Bytes up to and with ``mark``; None at the end."""
+    def member(self) -> bool:
+        """Go to the next member that holds something; False at the end."""
+        while self.next < len(self.packed):
+            self.unpack, self.at, self.ready = zlib.decompressobj(31), self.next, bytearray()
+            while not self.ready and self._more():
+                pass
+            if self.ready:
+                return True
+            self.close()
+        return False
+
+    def until(self, mark: bytes) -> bytes:
+        """Bytes up to and with ``mark``."""
         seen = 0
         while (at := self.ready.find(mark, seen)) < 0:
             seen = max(0, len(self.ready) - len(mark) + 1)
             if not self._more():
-                if self.ready.strip():
-                    raise ValueError("the archive ends inside a record")
-                return None
+                raise ValueError("the archive ends inside a record")
         return self.take(at + len(mark))
 
     def take(self, n: int) -> bytes:
@@ -118,9 +162,18 @@ class _Stream:
                 raise ValueError("the archive ends inside a record")
         out = bytes(self.ready[:n])
         del self.ready[:n]
-        self.at += n
         return out
 
+    def close(self) -> int:
+        """Read to the end of the member; its packed length."""
+        while self._more():
+            pass
+        if not self.unpack.eof:
+            raise ValueError("the archive ends inside a record")
+        if self.ready:
+            raise ValueError("bytes are left in a member after its record")
+        return self.next - self.at
+
 
 def _fields(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8").split(CRLF)[1:]
@@ -141,22 +194,22 @@ def url_key(url: str | None) -> str:
 
 
 def parse(packed: bytes, file: str) -> Iterator[tuple]:
-    """Index entries (as in ``ENTRY``) of one archive, in file order. Raises if
+    """Index entries (as in ``ENTRY``) of one archive, in file order; ``offset``
+    and ``length`` are those of the record's gzip member in the file. Raises if
     a stored payload doesn't match its digest or length."""
     stream = _Stream(packed)
-    while (head := stream.until((CRLF * 2).encode())) is not None:
-        begin = stream.at - len(head)
-        f = _fields(head)
+    while stream.member():
+        f = _fields(stream.until((CRLF * 2).encode()))
         block = stream.take(int(f["content-length"]))
         if stream.take(4) != (CRLF * 2).encode():
-            raise ValueError(f"no record end at byte {stream.at} of {file}")
+            raise ValueError(f"no record end in the member at byte {stream.at} of {file}")
         http, _, payload = block.partition((CRLF * 2).encode())
         n, digest = int(_fields(http)["content-length"]), f["warc-payload-digest"].removeprefix("sha1:")
         if f["warc-type"] == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
-            raise ValueError(f"damaged payload at byte {begin} of {file}")
-        url = f.get("warc-target-uri")
+            raise ValueError(f"damaged payload in the member at byte {stream.at} of {file}")
+        url, length = f.get("warc-target-uri"), stream.close()
         yield (url_key(url), f["warc-date"], _id(f["warc-record-id"]), f["warc-type"], _id(f.get("warc-refers-to")),
-               n, digest, url, file, begin, stream.at - begin)
+               n, digest, url, file, stream.at, length)
 
 
 def loser_tree(runs: list[list]) -> Iterator:
@@ -194,9 +247,10 @@ def loser_tree(runs: list[list]) -> Iterator:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The merged index of all archives in ``path``: ``ENTRY`` with ``range``
-    and ``seq``; ordered by these two, captures stand in order of url key,
-    time and id (null first)."""
+    """The merged index of all archives in ``path``: ``ENTRY`` with ``range``,
+    ``seq`` (in the range, from 0) and ``position`` (in the whole index, from 1):
+    captures in order of url key, time and id (null first); of equal ones, in
+    order of file and offset."""
 
     def runs(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in ENTRY.split(", ")]
@@ -205,23 +259,29 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 own = sorted(parse(content, file), key=_order)
                 yield pd.DataFrame(own, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     entries = stage(archives.mapInPandas(runs, ENTRY), "warc-runs")
     ranges = max(shuffle_partitions(spark), -(-entries.count() // RANGE_ROWS))
-    cut = entries.repartitionByRange(ranges, "urlkey", "timestamp", "page_id") \
-        .sortWithinPartitions("file", "urlkey", "timestamp", "page_id")
+    cut = entries.repartitionByRange(ranges, "urlkey", "timestamp", "page_id", "file", "offset") \
+        .sortWithinPartitions("file", "urlkey", "timestamp", "page_id", "offset")
 
     def merge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)  # one range
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True).astype({"page_id": "Int64", "refers_to": "Int64"})
-        keys = [_order(r) for r in rows[["urlkey", "timestamp", "page_id"]].itertuples(index=False, name=None)]
+        keys = [(*_order(r), *r[3:]) for r in
+                rows[["urlkey", "timestamp", "page_id", "file", "offset"]].itertuples(index=False, name=None)]
         pieces = [[(keys[k], k) for k in at] for at in rows.groupby("file", sort=True).indices.values()]
         out = rows.iloc[[k for _, k in loser_tree(pieces)]]
         yield out.assign(range=TaskContext.get().partitionId(), seq=range(len(out)))
 
-    return cut.mapInPandas(merge, ENTRY + ", range int, seq long")
+    merged = stage(cut.mapInPandas(merge, ENTRY + ", range int, seq long"), "warc-index")
+    sizes = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return merged.join(F.broadcast(starts), "range") \
+        .select(*merged.columns, (F.col("start") + F.col("seq") + 1).alias("position"))
 
 
 def _order(entry: tuple) -> tuple:
