@@ -58,6 +58,16 @@ def std_normal(key: Column | str, salt: int = 0) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
+def hashed_normal(key: Column | str, salt: int = 0) -> Column:
+    """Box-Muller standard normal from two unrelated 53-bit hashes. The two
+    uniforms of ``std_normal`` (which SQL can repeat) differ by a constant, and
+    so do those of two salts; use this where draws of one row must be independent."""
+    key = F.col(key) if isinstance(key, str) else key
+    u1, u2 = ((F.shiftrightunsigned(F.xxhash64(key, F.lit(int(salt)), F.lit(j)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+              for j in (1, 2))
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)
+
+
 def mix_sql(key: str, salt: int = 0) -> str:
     """The same generator as SQL text (BIGINT arithmetic; operands non-negative)."""
     s = int(salt) % MODULUS

@@ -115,13 +115,13 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str], mirror: bool = True) -> Da
     return _mirror(out) if mirror else out
 
 
-def complete_gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Gram matrix of (1, columns shifted by their means) over the rows where
-    all columns are present: (p + 1) x (p + 1) numbers, from one partial matrix
-    a task. With an intercept the shift changes no residual."""
+def complete_gram(df: DataFrame, cols: Sequence[str], means: Sequence[float] | None = None) -> np.ndarray:
+    """Gram matrix of (1, columns shifted by their means, or by ``means``) over
+    the rows where all columns are present: (p + 1) x (p + 1) numbers, from one
+    partial matrix a task. With an intercept the shift changes no residual."""
     cols = list(cols)
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    means = _means(x, cols)
+    means = _means(x, cols) if means is None else np.asarray(means, dtype=float)
     p = len(cols) + 1
     a, b = np.triu_indices(p)
 
@@ -141,6 +141,114 @@ def complete_gram(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- C2, C3
+def _contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(col_a, col_b, la, lb, nij): counts of the level pairs that occur."""
+    used = sorted({c for pair in pairs for c in pair})
+    at = {c: j for j, c in enumerate(used)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, cells = _Codes(len(used)), [Counter() for _ in pairs]
+        for batch in batches:
+            own = [codes.of(j, batch.column(j)) for j in range(len(used))]
+            for cell, (a, b) in zip(cells, pairs):
+                x, y = own[at[a]], own[at[b]]
+                both = (x >= 0) & (y >= 0)
+                width = len(codes.levels[at[b]]) or 1
+                both, n = np.unique(x[both] * width + y[both], return_counts=True)
+                cell.update(dict(zip(zip((both // width).tolist(), (both % width).tolist()), n.tolist())))
+        names = [codes.names(j) for j in range(len(used))]
+        rows = [(a, b, names[at[a]][i], names[at[b]][j], n)
+                for cell, (a, b) in zip(cells, pairs) for (i, j), n in cell.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)],
+                                             names=["col_a", "col_b", "la", "lb", "nij"])
+
+    return df.select(*[F.col(c).cast("string").alias(c) for c in used]).mapInArrow(
+        count, "col_a string, col_b string, la string, lb string, nij long") \
+        .groupBy("col_a", "col_b", "la", "lb").agg(F.sum("nij").alias("nij"))
+
+
+def random_tables(rows: np.ndarray, cols: np.ndarray, replicates: int, rng: np.random.Generator) -> np.ndarray:
+    """sum n_ij^2 / (n_i n_j) of ``replicates`` random tables with the given
+    margins, cell by cell, each hypergeometric given those before it. For what
+    is left of a table with 10^9 rows or more the draw is normal, with the
+    hypergeometric mean and variance, cut to the possible counts."""
+    left = np.repeat(np.asarray(cols, dtype=np.int64)[None, :], replicates, axis=0)
+    out = np.zeros(replicates)
+    for n_i in rows:
+        need = np.full(replicates, n_i, dtype=np.int64)  # of this row, still to be placed
+        rest = left.sum(axis=1)                          # places in this column and those after it
+        for j in range(len(cols)):
+            good = left[:, j].copy()
+            rest = rest - good
+            if int(rest[0] + good[0]) < 1_000_000_000:
+                cell = rng.hypergeometric(good, rest, need)
+            else:
+                total = (good + rest).astype(float)
+                mean = need * (good / total)
+                var = mean * (rest / total) * ((total - need) / (total - 1))
+                cell = np.rint(rng.normal(mean, np.sqrt(var))).astype(np.int64)
+                cell = np.clip(cell, np.maximum(0, need - rest), np.minimum(need, good))
+            out += cell.astype(float) ** 2 / (float(n_i) * float(cols[j]))
+            left[:, j] -= cell
+            need = need - cell
+    return out
+
+
+def simulated_p_values(df: DataFrame, cols: Sequence[str], level_cap: int = 100, replicates: int = 1000,
+                       seed: int = 1, levels: DataFrame | None = None) -> DataFrame:
+    """C2 with its simulated p-value: for every categorical pair within the
+    level cap ``(col_a, col_b, n, v, least_expected, p_value)``, each pair once in
+    the order of ``cols``; p = (1 + tables at least as far from independence as
+    the observed one) / (1 + replicates) over random tables with the same
+    margins. ``v`` and ``p_value`` are null if a side has fewer than two levels
+    among the common rows; pairs without common rows are left out.
+
+    The rows are reduced to a table of at most cap x cap counts a pair; the
+    replicates are dealt over tasks in lots of 100, each with its own seed, so
+    a lost task draws the same again."""
+    spark = df.sparkSession
+    schema = "col_a string, col_b string, n long, v double, least_expected double, p_value double"
+    pairs = list(combinations(cols, 2))
+    lv = levels if levels is not None else level_counts(df, cols)
+    few = {r["column"] for r in lv.where(F.col("n_levels") <= level_cap).collect()}  # one row a column
+    ok = [(a, b) for a, b in pairs if a in few and b in few]
+    if not ok:
+        return spark.createDataFrame([], schema)
+    cells = stage(_contingency(df, ok), "p-cells")
+    key = ["col_a", "col_b"]
+
+    def margin(level: str, name: str) -> DataFrame:
+        return cells.groupBy(*key, level).agg(F.sum("nij").alias("m")).groupBy(*key).agg(
+            F.sort_array(F.collect_list("m")).alias(name))  # at most level_cap
+
+    ni = cells.groupBy(*key, "la").agg(F.sum("nij").alias("ni"))
+    nj = cells.groupBy(*key, "lb").agg(F.sum("nij").alias("nj"))
+    told = cells.join(ni, [*key, "la"]).join(nj, [*key, "lb"]).groupBy(*key).agg(
+        F.sum(F.col("nij") * F.col("nij") / (F.col("ni") * F.col("nj"))).alias("s"), F.sum("nij").alias("n"))
+    told = stage(told.join(margin("la", "r"), key).join(margin("lb", "c"), key), "p-margins")
+    lots = told.where((F.size("r") > 1) & (F.size("c") > 1)).withColumn(
+        "lot", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 100) - 1))))
+
+    def simulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                rng = np.random.default_rng([seed, r["lot"], *f"{r['col_a']}/{r['col_b']}".encode()])
+                drawn = random_tables(r["r"], r["c"], min(100, replicates - 100 * r["lot"]), rng)
+                out.append((r["col_a"], r["col_b"], int((drawn - 1 >= (r["s"] - 1) * (1 - 1e-9) - 1e-12).sum())))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[*key, "far"])
+
+    far = lots.repartition(F.col("lot"), *map(F.col, key)).mapInArrow(simulate, "col_a string, col_b string, far long") \
+        .groupBy(*key).agg(F.sum("far").alias("far"))
+    least = F.array_min("r") * F.array_min("c") / F.col("n")
+    k = F.least(F.size("r"), F.size("c"))
+    return told.join(far, key, "left").select(
+        *key, "n", F.when(k > 1, F.sqrt(F.greatest(F.col("s") - 1.0, F.lit(0.0)) / (k - 1))).alias("v"),
+        least.alias("least_expected"), ((F.col("far") + 1) / F.lit(replicates + 1)).alias("p_value"))
+
+
 def cramers_v_pairs(df: DataFrame, cols: Sequence[str], level_cap: int = 100,
                     mirror: bool = True, levels: DataFrame | None = None) -> DataFrame:
     """Cramer's V of every categorical pair over complete cases.
@@ -159,28 +267,7 @@ def cramers_v_pairs(df: DataFrame, cols: Sequence[str], level_cap: int = 100,
     skipped = [(a, b) for a, b in pairs if (a, b) not in set(ok)]
     parts = []
     if ok:
-        used = sorted({c for pair in ok for c in pair})
-        at = {c: j for j, c in enumerate(used)}
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codes, cells = _Codes(len(used)), [Counter() for _ in ok]
-            for batch in batches:
-                own = [codes.of(j, batch.column(j)) for j in range(len(used))]
-                for cell, (a, b) in zip(cells, ok):
-                    x, y = own[at[a]], own[at[b]]
-                    both = (x >= 0) & (y >= 0)
-                    both, n = np.unique(np.stack([x[both], y[both]]), axis=1, return_counts=True)
-                    cell.update(dict(zip(zip(*both.tolist()), n.tolist())))
-            names = [codes.names(j) for j in range(len(used))]
-            rows = [(a, b, names[at[a]][i], names[at[b]][j], n)
-                    for cell, (a, b) in zip(cells, ok) for (i, j), n in cell.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)],
-                                                 names=["col_a", "col_b", "la", "lb", "nij"])
-
-        cells = df.select(*[F.col(c).cast("string").alias(c) for c in used]).mapInArrow(
-            count, "col_a string, col_b string, la string, lb string, nij long") \
-            .groupBy("col_a", "col_b", "la", "lb").agg(F.sum("nij").alias("nij"))
+        cells = _contingency(df, ok)
         # staged (bounded by pairs x cap^2 rows): the three uses below read it,
         # not the source
         cells = stage(cells, "assoc-cells")

@@ -1,9 +1,13 @@
 """Chained-equation imputation, regression with noise, convergence
 trace and backward stepwise predictor choice.
 
-Each sweep visits the columns in order; per column a linear model
-(``LinearRegression``, distributed normal equations) is fitted on the rows
-where that column was observed, using the current values of its predictors.
+Each sweep visits the columns in order; per column a linear model is fitted on
+the rows where that column was observed, using the current values of its
+predictors: one distributed Gram matrix, solved by the sweep operator (columns
+that are constant or a combination of others get no weight). With
+``posterior=True`` the coefficients of the missing rows are drawn from their
+posterior, so that several imputations differ by what the data leave open
+about the model too.
 
 * ``method='pmm'`` (predictive mean matching): a missing cell takes the
   observed value of one of its ``k`` nearest donors in predicted value. The
@@ -23,25 +27,85 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import mix, std_normal
+from tessera.functions.hashing import hashed_normal, mix, std_normal
 from tessera.operators.assoc import complete_gram
 from tessera.operators.impute import column_salt, random_impute
 from tessera.operators.ranking import cumulative_rank
 from tessera.sources.staging import stage
 
 
-def _fit_predict(cur: DataFrame, target: str, preds: Sequence[str], miss: str):
-    vec = VectorAssembler(inputCols=list(preds), outputCol="_x", handleInvalid="keep").transform(cur)
-    lr = LinearRegression(featuresCol="_x", labelCol=target, predictionCol="_pred", solver="normal",
-                          regParam=0.0)
-    model = lr.fit(vec.where(~F.col(miss)))
-    out = model.transform(vec).drop("_x")
-    return out, float(model.summary.rootMeanSquaredError)
+def sweep(A: np.ndarray, k: int) -> np.ndarray:
+    """Sweep of a symmetric matrix on pivot ``k``; sweeping on it again gives
+    the matrix back."""
+    d = A[k, k]
+    out = A - np.outer(A[:, k], A[k, :]) / d
+    out[k, :] = A[k, :] / abs(d)
+    out[:, k] = out[k, :]
+    out[k, k] = -1.0 / d
+    return out
+
+
+def linear_fit(G: np.ndarray, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Least squares of the last column on the others, from the Gram matrix of
+    all, the constant first: (coefficients, inverse of X'X, residual sum of
+    squares, degrees of freedom). A column whose remaining variance is below
+    ``tolerance`` of its own has coefficient and variance 0."""
+    A, p, inside = G.copy(), len(G) - 1, []
+    for j in range(p):
+        if A[j, j] > tolerance * max(G[j, j], 1e-300):
+            A = sweep(A, j)
+            inside.append(j)
+    beta, inverse = np.zeros(p), np.zeros((p, p))
+    beta[inside] = A[inside, p]
+    inverse[np.ix_(inside, inside)] = -A[np.ix_(inside, inside)]
+    return beta, inverse, max(float(A[p, p]), 0.0), int(G[0, 0]) - len(inside)
+
+
+def posterior_draw(beta: np.ndarray, inverse: np.ndarray, rss: float, freedom: int,
+                   rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Coefficients and residual standard deviation drawn from their posterior
+    under a flat prior. Without a degree of freedom: the estimates, 0."""
+    if freedom < 1:
+        return beta, 0.0
+    sigma = math.sqrt(rss / rng.chisquare(freedom))
+    inside = np.flatnonzero(np.diag(inverse) > 0)
+    out = beta.copy()
+    if len(inside):
+        own = inverse[np.ix_(inside, inside)]
+        size = np.sqrt(np.diag(own))  # the factor of the correlations keeps its digits
+        root = np.linalg.cholesky(own / np.outer(size, size) + 1e-12 * np.eye(len(inside)))
+        out[inside] += sigma * size * (root @ rng.standard_normal(len(inside)))
+    return out, sigma
+
+
+def _fit_predict(cur: DataFrame, target: str, preds: Sequence[str], miss: str, means: dict[str, float],
+                 rng: np.random.Generator | None) -> tuple[DataFrame, float]:
+    """``cur`` with ``_pred``, and the residual's size. With ``rng`` the missing
+    rows are predicted by drawn coefficients."""
+    cols = [*preds, target]
+    beta, inverse, rss, freedom = linear_fit(complete_gram(cur.where(~F.col(miss)), cols, [means[c] for c in cols]))
+    n = freedom + int((np.diag(inverse) > 0).sum())
+    sigma = math.sqrt(rss / n) if n else 0.0
+
+    def value(b: np.ndarray):
+        # the target was shifted too
+        return sum((F.lit(float(w)) * (F.col(c) - F.lit(means[c])) for w, c in zip(b[1:], preds)),
+                   F.lit(float(b[0] + means[target])))
+
+    pred = value(beta)
+    if rng is not None:
+        drawn, sigma = posterior_draw(beta, inverse, rss, freedom, rng)
+        pred = F.when(F.col(miss), value(drawn)).otherwise(pred)
+    return cur.withColumn("_pred", pred), sigma
+
+
+def visit_order(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Columns by their number of nulls, fewest first, then by name."""
+    n = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{j}") for j, c in enumerate(cols)]).first()
+    return [c for _, c in sorted(zip(n, cols))]
 
 
 def pmm_donors(cur: DataFrame, target: str, id_col: str, miss: str, k: int = 5, salt: int = 0
@@ -84,11 +148,21 @@ def pmm_donors(cur: DataFrame, target: str, id_col: str, miss: str, k: int = 5,
 def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence[str],
                    id_col: str = "ID", m: int = 3, maxit: int = 3, seed: int = 37,
                    method: str = "pmm", predictors: dict[str, Sequence[str]] | None = None,
-                   k: int = 5) -> tuple[DataFrame, DataFrame]:
+                   k: int = 5, posterior: bool = False, order: str = "given",
+                   spread: bool = False) -> tuple[DataFrame, DataFrame]:
     """I5/I6 + I7. Returns (df with ``impute_cols`` filled by the mean over
-    ``m`` imputations, trace(imputation, sweep, column, mean_abs_change))."""
+    ``m`` imputations, trace(imputation, sweep, visit, column, mean_abs_change)).
+
+    ``posterior`` draws the coefficients for the missing rows; ``order``
+    visits columns as ``given`` or fewest nulls first (``monotone``);
+    ``spread`` adds ``sd_<column>``, the standard deviation of a filled cell
+    between the imputations (null for observed cells and for m = 1)."""
     spark = df.sparkSession
-    impute_cols = list(impute_cols)
+    if order not in ("given", "monotone"):
+        raise ValueError(order)
+    impute_cols = list(impute_cols) if order == "given" else visit_order(df, impute_cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{j}") for j, c in enumerate(all_cols)]).first()
+    means = {c: float(v) if v is not None else 0.0 for c, v in zip(all_cols, means)}
     base = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in all_cols],
                      *[F.col(c).isNull().alias(f"_m_{c}") for c in impute_cols])
     trace_rows = []
@@ -96,20 +170,22 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
     for i in range(1, m + 1):
         cur = random_impute(base, impute_cols, id_col, seed=seed * 100 + i)
         cur = stage(cur, "chained")
-        for sweep in range(1, maxit + 1):
-            for c in impute_cols:
+        for sweep_no in range(1, maxit + 1):
+            for visit, c in enumerate(impute_cols, 1):
                 preds = list(predictors[c]) if predictors and c in predictors else \
                     [x for x in all_cols if x != c]
                 miss = f"_m_{c}"
-                fitted, sigma = _fit_predict(cur, c, preds, miss)
-                salt = column_salt(seed * 1000 + i * 10 + sweep, c)
+                salt = column_salt(seed * 1000 + i * 10 + sweep_no, c)
+                rng = np.random.default_rng([salt, i, sweep_no]) if posterior else None
+                fitted, sigma = _fit_predict(cur, c, preds, miss, means, rng)
                 if method == "pmm":
                     draws = pmm_donors(fitted, c, id_col, miss, k, salt)
                     nxt = fitted.join(draws, id_col, "left")
                     newv = F.when(F.col(miss), F.col("_new")).otherwise(F.col(c))
                 elif method == "norm":
                     nxt = fitted
-                    newv = F.when(F.col(miss), F.col("_pred") + F.lit(sigma) * std_normal(F.col(id_col), salt)) \
+                    noise = hashed_normal if posterior else std_normal
+                    newv = F.when(F.col(miss), F.col("_pred") + F.lit(sigma) * noise(F.col(id_col), salt)) \
                         .otherwise(F.col(c))
                 else:
                     raise ValueError(method)
@@ -117,7 +193,7 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
                 # this table instead of running all columns before again
                 nxt = stage(nxt.withColumn("_old", F.col(c)).withColumn(c, newv).select(*base.columns, "_old"), "chained")
                 ch = nxt.where(F.col(miss)).agg(F.avg(F.abs(F.col(c) - F.col("_old"))).alias("d")).first()["d"]
-                trace_rows.append((i, sweep, c, float(ch) if ch is not None else None))
+                trace_rows.append((i, sweep_no, visit, c, float(ch) if ch is not None else None))
                 cur = nxt.select(*base.columns)
         items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"),
                                    F.col(f"_m_{c}").alias("was_null")) for c in impute_cols])
@@ -125,12 +201,13 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
     u = results[0]
     for r in results[1:]:
         u = u.unionByName(r)
-    wide = u.groupBy(id_col).pivot("column", impute_cols).agg(F.avg("value"))
-    wide = wide.select(id_col, *[F.col(c).alias(f"_ci_{c}") for c in impute_cols])
+    wide = u.groupBy(id_col).pivot("column", impute_cols).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    wide = wide.select(id_col, *[F.col(f"{c}_mean").alias(f"_ci_{c}") for c in impute_cols],
+                       *[F.col(f"{c}_sd").alias(f"sd_{c}") for c in impute_cols if spread])
     out = df.join(wide, id_col, "left").select(
         *[F.coalesce(F.col(c).cast("double"), F.col(f"_ci_{c}")).alias(c) if c in impute_cols else F.col(c)
-          for c in df.columns])
-    trace = spark.createDataFrame(trace_rows, "imputation int, sweep int, column string, mean_abs_change double")
+          for c in df.columns], *[f"sd_{c}" for c in impute_cols if spread])
+    trace = spark.createDataFrame(trace_rows, "imputation int, sweep int, visit int, column string, mean_abs_change double")
     return out, trace
 
 
@@ -181,17 +258,6 @@ def stepwise_predictors(df: DataFrame, targets: Sequence[str], all_cols: Sequenc
 
 
 # ---------------------------------------------------------------- elimination by the sweep operator
-def sweep(A: np.ndarray, k: int) -> np.ndarray:
-    """Sweep of a symmetric matrix on pivot ``k``; sweeping on it again gives
-    the matrix back."""
-    d = A[k, k]
-    out = A - np.outer(A[:, k], A[k, :]) / d
-    out[k, :] = A[k, :] / abs(d)
-    out[:, k] = out[k, :]
-    out[k, k] = -1.0 / d
-    return out
-
-
 def stepwise_trace(df: DataFrame, targets: Sequence[str], candidates: Sequence[str], id_col: str = "ID", seed: int = 22,
                    tolerance: float = 1e-9) -> DataFrame:
     """I8 over all columns: backward AIC elimination of each target's linear

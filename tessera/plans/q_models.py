@@ -536,7 +536,8 @@ def _claims_numeric(spark, d):
     "SELECT ID, " + ", ".join(f"TRUE AS {c}_kept, TRUE AS {c}_in_range" for c in _I_COLS) + " FROM claims"))
 def i5_chained_imputation(spark, d):
     """I5 with J7, J9, J11: chained equations with predictive mean matching (3
-    imputations averaged, 3 sweeps); predictors are each column's two best by
+    imputations averaged, 3 sweeps, coefficients drawn from their posterior,
+    columns with fewest nulls first); predictors are each column's two best by
     association, its own transforms excluded, laid over the all-pairs mask.
     Facts by row: observed cells are unchanged, filled ones lie between the
     least and the greatest observed value."""
@@ -546,7 +547,8 @@ def i5_chained_imputation(spark, d):
     predictors: dict[str, list[str]] = {}
     for r in mask.orderBy("target_col", "predictor_col").collect():  # pairs of columns
         predictors.setdefault(r["target_col"], []).append(r["predictor_col"])
-    filled, _ = chained.chained_impute(c, _I_COLS, _I_ALL, m=3, maxit=3, seed=37, predictors=predictors)
+    filled, _ = chained.chained_impute(c, _I_COLS, _I_ALL, m=3, maxit=3, seed=37, predictors=predictors,
+                                       posterior=True, order="monotone")
     ends = c.agg(*[f(x).alias(f"{n}_{x}") for x in _I_COLS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     j = filled.join(c.select("ID", *[F.col(x).alias(f"old_{x}") for x in _I_COLS]), "ID")
     return j.select("ID", *[e for x in _I_COLS for e in (
@@ -554,6 +556,38 @@ def i5_chained_imputation(spark, d):
         F.col(x).between(ends[f"lo_{x}"], ends[f"hi_{x}"]).alias(f"{x}_in_range"))])
 
 
+@query("i5_imputation_spread", with_claims(
+    "SELECT *, CAST(row_number() OVER (ORDER BY nulls, \"column\") AS INTEGER) AS visit FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls, TRUE AS cells_differ, "
+        f"TRUE AS mean_is_near FROM claims" for c in _I_COLS) + ") t"))
+def i5_imputation_spread(spark, d):
+    """What three imputations (regression on v50, coefficients and noise
+    drawn) leave open. By column: nulls, place in the visit order, and facts:
+    filled cells differ between imputations by about the noise (mean variance
+    from half to twice the observed column's residual one); the mean of the filled cells
+    is within six standard errors of the regression's."""
+    c = stage(_claims_numeric(spark, d), "i5-spread")
+    filled, trace = chained.chained_impute(c, _I_COLS, _I_ALL, m=3, maxit=1, seed=41, method="norm", posterior=True,
+                                           order="monotone", spread=True, predictors={x: ["v50"] for x in _I_COLS})
+    visits = {r["column"]: r["visit"] for r in trace.select("column", "visit").distinct().collect()}  # a row a column
+    parts = []
+    for x in _I_COLS:
+        y = F.col(x).cast("double")
+        fit = c.where(y.isNotNull()).agg(F.regr_slope(y, F.col("v50")).alias("b"), F.regr_intercept(y, F.col("v50")).alias("a"),
+                                         F.regr_syy(y, F.col("v50")).alias("s"), F.regr_r2(y, F.col("v50")).alias("r"), F.count(y).alias("n")).first()
+        var = fit["s"] * (1 - fit["r"]) / fit["n"]
+        gap = F.avg(F.col(x) - F.lit(fit["a"]) - F.lit(fit["b"]) * F.col("v50"))
+        k = F.count(F.lit(1))
+        parts.append(filled.join(c.where(y.isNull()).select("ID"), "ID", "left_semi").agg(
+            F.lit(x).alias("column"), k.alias("nulls"), F.lit(visits[x]).alias("visit"),
+            F.avg(F.col(f"sd_{x}") ** 2).between(var / 2, var * 2).alias("cells_differ"),
+            (F.abs(gap) < 6 * F.sqrt(F.lit(var) * (F.lit(1 / 3) / k + F.lit(1.0 / fit["n"])))).alias("mean_is_near")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _noise_sql(salt: int) -> str:
     u = [f"(CAST({mix_sql('ID', s)} % {MODULUS} AS DOUBLE) + 0.5) / {MODULUS}.0" for s in (salt, salt + 7919)]
     return f"sqrt(-2.0 * ln({u[0]})) * cos(6.283185307179586 * ({u[1]}))"
@@ -603,7 +637,7 @@ def i6_regression_noise_imputation(spark, d):
     f"FROM n_{c} WHERE missing" for c in _I_COLS for k in (1, 2, 3)), ", ".join(_noise_ctes())))
 def i7_convergence_trace(spark, d):
     """Mean absolute change of the imputed cells in each sweep of I6."""
-    return rounded(_noise_imputed(spark, d)[1], 8)
+    return rounded(_noise_imputed(spark, d)[1].drop("visit"), 8)
 
 
 def _stepwise_sql() -> str:

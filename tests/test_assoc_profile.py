@@ -159,3 +159,39 @@ def test_bracketed_quantiles_of_a_long_column(spark):
         for p in (0.0, 0.25, 0.5, 1.0):
             assert abs(got[c, p] - np.quantile(rows[c], p)) < 1e-12
     assert got["none", 0.5] is None
+
+
+def test_simulated_p_values_match_enumeration(spark):
+    """Small tables: every table with the same margins, weighted by its probability."""
+    from itertools import product
+    from math import comb
+
+    table = [[5, 1, 0], [1, 3, 2]]
+    rows, cols, n = [6, 6], [6, 4, 2], 12
+
+    def far(first):
+        return sum(x * x / (a * b) for line, a in ((first, 6), ([c - x for c, x in zip(cols, first)], 6))
+                   for x, b in zip(line, cols))
+
+    p = sum(np.prod([comb(c, x) for c, x in zip(cols, first)]) for first in product(*[range(c + 1) for c in cols])
+            if sum(first) == 6 and far(first) >= far(table[0]) - 1e-9) / comb(n, 6)
+    data = [(f"r{i}", f"c{j}", "one", None) for i, line in enumerate(table) for j, x in enumerate(line) for _ in range(x)]
+    df = spark.createDataFrame(data, "a string, b string, k string, gone string")
+    got = {(r["col_a"], r["col_b"]): r for r in assoc.simulated_p_values(df, ["a", "b", "k", "gone"], replicates=5000).collect()}
+    assert set(got) == {("a", "b"), ("a", "k"), ("b", "k")}
+    r = got["a", "b"]
+    assert abs(r["p_value"] - p) < 0.035 and r["n"] == 12 and abs(r["least_expected"] - 1.0) < 1e-12
+    assert got["a", "k"]["p_value"] is None and got["a", "k"]["v"] is None
+    same = assoc.simulated_p_values(df.repartition(3), ["a", "b"], replicates=5000).collect()[0]
+    assert same["p_value"] == r["p_value"]
+    v = {(x["col_a"], x["col_b"]): x["stat"] for x in assoc.cramers_v_pairs(df, ["a", "b"]).collect()}
+    assert abs(v["a", "b"] - r["v"]) < 1e-12
+    assert assoc.simulated_p_values(df, ["a", "b"], level_cap=1).collect() == []
+
+
+def test_random_tables_keep_margins_of_any_size():
+    rng = np.random.default_rng(3)
+    small = assoc.random_tables(np.array([30, 20]), np.array([25, 15, 10]), 4000, rng)
+    assert abs(50 * (small.mean() - 1) - 50 / 49 * 2) < 0.12  # the exact mean of chi-square: n (r-1)(c-1) / (n-1)
+    large = assoc.random_tables(np.array([3 * 10 ** 9, 10 ** 9]), np.array([2 * 10 ** 9, 10 ** 9, 10 ** 9]), 4000, rng)
+    assert abs(4e9 * (large.mean() - 1) - 2) < 0.15

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import MODULUS, MULT_HI, MULT_LO, HIGH_FOLD
@@ -144,3 +145,39 @@ def test_sweep_is_undone_by_itself():
     for k in range(4):
         full = chained.sweep(full, k)
     assert np.allclose(-full, np.linalg.inv(a))
+
+
+def test_posterior_draws_have_the_posterior():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 2))
+    y = 3 + x @ [2.0, -1.0] + rng.normal(size=80)
+    rows = np.column_stack([np.ones(80), x, x[:, 0] * 2, y])  # the third predictor repeats the first
+    beta, inverse, rss, freedom = chained.linear_fit(rows.T @ rows)
+    want, left, _, _ = np.linalg.lstsq(rows[:, :3], y, rcond=None)
+    assert np.allclose(beta, [*want, 0]) and np.isclose(rss, left[0]) and freedom == 77
+    draws = np.array([chained.posterior_draw(beta, inverse, rss, freedom, np.random.default_rng(k))[0] for k in range(6000)])
+    assert (draws[:, 3] == 0).all() and np.allclose(draws[:, :3].mean(axis=0), want, atol=0.02)
+    cov = np.linalg.inv(rows[:, :3].T @ rows[:, :3]) * rss / (freedom - 2)
+    assert np.allclose(np.cov(draws[:, :3].T), cov, rtol=0.15, atol=5e-4)
+    assert chained.posterior_draw(beta, inverse, rss, 0, rng)[1] == 0.0
+
+
+def test_posterior_imputations_differ_and_follow_the_order(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(1, 401):
+        a = rnd.gauss(0, 1)
+        rows.append((i, None if rnd.random() < 0.4 else 2 * a + 10 + rnd.gauss(0, 0.5), None if rnd.random() < 0.1 else a, a))
+    df = spark.createDataFrame(rows, "ID long, y double, z double, x double")
+    args = dict(m=3, maxit=1, seed=2, method="norm", order="monotone", spread=True, predictors={"y": ["x"], "z": ["x"]})
+    out, trace = chained.chained_impute(df, ["y", "z"], ["y", "z", "x"], posterior=True, **args)
+    again = chained.chained_impute(df.repartition(5), ["y", "z"], ["y", "z", "x"], posterior=True, **args)[0]
+    got, other = ({r["ID"]: r for r in t.collect()} for t in (out, again))
+    assert {(r["visit"], r["column"]) for r in trace.collect()} == {(1, "z"), (2, "y")}
+    assert [t.columns for t in (out,)] == [["ID", "y", "z", "x", "sd_z", "sd_y"]]
+    gone = [i for i, y, _, _ in rows if y is None]
+    assert all((got[i]["sd_y"] is None) == (y is not None) for i, y, _, _ in rows)
+    assert 0.15 < sum(got[i]["sd_y"] ** 2 for i in gone) / len(gone) < 0.4  # the noise's variance is 0.25
+    assert abs(sum(got[i]["y"] - 10 - 2 * got[i]["x"] for i in gone) / len(gone)) < 0.15
+    assert all(abs(got[i]["z"] - got[i]["x"]) < 1e-6 for i in got)
+    assert all(abs(got[i]["y"] - other[i]["y"]) < 1e-6 for i in got)
