@@ -6,6 +6,8 @@ frequency lies in a band form the lexicon. A fingerprint has one part for each
 of several random subsets of the lexicon: the hash of the text's distinct
 terms in that subset, in sorted order. The subsets get smaller by halves, so
 an edit changes the parts of large subsets first and likeness falls gradually.
+A subset is what a draw of random numbers for the terms leaves below its share;
+several subsets of one draw are nested and cost little more than the first.
 
 The upper end of the band bounds the lexicon whatever the corpus: of terms in
 at least one of ``rarest`` documents there are at most ``rarest`` times the
@@ -18,6 +20,9 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +30,13 @@ from tessera.session import shuffle_partitions
 from tessera.sources.staging import stage
 
 NOT_TERM = r"[^\p{L}\p{N}]+"
-#: Shares of the lexicon in the random subsets; one part of the fingerprint each.
-SHARES = [1 / 2 ** (1 + k // 2) for k in range(16)]
+#: For each draw, the shares of the lexicon in its nested subsets (falling); a part of the fingerprint each.
+SUBSETS = [(1 / 2 ** (1 + k // 2),) for k in range(16)]
 EMPTY = "-"
+#: What Spark's xxhash64 gives for no terms: its seed.
+NO_TERMS = 42
+#: Bytes of text in a part of the table, about.
+PART_BYTES = 64 << 20
 
 
 def terms(text: Column) -> Column:
@@ -45,17 +54,21 @@ def lexicon(term_lists: DataFrame, documents: int, commonest: float = 10, rarest
     return counts.where((F.col("df") * commonest <= documents) & (F.col("df") * rarest >= documents)).select("term")
 
 
-def parts(held: Column) -> Column:
-    """The parts of a fingerprint: eight hex digits for each lexicon subset
+def parts(held: Column, subsets: Sequence[Sequence[float]] = SUBSETS) -> Column:
+    """The parts of a fingerprint: sixteen hex digits for each lexicon subset
     that holds some of the terms, ``-`` for the others. ``held`` must be a
     plain column."""
 
-    def part(k: int, share: float) -> Column:
-        own = F.filter(held, lambda t: F.pmod(F.xxhash64(t, F.lit(k)), F.lit(1 << 32)) < int(share * (1 << 32)))
-        return F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(F.lower(F.substring(
-            F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 9, 8)))
+    def below(terms: Column, draw: Column, limit: Column) -> Column:
+        return F.filter(terms, lambda t: F.pmod(F.xxhash64(t, draw), F.lit(1 << 32)) < limit)
 
-    return F.array(*[part(k, share) for k, share in enumerate(SHARES)])
+    limits = [[F.lit(int(share * (1 << 32))) for share in shares] for shares in subsets]
+    own = F.array(*[F.struct(F.lit(k).alias("draw"), F.array(*own).alias("limits"), below(held, F.lit(k), own[0]).alias("own"))
+                    for k, own in enumerate(limits)])
+    hashes = F.flatten(F.transform(own, lambda d: F.transform(
+        d["limits"], lambda limit: F.xxhash64(below(d["own"], d["draw"], limit)))))
+    return F.transform(hashes, lambda h: F.when(h == NO_TERMS, F.lit(EMPTY)).otherwise(
+        F.lower(F.lpad(F.hex(h), 16, "0"))))
 
 
 def fingerprint(part_list: Column, held: Column, all_hash: Column) -> Column:
@@ -76,19 +89,30 @@ def likeness(a: Column, b: Column) -> Column:
         .otherwise(same / some)
 
 
-def deal_in_order(rows: DataFrame, order_col: str) -> DataFrame:
-    """Rows dealt into ``_part``, ranges of ``order_col`` of about equal size
-    (null in one of its own). The rows with the greatest value of a range are
+def _cuts_below(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``: first among every
+    w-th cut, then among the w - 1 after it (w their square root)."""
+    if not cuts:
+        return F.lit(0)
+    w = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[k:k + w] for k in range(0, len(cuts), w)]
+    firsts = F.array(*[F.lit(b[0]) for b in blocks])
+    inner = F.array(*[F.array(*map(F.lit, b)) for b in blocks])
+    return F.aggregate(F.array(F.size(F.filter(firsts, lambda c: c <= value))), F.lit(0), lambda _, k: F.when(
+        k == 0, F.lit(0)).otherwise((k - 1) * w + F.size(F.filter(F.get(inner, k - 1), lambda c: c <= value))))
+
+
+def deal_in_order(rows: DataFrame, order_col: str, parts_wanted: int) -> DataFrame:
+    """Rows dealt into ``_part``, about ``parts_wanted`` ranges of ``order_col``
+    of about equal size (null in one of its own). The rows with the greatest value of a range are
     also sent to the range after it in descending order (from the lowest back
     to the highest) with ``_copy`` true, so that there each row finds the next
     one in descending order."""
-    n = 2 * shuffle_partitions(rows.sparkSession)
+    n = parts_wanted
     ids = rows.select(order_col)
     cuts = ids.agg(F.percentile_approx(order_col, [k / n for k in range(1, n)], 10 * n).alias("cuts")).first()["cuts"]
     cuts = sorted(set(cuts or []))  # fewer than n
-    bounds = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>")
-    part = F.when(F.col(order_col).isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter(bounds, lambda c: c <= F.col(order_col))))
+    part = F.when(F.col(order_col).isNull(), F.lit(-1)).otherwise(_cuts_below(cuts, F.col(order_col)))
     tops = {r["part"]: r["top"] for r in  # one row a range
             ids.select(order_col, part.alias("part")).groupBy("part").agg(F.max(order_col).alias("top")).collect()}
     ring = sorted(tops)
@@ -108,7 +132,7 @@ MARK = 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", commonest: float = 10,
-                 rarest: float = 1000) -> DataFrame:
+                 rarest: float = 1000, subsets: Sequence[Sequence[float]] = SUBSETS) -> DataFrame:
     """For every row of ``docs`` its fingerprint and that of its edited text:
     the last third of its characters replaced by the first ones of the next
     document in descending id order (after the last: the first).
@@ -117,15 +141,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near_edited, near_next``. A null text counts as empty. Equal texts have
     equal fingerprints; texts without lexicon terms are alike only if their
     term sets are equal. Rows with one id are ordered by text, descending;
-    null ids come last. Other columns are not read. Ids are numbers.
+    null ids come last. Other columns are not read. Ids are numbers. More and
+    smaller ``subsets`` (by draw, falling) grade the likeness more finely; texts
+    that share some terms are then a little alike.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = lexicon(base.select(terms(F.col("text")).alias("terms")), base.count(), commonest, rarest)
+    size = base.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    found = lexicon(base.select(terms(F.col("text")).alias("terms")), size["rows"], commonest, rarest)
+    wanted = max(2 * shuffle_partitions(docs.sparkSession), -(-(size["bytes"] or 0) // PART_BYTES))
     found = stage(found.union(found.sparkSession.range(1).select(F.lit(MARK).cast("long"))).distinct(), "lexicon")
     lookup = F.broadcast(found) if found.count() <= BROADCAST_TERMS else found
 
     order = Window.partitionBy("_part").orderBy("_copy", F.desc_nulls_last("id"), F.desc_nulls_last("text"))
-    rows = deal_in_order(base, "id").withColumn("_n", F.row_number().over(order)) \
+    rows = deal_in_order(base, "id", wanted).withColumn("_n", F.row_number().over(order)) \
         .withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
     third = F.floor(F.length("text") / 3).cast("int")
     rows = rows.select(
@@ -147,7 +175,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         *[F.first(c).alias(c) for c in carried],
         F.sort_array(F.collect_list(F.when(real & F.col("own"), F.col("term")))).alias("own"),
         F.sort_array(F.collect_list(F.when(real & ~F.col("own"), F.col("term")))).alias("edited"))
-    printed = gathered.withColumn("own_parts", parts(F.col("own"))).withColumn("edited_parts", parts(F.col("edited"))) \
+    printed = gathered.withColumn("own_parts", parts(F.col("own"), subsets)).withColumn("edited_parts", parts(F.col("edited"), subsets)) \
         .withColumn("fingerprint", fingerprint(F.col("own_parts"), F.col("own"), F.col("own_hash"))) \
         .withColumn("edited_fingerprint", fingerprint(F.col("edited_parts"), F.col("edited"), F.col("edited_hash")))
     following = F.lead("fingerprint").over(Window.partitionBy("_part").orderBy("_n"))

@@ -6,7 +6,7 @@ from collections import Counter
 
 import xxhash
 
-from tessera.llm import imatch
+from tessera.llm import imatch, queries
 
 
 def signed(x):
@@ -28,7 +28,7 @@ def term_set(text):
     return {xx(w.encode()) for w in re.split(r"[^a-zà-ÿ0-9]+", text.lower())}
 
 
-def brute(rows, commonest, rarest):
+def brute(rows, commonest, rarest, subsets=imatch.SUBSETS):
     rows = [(i, t or "") for i, t in rows]
     df = Counter(t for _, x in rows for t in term_set(x))
     n = len(rows)
@@ -40,9 +40,10 @@ def brute(rows, commonest, rarest):
         if not held:
             return "x%016x" % (chain(all_terms) % (1 << 64))
         out = []
-        for k, share in enumerate(imatch.SHARES):
-            own = [t for t in held if xx(struct.pack("<i", k), chain([t])) % (1 << 32) < int(share * (1 << 32))]
-            out.append("%08x" % (chain(own) % (1 << 32)) if own else "-")
+        for k, shares in enumerate(subsets):
+            for share in shares:
+                own = [t for t in held if xx(struct.pack("<i", k), chain([t])) % (1 << 32) < int(share * (1 << 32))]
+                out.append("%016x" % (chain(own) % (1 << 64)) if own else "-")
         return ".".join(out)
 
     def alike(a, b):
@@ -77,6 +78,8 @@ def test_matches_brute_force(spark):
     rows += [(5, None), (6, ""), (7, " . "), (8, "zzz yyy"), (None, text()), (None, text()), (9, "é😀 " * 5000)]
     rows += [rows[0]] * 40 + [(rows[1][0], text())]
     assert run(spark, rows, commonest=4, rarest=20) == brute(rows, 4, 20)
+    fine = dict(subsets=queries.IMATCH_SUBSETS)
+    assert run(spark, rows, commonest=4, rarest=20, **fine) == brute(rows, 4, 20, **fine)
 
 
 def test_one_row_and_empty_table(spark):
@@ -100,3 +103,18 @@ def test_no_python_in_the_plan(spark):
     plan = imatch.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert plan.count("Exchange hashpartitioning") == 1  # the texts move once
+
+
+def test_a_replaced_third_is_told_from_another_text(spark, sf):
+    got = [r for r in queries.op3_imatch(spark, sf).collect() if r["n_chars"] >= 300]
+    edited, other = [r["near_edited"] for r in got], [r["near_next"] for r in got]
+    wins = sum((a > b) + (a == b) / 2 for a in edited for b in other) / (len(got) ** 2)
+    assert wins >= 0.95
+
+
+def test_cut_lookup_counts_cuts(spark):
+    values = [(v,) for v in range(-1, 60)]
+    df = spark.createDataFrame(values, "v long")
+    for cuts in ([], [5], [1, 4], [0, 3, 9, 10, 11, 40, 41], list(range(3, 53, 2))):
+        got = df.select("v", imatch._cuts_below(cuts, df["v"]).alias("k")).collect()
+        assert all(r["k"] == sum(c <= r["v"] for c in cuts) for r in got)
