@@ -122,3 +122,16 @@ def test_hash_of_64_bit_keys_is_exact(spark):
     for k, v in zip(keys, got):
         x = (k % MODULUS + (k // MODULUS) % MODULUS * HIGH_FOLD + 3) % MODULUS
         assert v == (x * MULT_HI % MODULUS) * 2147483648 + x * MULT_LO % MODULUS
+
+
+def test_fdr_of_a_fold_without_predicted_positives(spark, sf, monkeypatch):
+    import math
+
+    from tessera.operators import metrics
+    from tessera.plans import q_eval
+    df = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.8), (2, 0, 0.1), (2, 1, 0.5)], "fold int, target int, prob double")
+    out = {r["fold"]: (r["acc"], r["fdr"]) for r in metrics.accuracy_fdr(df, group_cols=["fold"]).collect()}
+    assert out == {1: (0.5, 0.5), 2: (0.5, None)}
+    monkeypatch.setattr(q_eval, "_scored", lambda *a: df)
+    rate = {r["fold"]: r["fdr"] for r in q_eval.v3_accuracy_fdr(spark, sf).collect()}
+    assert rate[1] == 0.5 and math.isnan(rate[2])  # 0 / 0, as in the SQL
