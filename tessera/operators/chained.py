@@ -11,31 +11,39 @@ about the model too.
 
 * ``method='pmm'`` (predictive mean matching): a missing cell takes the
   observed value of one of its ``k`` nearest donors in predicted value. The
-  search is exact and bounded: rows are ranked by prediction (distributed
-  ranking) and a missing row meets only the k observed rows before and the
+  search is exact and bounded: rows are dealt into ranges of predictions, and a
+  missing row meets only the k observed rows before and the
   k after it, which provably contain its k nearest donors.
 * ``method='norm'``: prediction plus Gaussian noise with the fit's residual
   standard deviation (hash-seeded Box-Muller, reproducible).
 
-The frame is staged as Parquet after every column, cutting the lineage of the
-iteration: the scans of a sweep grow linearly with its columns. ``m`` imputations are averaged per cell.
+After every column the rows that miss it are staged as Parquet, cutting the lineage of the
+iteration; all others stay where they are. The current table is the complete rows, which the imputations share, and each
+other row as the latest visit left it. ``m`` imputations are averaged per cell.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.hashing import hashed_normal, mix, std_normal
 from tessera.operators.assoc import complete_gram
-from tessera.operators.impute import column_salt, random_impute
-from tessera.operators.ranking import cumulative_rank
+from tessera.operators.impute import column_salt, random_impute, random_imputes
+from tessera.session import shuffle_partitions
 from tessera.sources.staging import stage
 
+#: A range of predictions holds about so many rows at most; the map side sorts and packs so many at a time.
+RANGE_ROWS, DEALT_ROWS = 262_144, 524_288
+
 
 def sweep(A: np.ndarray, k: int) -> np.ndarray:
     """Sweep of a symmetric matrix on pivot ``k``; sweeping on it again gives
@@ -108,41 +116,120 @@ def visit_order(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for _, c in sorted(zip(n, cols))]
 
 
-def pmm_donors(cur: DataFrame, target: str, id_col: str, miss: str, k: int = 5, salt: int = 0
-               ) -> DataFrame:
-    """(id, value) drawn for every missing row of ``target`` from its k
-    nearest observed rows in ``_pred``.
+def _sort_keys(pred: pa.ChunkedArray, ids: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys for ``lexsort`` that order rows by (prediction, id), nulls first."""
+    ids = ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
+    return ids, pred.fill_null(0.0).to_numpy(), pred.is_valid().to_numpy()
+
+
+def _range_ends(cur: DataFrame, id_col: str, rows: int, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort keys of the rows at which a new range of (prediction, id) begins, from about 128 hashed rows
+    a range; they decide which task sees a row, not what it finds."""
+    unit = 1 << 30
+    few = cur.where(F.pmod(F.xxhash64("_pred", id_col), F.lit(unit)) < int(unit * min(1.0, 128 * ranges / max(rows, 1))))
+    keys = _sort_keys(*few.select("_pred", id_col).toArrow().columns)
+    order = np.lexsort(keys)
+    at = order[np.arange(1, ranges) * len(order) // ranges] if len(order) else order
+    return tuple(key[at] for key in keys)
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(column: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(v.as_buffer()).read_all() for v in column]).combine_chunks()
+
+
+def _nearest(donors: pa.Table, missing: pa.Table, id_col: str, k: int) -> np.ndarray:
+    """For each missing row the place of its drawn donor, -1 without one."""
+    d, m = (_sort_keys(t["_pred"], t[id_col]) for t in (donors, missing))
+    n = len(d[0])
+    order = np.lexsort((np.repeat([1, 0], [n, len(m[0])]), *(np.concatenate(x) for x in zip(d, m))))
+    is_donor = order < n
+    place, row = order[is_donor], order[~is_donor] - n  # in order of (prediction, id); a missing row before its equals
+    ids, pred, there = (key[place] for key in d)
+    draw = missing["_draw"].fill_null(-1).to_numpy()
+    out, step = np.full(len(row), -1), np.arange(-k, k)
+    closeness = np.where(step < 0, -step, step + 1)
+    before = np.cumsum(is_donor)[~is_donor]
+    for at in range(0, len(row) if n else 0, 32768):
+        own = row[at:at + 32768]
+        cand = before[at:at + 32768, None] + step
+        outside, cand = (cand < 0) | (cand >= n), cand.clip(0, n - 1)
+        known = there[cand] & m[2][own, None]
+        gap = np.where(known, np.abs(pred[cand] - m[1][own, None]), 0.0)
+        near = np.lexsort((ids[cand], np.broadcast_to(closeness, cand.shape), gap, known, outside), axis=-1)
+        pick = draw[own] % np.minimum((~outside).sum(axis=1), k)
+        found = place[cand[np.arange(len(own)), near[np.arange(len(own)), pick]]]
+        out[own] = np.where(draw[own] >= 0, found, -1)
+    return out
 
-    Observed and missing rows are ranked together by (prediction, id) with
-    the distributed ranking helper; a missing row with b observed rows before
-    it only needs the observed ranks b-k .. b+k-1: in one dimension the k
+
+def pmm_fill(cur: DataFrame, target: str, id_col: str, miss: str, k: int = 5, salt: int = 0, rows: int | None = None) -> DataFrame:
+    """The rows of ``cur`` that miss ``target``, with ``_new``: the value drawn from
+    the k nearest observed rows in ``_pred`` (null without any, or without an id).
+
+    A missing row with b observed rows before it by (prediction, id) only needs the
+    observed rows of ranks b-k .. b+k-1: in one dimension the k
     nearest points (distance ties broken by closeness in that order, then id)
     are always among the k predecessors and k successors, since every row
-    further out is beaten by the k rows in between. So each missing row
-    meets exactly 2k candidates through an equi-join on the donor rank (no
-    data-dependent candidate lists)."""
-    obs = cur.where(~F.col(miss)).select(id_col, "_pred", F.col(target).alias("_val"),
-                                          F.lit(1).alias("_is_obs"))
-    mis = cur.where(F.col(miss)).select(id_col, "_pred", F.lit(None).cast("double").alias("_val"),
-                                         F.lit(0).alias("_is_obs"))
-    r = cumulative_rank(obs.unionByName(mis), [], ["_pred", id_col], weight_col="_is_obs",
-                        lo_col="_before", hi_col="_upto")
-    m_obs = r.where(F.col("_is_obs") == 1).agg(F.count(F.lit(1))).first()[0]
-    o = r.where(F.col("_is_obs") == 1).select(
-        F.col(id_col).alias("_oid"), F.col("_pred").alias("_opred"), "_val", F.col("_before").alias("_r"))
-    m = (r.where(F.col("_is_obs") == 0)
-         .select(id_col, "_pred", "_before",
-                 F.explode(F.sequence(F.greatest(F.col("_before") - k, F.lit(0)),
-                                      F.least(F.col("_before") + k - 1, F.lit(max(m_obs - 1, 0))))).alias("_r"))
-         .where(F.lit(m_obs) > 0))
-    cand = m.join(o, "_r")
-    closeness = F.when(F.col("_r") < F.col("_before"), F.col("_before") - F.col("_r")) \
-        .otherwise(F.col("_r") - F.col("_before") + 1)
-    w = Window.partitionBy(id_col).orderBy(F.abs(F.col("_pred") - F.col("_opred")), closeness, F.col("_oid"))
-    near = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    near = near.withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(id_col)))
-    pick = F.pmod(mix(F.col(id_col), salt), F.col("_cnt")) + 1
-    return near.where(F.col("_rn") == pick).select(id_col, F.col("_val").alias("_new"))
+    further out is beaten by the k rows in between.
+
+    Rows are dealt once, into ranges of (prediction, id). The map side sorts some hundred
+    thousand rows at a time and sends each range its own rows and its last k observed rows before and
+    first k after the range; the k nearest of all beyond an end are among these. Observed rows travel as (prediction,
+    id, value), packed; missing ones whole, so that nothing is joined back. ``rows``: their number, if it is known."""
+    rows = cur.count() if rows is None else rows
+    ranges = max(1, -(-rows // RANGE_ROWS), min(shuffle_partitions(cur.sparkSession), -(-rows // (RANGE_ROWS // 4))))
+    ends = _range_ends(cur, id_col, rows, ranges)
+    sent = cur.where(F.col(miss).isNotNull()).withColumn("_pred", F.col("_pred").cast("double")) \
+        .withColumn("_draw", F.pmod(mix(F.col(id_col), salt), F.lit(math.lcm(*range(1, k + 1)))).cast("int"))
+    kept = [f for f in cur.schema.fields if f.name != "_pred"]
+
+    def dealt(table: pa.Table) -> pa.RecordBatch:
+        keys, n = _sort_keys(table["_pred"], table[id_col]), len(ends[0])
+        order = np.lexsort((np.repeat([0, 1], [n, len(table)]), *(np.concatenate(x) for x in zip(ends, keys))))
+        of = np.cumsum(order < n)[order >= n]
+        order = order[order >= n] - n
+        gone = table[miss].to_numpy()[order]
+        donors = table.select(["_pred", id_col, target]).take(order[~gone])
+        missing = table.take(order[gone])
+        d, m = (np.searchsorted(x, np.arange(n + 2)) for x in (of[~gone], of[gone]))
+        lo, hi = np.maximum(d[:-1] - k, 0), np.minimum(d[1:] + k, len(donors))
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.arange(n + 1), pa.int32()), pa.array([_packed(donors.slice(a, b - a)) for a, b in zip(lo, hi)], pa.binary()),
+            pa.array([_packed(missing.slice(a, b - a)) for a, b in zip(m[:-1], m[1:])], pa.binary())], names=["range", "donors", "missing"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= DEALT_ROWS:
+                yield dealt(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield dealt(pa.Table.from_batches(held))
+
+    def match(part: pa.Table) -> pa.Table:
+        donors, missing = _unpacked(part["donors"]), _unpacked(part["missing"])
+        at = _nearest(donors, missing, id_col, k)
+        value = donors[target].cast(pa.float64()).combine_chunks().take(pa.array(at, mask=at < 0))
+        return missing.select([f.name for f in kept]).append_column("_new", value)
+
+    out = T.StructType([*kept, T.StructField("_new", T.DoubleType())])
+    return sent.mapInArrow(deal, "range int, donors binary, missing binary").groupBy("range").applyInArrow(match, out)
+
+
+def pmm_donors(cur: DataFrame, target: str, id_col: str, miss: str, k: int = 5, salt: int = 0) -> DataFrame:
+    """(id, value) drawn for every missing row of ``target`` from its k
+    nearest observed rows in ``_pred``."""
+    own = cur.select(id_col, "_pred", target, miss)
+    return pmm_fill(own, target, id_col, miss, k, salt).where(F.col("_new").isNotNull()).select(id_col, "_new")
 
 
 def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence[str],
@@ -160,16 +247,34 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
     spark = df.sparkSession
     if order not in ("given", "monotone"):
         raise ValueError(order)
+    if method not in ("pmm", "norm"):
+        raise ValueError(method)
     impute_cols = list(impute_cols) if order == "given" else visit_order(df, impute_cols)
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{j}") for j, c in enumerate(all_cols)]).first()
     means = {c: float(v) if v is not None else 0.0 for c, v in zip(all_cols, means)}
-    base = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in all_cols],
-                     *[F.col(c).isNull().alias(f"_m_{c}") for c in impute_cols])
+    base = stage(df.select(id_col, *[F.col(c).cast("double").alias(c) for c in all_cols],
+                           *[F.col(c).isNull().alias(f"_m_{c}") for c in impute_cols]), "chained")
+    rows = base.count()
+
+    def holds(cols: Sequence[str]):
+        return reduce(or_, [F.col(f"_m_{c}") for c in cols], F.lit(False))
+
+    whole = base.where(~holds(impute_cols))
+    starts = stage(random_imputes(base, impute_cols, id_col, [seed * 100 + i for i in range(1, m + 1)], holds(impute_cols)), "chained-start")
     trace_rows = []
     results = []
     for i in range(1, m + 1):
-        cur = random_impute(base, impute_cols, id_col, seed=seed * 100 + i)
-        cur = stage(cur, "chained")
+        start, latest = starts.where(F.col("_draw") == i - 1).select(*base.columns), {}
+
+        def unfinished() -> DataFrame:
+            # rows with a missing cell, as the latest visit of one of their columns left them
+            out, later = None, []
+            for c in reversed(latest):
+                own = latest[c].where(~holds(later)).select(*base.columns)
+                out, later = own if out is None else out.unionByName(own), [*later, c]
+            own = start.where(~holds(later))
+            return own if out is None else out.unionByName(own)
+
         for sweep_no in range(1, maxit + 1):
             for visit, c in enumerate(impute_cols, 1):
                 preds = list(predictors[c]) if predictors and c in predictors else \
@@ -177,27 +282,22 @@ def chained_impute(df: DataFrame, impute_cols: Sequence[str], all_cols: Sequence
                 miss = f"_m_{c}"
                 salt = column_salt(seed * 1000 + i * 10 + sweep_no, c)
                 rng = np.random.default_rng([salt, i, sweep_no]) if posterior else None
-                fitted, sigma = _fit_predict(cur, c, preds, miss, means, rng)
+                fitted, sigma = _fit_predict(whole.unionByName(unfinished()), c, preds, miss, means, rng)
                 if method == "pmm":
-                    draws = pmm_donors(fitted, c, id_col, miss, k, salt)
-                    nxt = fitted.join(draws, id_col, "left")
-                    newv = F.when(F.col(miss), F.col("_new")).otherwise(F.col(c))
-                elif method == "norm":
-                    nxt = fitted
-                    noise = hashed_normal if posterior else std_normal
-                    newv = F.when(F.col(miss), F.col("_pred") + F.lit(sigma) * noise(F.col(id_col), salt)) \
-                        .otherwise(F.col(c))
+                    nxt = pmm_fill(fitted, c, id_col, miss, k, salt, rows)
                 else:
-                    raise ValueError(method)
-                # staged for each column: the next fit, ranking and trace read
-                # this table instead of running all columns before again
-                nxt = stage(nxt.withColumn("_old", F.col(c)).withColumn(c, newv).select(*base.columns, "_old"), "chained")
-                ch = nxt.where(F.col(miss)).agg(F.avg(F.abs(F.col(c) - F.col("_old"))).alias("d")).first()["d"]
+                    noise = hashed_normal if posterior else std_normal
+                    nxt = fitted.where(F.col(miss)).withColumn("_new", F.col("_pred") + F.lit(sigma) * noise(F.col(id_col), salt))
+                # staged for each column: the next fit and trace read this table instead of running all
+                # columns before again; the other rows stay where they are
+                nxt = stage(nxt.withColumn("_old", F.col(c)).withColumn(c, F.col("_new")).select(*base.columns, "_old"), "chained")
+                ch = nxt.agg(F.avg(F.abs(F.col(c) - F.col("_old"))).alias("d")).first()["d"]
                 trace_rows.append((i, sweep_no, visit, c, float(ch) if ch is not None else None))
-                cur = nxt.select(*base.columns)
+                latest.pop(c, None)
+                latest[c] = nxt
         items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"),
                                    F.col(f"_m_{c}").alias("was_null")) for c in impute_cols])
-        results.append(cur.select(id_col, F.inline(items)).where("was_null").select(id_col, "column", "value"))
+        results.append(unfinished().select(id_col, F.inline(items)).where("was_null").select(id_col, "column", "value"))
     u = results[0]
     for r in results[1:]:
         u = u.unionByName(r)
